@@ -1,0 +1,6 @@
+"""Every registered query with its oracle."""
+
+from riskframe.catalog import data_queries, feature_queries, metric_queries  # noqa: F401
+from riskframe.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
