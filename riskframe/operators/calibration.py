@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,9 @@ from riskframe.config import Costs
 from riskframe.functions.lookup import interpolate
 from riskframe.functions.scalar import expit, logit
 from riskframe.operators.cost import ev_policy, policy_cost, policy_summary
-from riskframe.operators.ranking import fold_metrics
+from riskframe.operators.ranking import calibration_metrics
 from riskframe.operators.splits import assign_folds
+from riskframe.session import materialise
 
 # Fixed value: distance scores keep from 0 and 1 before the log-odds are taken.
 SCORE_CLIP = 1e-15
@@ -47,35 +49,69 @@ def _newton_sums(
     return df.agg(*aggregates)
 
 
+# Bins per unit of log-odds in the summary that starting values are fitted on.
+START_BINS = 64
+
+
+def _step(sums: tuple[float, ...]) -> tuple[float, float]:
+    """Newton step of one fit from its gradient and curvature sums."""
+    g, gz, h, hz, hzz = sums
+    determinant = h * hzz - hz * hz
+    if determinant <= 0:
+        raise ValueError("the scores do not vary: the fit is singular")
+    return (gz * h - g * hz) / determinant, (g * hzz - gz * hz) / determinant
+
+
+def _start(summary: np.ndarray) -> tuple[float, float]:
+    """Fit on binned scores `(rows, positives, mean log-odds)`: close, at no further pass."""
+    n, y, z = summary.T
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -700, 700)))
+        w = n * p * (1 - p)
+        g = n * p - y
+        da, db = _step((g.sum(), (g * z).sum(), w.sum(), (w * z).sum(), (w * z * z).sum()))
+        # a long step is shortened; the loss is convex
+        scale = min(1.0, 10.0 / max(abs(da), abs(db), 1e-300))
+        a, b = a - scale * da, b - scale * db
+        if max(abs(da), abs(db)) < 1e-10:
+            break
+    return float(a), float(b)
+
+
 def _fit_platt_sets(
-    df: DataFrame, score: str, y: str, clip: float, where: Mapping[object, Column], steps: int = 50, tolerance: float = 1e-12
+    df: DataFrame, score: str, y: str, clip: float, where: Mapping[object, Column], steps: int = 25, tolerance: float = 1e-11
 ) -> dict[object, tuple[float, float]]:
     """Unpenalised two-parameter logistic fits, all stepped together.
 
-    A Newton step needs five sums per fit, so a step is one aggregate however many rows there
-    are; nothing but those sums reaches the driver.
+    A summary of a few thousand log-odds bins gives starting values; then each exact Newton
+    step is one aggregate of five sums per fit, and two or three of them are enough. Only
+    bins and sums reach the driver, whatever the number of rows.
     """
-    prepared = df.select(logit(score, clip).alias("_z"), y, *_referenced(df, where))
-    prepared = prepared.persist()
-    params = {key: (1.0, 0.0) for key in where}
+    folds = ["fold"] if "fold" in df.columns else []
+    prepared = df.select(logit(score, clip).alias("_z"), y, *folds).persist()
     try:
+        binned = prepared.groupBy(*folds, F.floor(F.col("_z") * START_BINS).alias("_bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("p"), F.avg("_z").alias("z")
+        )
+        flagged = binned.select(
+            *[F.coalesce(c, F.lit(False)).alias(f"w{i}") for i, c in enumerate(where.values())], "n", "p", "z"
+        ).toPandas()
+        params = {}
+        for i, key in enumerate(where):
+            part = flagged.loc[flagged[f"w{i}"], ["n", "p", "z"]].to_numpy(dtype="float64")
+            if not len(part):
+                raise ValueError(f"no rows to fit on for {key!r}")
+            params[key] = _start(part)
         for _ in range(steps):
             row = _newton_sums(prepared, "_z", y, params, where).first()
             moved, updated = 0.0, {}
             for i, (key, (a, b)) in enumerate(params.items()):
-                g, gz, h, hz, hzz = (row[f"{n}{i}"] for n in ("g", "gz", "h", "hz", "hzz"))
-                if g is None:
-                    raise ValueError(f"no rows to fit on for {key!r}")
-                determinant = h * hzz - hz * hz
-                if determinant <= 0:
-                    raise ValueError("the scores do not vary: the fit is singular")
-                da, db = (gz * h - g * hz) / determinant, (g * hzz - gz * hz) / determinant
-                # a long step is halved until it is safe; the loss is convex
-                scale = min(1.0, 10.0 / max(abs(da), abs(db), 1e-300))
-                updated[key] = (a - scale * da, b - scale * db)
-                moved = max(moved, abs(da), abs(db))
+                da, db = _step(tuple(row[f"{n}{i}"] for n in ("g", "gz", "h", "hz", "hzz")))
+                updated[key] = (a - da, b - db)
+                moved = max(moved, abs(da) / max(1.0, abs(a)), abs(db) / max(1.0, abs(b)))
             params = updated
-            if moved < tolerance * max(1.0, *(abs(v) for ab in params.values() for v in ab)):
+            if moved < tolerance:
                 break
         else:
             raise ValueError("the fit did not converge")
@@ -87,10 +123,6 @@ def _fit_platt_sets(
     return params
 
 
-def _referenced(df: DataFrame, where: Mapping) -> list[str]:
-    return ["fold"] if "fold" in df.columns and len(where) > 0 else []
-
-
 def fit_platt(df: DataFrame, score: str = "score", y: str = "is_fraud", clip: float = SCORE_CLIP) -> tuple[float, float]:
     return _fit_platt_sets(df, score, y, clip, {"all": F.lit(True)})["all"]
 
@@ -185,13 +217,24 @@ def select_method(platt: DataFrame, isotonic: DataFrame) -> DataFrame:
 
 def cross_fit_report(df: DataFrame, folds: int = 4, bins: int = 10, **kwargs) -> DataFrame:
     """Out-of-fold metrics of both methods and of the raw score, per fold."""
-    folded = assign_folds(df, folds)
-    label = kwargs.get("y", "is_fraud")
-    parts = [fold_metrics(folded, label, kwargs.get("score", "score"), bins).withColumn("method", F.lit("uncalibrated"))]
+    label, score = kwargs.get("y", "is_fraud"), kwargs.get("score", "score")
+    folded = assign_folds(df, folds).select("fold", label, score)
     for method in METHODS:
-        scored = cross_fit(folded, method, **kwargs)
-        parts.append(fold_metrics(scored, label, method, bins).withColumn("method", F.lit(method)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        folded = cross_fit(folded, method, **kwargs)
+    scored = materialise(folded, "out-of-fold")
+    long = scored.select(
+        "fold",
+        label,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(name).alias("method"), F.col(c).alias("_p"))
+                    for name, c in (("uncalibrated", score), *((m, m) for m in METHODS))
+                ]
+            )
+        ),
+    )
+    return calibration_metrics(long, label, "_p", bins, ["method", "fold"])
 
 
 def cost_arm(

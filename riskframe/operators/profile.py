@@ -146,22 +146,18 @@ def top_shares(df: DataFrame, value: str, fractions: Sequence[float], groups: Se
     present = df.where(F.col(value).isNotNull()).select(*groups, value)
     cuts = measured(values_at_ranks(present, value, targets, groups, descending=True))
     cuts = cuts.select(*groups, "fraction", "k", F.col("value").alias("_cut"), "before")
-    totals = present.groupBy(*groups).agg(F.sum(value).alias("_total"))
-    keys = list(groups)
-    if keys:
-        marked, named = present, cuts
+    packed = F.collect_list(F.struct("fraction", "k", "_cut", "before")).alias("_c")
+    if groups:
+        rows = null_safe_join(present, cuts.groupBy(*groups).agg(packed), list(groups))
     else:
-        marked, named, keys = present.withColumn("_one", F.lit(1)), cuts.withColumn("_one", F.lit(1)), ["_one"]
-        totals = totals.withColumn("_one", F.lit(1))
-    # one row per fraction on the small side: at most a handful of matches a row
-    packed = named.groupBy(*keys).agg(F.collect_list(F.struct("fraction", "k", "_cut", "before")).alias("_c"))
-    rows = null_safe_join(marked, packed, keys).select(*keys, value, F.inline("_c"))
-    above = rows.groupBy(*keys, "fraction", "k", "_cut", "before").agg(
-        F.sum(F.when(F.col(value) > F.col("_cut"), F.col(value)).otherwise(0.0)).alias("_above")
+        rows = present.withColumn("_c", cuts.agg(packed).scalar())
+    # one array entry per fraction: a row is compared with a handful of cuts
+    above = rows.select(*groups, value, F.inline("_c")).groupBy(*groups, "fraction", "k", "_cut", "before").agg(
+        F.sum(F.when(F.col(value) > F.col("_cut"), F.col(value)).otherwise(0.0)).alias("_above"),
+        F.sum(value).alias("_total"),
     )
     held = F.col("_above") + F.col("_cut") * (F.col("k") - F.col("before"))
-    out = null_safe_join(above, totals, keys)
-    return out.select(*groups, "fraction", F.col("k").alias("rows"), F.try_divide(held, F.col("_total")).alias("share"))
+    return above.select(*groups, "fraction", F.col("k").alias("rows"), F.try_divide(held, F.col("_total")).alias("share"))
 
 
 def recovery_curve(df: DataFrame, value: str, recalls: Sequence[float]) -> DataFrame:

@@ -145,6 +145,19 @@ def _resolve(marked: DataFrame, order: str, groups: Sequence[str], wanted: DataF
     )
 
 
+def _with_hits(spans: DataFrame, targets: DataFrame, start: str, length: str) -> DataFrame:
+    """Each span of positions with the targets that fall in it.
+
+    Without groups there are only as many targets as parameters, so they travel as one array
+    from a scalar subquery and nothing is joined.
+    """
+    packed = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("t")).scalar()
+    inside = F.filter(
+        "_t", lambda t: (t["rank"] >= F.col(start)) & (t["rank"] < F.col(start) + F.col(length))
+    )
+    return spans.withColumn("_t", packed).select(*spans.columns, F.inline(inside))
+
+
 def _direct_ranks(
     present: DataFrame, order: str, targets: Targets | DataFrame, groups: Sequence[str], descending: bool
 ) -> DataFrame:
@@ -161,13 +174,10 @@ def _direct_ranks(
         "tied",
         (F.sum("tied").over(upto) - F.col("tied")).alias("before"),
     )
-    keys = list(groups)
-    if not keys:
-        # few targets against one bounded list of values, paired over a constant key
-        targets, ranked, keys = targets.withColumn("_one", F.lit(1)), ranked.withColumn("_one", F.lit(1)), ["_one"]
-    joined = null_safe_join(targets, ranked, keys)
+    if not groups:
+        return _with_hits(ranked, targets, "before", "tied")
     hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("tied"))
-    return joined.where(hit).drop("_one")
+    return null_safe_join(targets, ranked, list(groups)).where(hit)
 
 
 def values_at_ranks(
@@ -197,10 +207,7 @@ def values_at_ranks(
     if groups:
         wanted = null_safe_join(targets, offsets, list(groups)).where(inside)
     else:
-        # one group: pair the few targets with the few buckets over a constant key
-        wanted = null_safe_join(
-            targets.withColumn("_one", F.lit(1)), offsets.withColumn("_one", F.lit(1)), ["_one"]
-        ).where(inside).drop("_one")
+        wanted = _with_hits(offsets, targets, "_before", "_n")
     return _resolve(marked, order, groups, measured(wanted.drop("n")), descending)
 
 

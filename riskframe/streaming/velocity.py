@@ -41,7 +41,7 @@ class VelocityProcessor(StatefulProcessor):
         first = None
         for batch in rows:
             if len(batch):
-                pairs = list(zip(batch["_t"].tolist(), batch["id"].tolist()))
+                pairs = list(zip(batch["seconds"].tolist(), batch["id"].tolist()))
                 self.waiting.appendList(pairs)
                 low = min(t for t, _ in pairs)
                 first = low if first is None else min(first, low)
@@ -68,7 +68,7 @@ class VelocityProcessor(StatefulProcessor):
         out = {
             self.key: [key[0]] * len(ready),
             "id": [i for _, i in ready],
-            "_t": t_new,
+            "seconds": t_new,
         }
         for name, seconds in self.windows.items():
             old = upto[-1] - upto[np.searchsorted(moments, t_new - seconds, side="right")]
@@ -105,10 +105,10 @@ def velocity_stream(
     timed = sdf.select(
         F.col(key).cast("long").alias(key),
         F.col("id").cast("long").alias("id"),
-        F.col(ts).cast("long").alias("_t"),
+        F.col(ts).cast("long").alias("seconds"),
         F.timestamp_seconds(F.col(ts)).alias("event_time"),
     ).withWatermark("event_time", delay)
-    fields = [T.StructField(key, T.LongType()), T.StructField("id", T.LongType()), T.StructField("_t", T.LongType())]
+    fields = [T.StructField(key, T.LongType()), T.StructField("id", T.LongType()), T.StructField("seconds", T.LongType())]
     fields += [T.StructField(f"vel_n{n}_{key}", T.FloatType()) for n in windows]
     fields.append(T.StructField(f"vel_recency_{key}", T.FloatType()))
     out = timed.groupBy(key).transformWithStateInPandas(
@@ -117,4 +117,4 @@ def velocity_stream(
         outputMode="Append",
         timeMode="EventTime",
     )
-    return out.withColumnRenamed("_t", ts)
+    return out.withColumnRenamed("seconds", ts)
