@@ -381,7 +381,7 @@ def scenario_column(scenarios: Sequence[Scenario]) -> Column:
         *[
             F.struct(
                 F.lit(s.assumption).alias("assumption"),
-                F.lit(float(s.value)).alias("value"),
+                F.lit(float(s.value)).alias("grid_value"),
                 F.lit(s.is_base).alias("is_base"),
                 F.lit(s.costs.chargeback_fee).alias("chargeback_fee"),
                 F.lit(s.costs.false_positive).alias("false_positive"),
@@ -402,7 +402,7 @@ def sweep(
 
     Scenarios are a column of the rows, so the cuts of all of them are found together.
     """
-    keys = ["assumption", "value", "is_base"]
+    keys = ["assumption", "grid_value", "is_base"]
     narrow = df.select(day, label, amount, calibrated, points)
     spread = narrow.select("*", F.inline(scenario_column(scenarios)))
     bound = None if day_bound is None else day_bound * len(scenarios)
@@ -419,7 +419,7 @@ def sweep(
         )
         stacked = part if stacked is None else stacked.unionByName(part)
     summary = measured(_summary_aggregates(stacked, [*keys, "policy"], day))
-    return with_reduction(summary, keys=keys)
+    return with_reduction(summary, keys=keys).withColumnRenamed("grid_value", "value")
 
 
 # The bars a reduction is read against.

@@ -194,6 +194,9 @@ def values_at_ranks(
     `(groups…, n)`. Out come `value`, `before` (rows strictly ahead of it) and `tied`.
     Beyond the direct size, only rows of buckets that hold a wanted rank are regrouped by value.
     """
+    taken = sorted(set(groups) & {"value", "before", "tied", "rank", "n"})
+    if taken:
+        raise ValueError(f"group columns clash with the result's own columns: {taken}")
     present = df.where(F.col(order).isNotNull()).select(*groups, order)
     seen = measured_by or profile(present, order)
     if seen.direct:
