@@ -65,15 +65,26 @@ def _step(sums: tuple[float, ...]) -> tuple[float, float]:
 def _start(summary: np.ndarray) -> tuple[float, float]:
     """Fit on binned scores `(rows, positives, mean log-odds)`: close, at no further pass."""
     n, y, z = summary.T
-    a, b = 1.0, 0.0
+    if not 0 < y.sum() < n.sum():
+        raise ValueError("a calibrator needs both classes")
+
+    def loss(a: float, b: float) -> float:
+        t = a * z + b
+        return float((n * np.logaddexp(0, t) - y * t).sum())
+
+    a, b = 0.0, float(np.log(y.sum() / (n.sum() - y.sum())))
+    current = loss(a, b)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -700, 700)))
         w = n * p * (1 - p)
         g = n * p - y
         da, db = _step((g.sum(), (g * z).sum(), w.sum(), (w * z).sum(), (w * z * z).sum()))
-        # a long step is shortened; the loss is convex
-        scale = min(1.0, 10.0 / max(abs(da), abs(db), 1e-300))
+        scale = 1.0
+        # the loss is convex: a step is halved until it pays
+        while scale > 1e-10 and loss(a - scale * da, b - scale * db) > current:
+            scale /= 2
         a, b = a - scale * da, b - scale * db
+        current = loss(a, b)
         if max(abs(da), abs(db)) < 1e-10:
             break
     return float(a), float(b)

@@ -201,10 +201,12 @@ def fitted_problems(
         parts.append(nulls.select(F.lit(f"null {c}"), F.col(group).cast("string"), "count"))
     if dense_code:
         span = table.groupBy(group).agg(
-            F.min(dense_code).alias("lo"), F.max(dense_code).alias("hi"), F.count(F.lit(1)).alias("n")
+            F.min(dense_code).alias("lo"), F.max(dense_code).alias("hi"), F.count(dense_code).alias("n")
         )
         gaps = span.where((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1))
+        shared = table.where(F.col(dense_code).isNotNull()).groupBy(group, dense_code).count().where("count > 1")
         parts.append(gaps.select(F.lit("codes not dense"), F.col(group).cast("string"), "n"))
+        parts.append(shared.select(F.lit("code shared"), F.col(group).cast("string"), "count"))
     if global_row:
         rows = table.groupBy(group).agg(F.count_if(F.col(key) == GLOBAL).alias("n")).where("n <> 1")
         parts.append(rows.select(F.lit("global row"), F.col(group).cast("string"), "n"))
