@@ -17,6 +17,7 @@ from riskframe.functions.scalar import expit, logit
 from riskframe.operators.cost import ev_policy, policy_cost, policy_summary
 from riskframe.operators.ranking import calibration_metrics
 from riskframe.operators.splits import assign_folds
+from riskframe.plans.sizing import measured
 from riskframe.session import materialise
 
 # Fixed value: distance scores keep from 0 and 1 before the log-odds are taken.
@@ -142,12 +143,21 @@ def apply_platt(score: str, a: float | Column, b: float | Column, clip: float =
     return expit(logit(score, clip) * a + b)
 
 
+def _score_steps(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows and positives per distinct score: all that the monotone fit needs."""
+    return df.groupBy(*keys, F.col(score).cast("double").alias("x")).agg(
+        F.sum(F.col(y).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("w")
+    )
+
+
 def fit_isotonic(df: DataFrame, score: str = "score", y: str = "is_fraud") -> tuple[list[float], list[float]]:
     """Breakpoints of the monotone fit, on rows collapsed to distinct scores first."""
-    steps = df.groupBy(score).agg(
-        F.avg(F.col(y).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    vectors = VectorAssembler(inputCols=[score], outputCol="_v").transform(steps.select(F.col(score).cast("double").alias(score), "_y", "_w"))
+    return _isotonic(_score_steps(df, score, y))
+
+
+def _isotonic(steps: DataFrame) -> tuple[list[float], list[float]]:
+    means = steps.select("x", (F.col("p") / F.col("w")).alias("_y"), F.col("w").alias("_w"))
+    vectors = VectorAssembler(inputCols=["x"], outputCol="_v").transform(means)
     model = IsotonicRegression(featuresCol="_v", labelCol="_y", weightCol="_w").fit(vectors)
     xs, ys = list(model.boundaries.toArray()), [min(1.0, max(0.0, v)) for v in model.predictions.toArray()]
     kept_x, kept_y = [], []
@@ -196,12 +206,14 @@ def cross_fit(
         return df.withColumn(out, apply_platt(score, a, b, clip))
     if method != "isotonic":
         raise ValueError(f"unknown calibration method {method!r}; expected one of {METHODS}")
-    scored = None
+    # one pass collapses the rows of every fold; each fit then adds up the other folds' steps
+    steps = measured(_score_steps(df, score, y, ["fold"]))
+    scored, chosen = df, F.lit(None).cast("double")
     for k in folds:
-        table = fit_isotonic(df.where(F.col("fold") != k), score, y)
-        part = apply_isotonic(df.where(F.col("fold") == k), score, table, out)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+        others = steps.where(F.col("fold") != k).groupBy("x").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
+        scored = apply_isotonic(scored, score, _isotonic(others), f"_p{k}")
+        chosen = F.when(F.col("fold") == k, F.col(f"_p{k}")).otherwise(chosen)
+    return scored.withColumn(out, chosen).drop(*[f"_p{k}" for k in folds])
 
 
 def _per_fold(values: Mapping[int, float]) -> Column:

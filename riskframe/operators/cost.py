@@ -182,15 +182,16 @@ def review_shares(
     """`df` with each row's share of a review: 1 above the day's cut, the rest split at it.
 
     Row order never matters. An input one task may order needs one exchange and no join. A
-    larger one looks the cuts up per day; `day_bound`, the number of days the layout allows,
-    is what lets that table be broadcast.
+    larger one looks the cuts up per day. That table is broadcast when `day_bound`, the number
+    of days the layout allows, proves it small; otherwise it is measured and the planner decides.
     """
     keys = [*groups, day]
     seen = profile(df, priority)
     if seen.direct:
         return _direct_shares(df, priority, fraction, eligible, keys, out)
     cuts = review_cuts(df, priority, fraction, eligible, day, groups, seen)
-    joined = null_safe_join(df, bounded(cuts.drop("rows"), day_bound), keys)
+    table = cuts.drop("rows")
+    joined = null_safe_join(df, measured(table) if day_bound is None else bounded(table, day_bound), keys)
     return joined.withColumn(out, share_of(priority, eligible)).drop("cap", "cut", "cut_share")
 
 

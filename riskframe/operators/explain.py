@@ -12,6 +12,7 @@ from riskframe.functions import scalar as S
 from riskframe.functions.lookup import edge_position, null_safe_join
 from riskframe.operators.cost import allow_or_block, break_even, review_gain
 from riskframe.plans.ordering import quantiles, values_at_ranks
+from riskframe.plans.sizing import measured
 
 # Fixed value: largest relative deviation of summed contributions from the margin.
 ADDITIVITY_TOLERANCE = 1e-2
@@ -203,8 +204,8 @@ def binned_median(df: DataFrame, x: str, y: str, bins: int, by: str | None = Non
     keys = [by] if by else []
     present = df.where(F.col(x).isNotNull())
     if by:
-        edges = quantiles(present, x, probs, keys).groupBy(*keys).agg(
-            F.array_sort(F.collect_set("value")).alias("_e")
+        edges = measured(
+            quantiles(present, x, probs, keys).groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("_e"))
         )
         placed = null_safe_join(present, edges, keys)
         at = F.size(F.filter("_e", lambda e: e <= F.col(x)))

@@ -11,7 +11,7 @@ from riskframe.config import GLOBAL, MISSING, OTHER
 from riskframe.functions import scalar as S
 from riskframe.functions.lookup import lookup, null_safe_join
 from riskframe.plans.ordering import column_quantiles
-from riskframe.plans.sizing import bounded
+from riskframe.plans.sizing import bounded, measured
 
 # The round-amount band and the product it is crossed with.
 AMOUNT_CONFIG = {"step": 50.0, "low": 150.0, "high": 500.0, "product": "H"}
@@ -51,12 +51,14 @@ def fit_frequencies(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of training rows per level `(column, level, frequency)`; null is a level.
 
     Counts are combined before the shuffle, so a level holding most rows costs one row a task.
+    Like every fit here, the table is kept and measured: each use joins it by its real size.
     """
     counts = text_cells(train, columns).groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return counts.join(bounded(totals, len(columns)), "column").select(
+    shares = counts.join(bounded(totals, len(columns)), "column").select(
         "column", S.level("level").alias("level"), (F.col("n") / F.col("total")).cast("float").alias("frequency")
     )
+    return measured(shares)
 
 
 def apply_frequencies(df: DataFrame, table: DataFrame, columns: Sequence[str], prefix: str = "freq_") -> DataFrame:
@@ -90,7 +92,7 @@ def fit_amount_stats(train: DataFrame, entities: Sequence[str], strength: float,
 
     `(n·observed + k·prior) / (n + k)`; a level seen once has no deviation and counts as 0.
     """
-    totals = _amount_totals(train, amount)
+    totals = measured(_amount_totals(train, amount))
     cells = F.array(
         *[F.struct(F.lit(e).alias("entity"), F.col(e).cast("string").alias("level")) for e in entities]
     )
@@ -117,7 +119,7 @@ def fit_amount_stats(train: DataFrame, entities: Sequence[str], strength: float,
         F.col("g_mean").alias("mean"),
         F.col("g_std").alias("std"),
     )
-    return shrunk.unionByName(whole)
+    return measured(shrunk.unionByName(whole))
 
 
 def apply_amount_stats(df: DataFrame, table: DataFrame, entities: Sequence[str], amount: str = "amount") -> DataFrame:
@@ -179,7 +181,7 @@ def fit_categories(train: DataFrame, columns: Sequence[str], min_rows: int) -> D
             )
         ),
     )
-    return kept.unionByName(sentinels)
+    return measured(kept.unionByName(sentinels))
 
 
 def apply_categories(df: DataFrame, table: DataFrame, columns: Sequence[str], codes: bool = False) -> DataFrame:

@@ -137,13 +137,15 @@ def recall_at_capacity(
     last = values_at_ranks(block, tiebreak, places, [*per_day, score]).select(
         *per_day, "capacity", F.col("value").alias("_last")
     )
-    limits = null_safe_join(cuts, last, [*per_day, "capacity"], "left")
+    limits = measured(
+        null_safe_join(cuts, last, [*per_day, "capacity"], "left").select(*per_day, "capacity", "_cut", "_last")
+    )
     positives = df.where(F.col(label).cast("int") == 1).select(*per_day, score, tiebreak)
     reached = (F.col(score) > F.col("_cut")) | (
         (F.col(score) == F.col("_cut")) & (F.col("_last").isNull() | (F.col(tiebreak) <= F.col("_last")))
     )
     caught = (
-        null_safe_join(positives, limits.select(*per_day, "capacity", "_cut", "_last"), per_day)
+        null_safe_join(positives, limits, per_day)
         .where(reached)
         .groupBy(*groups, "capacity")
         .agg(F.count(F.lit(1)).alias("caught"))
@@ -263,8 +265,8 @@ def _binned(df: DataFrame, p: str, bins: int, groups: Sequence[str]) -> DataFram
         last = max(len(edges) - 2, 0)
         placed = df.withColumn("_at", edge_position(p, edges, "right"))
         return placed.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(last), F.col("_at") - 1))).drop("_at")
-    edges = quantiles(df, p, probs, groups).groupBy(*groups).agg(
-        F.array_sort(F.collect_set("value")).alias("_edges")
+    edges = measured(
+        quantiles(df, p, probs, groups).groupBy(*groups).agg(F.array_sort(F.collect_set("value")).alias("_edges"))
     )
     placed = null_safe_join(df, edges, list(groups))
     at = F.size(F.filter("_edges", lambda e: e <= F.col(p)))

@@ -72,15 +72,38 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return Correlation.corr(vectors, "v").first()[0].toArray()
 
 
-def correlation_clusters(df: DataFrame, columns: Sequence[str], threshold: float) -> list[list[str]]:
-    """Greedy clusters: the first unclaimed column takes every later one at `|r| >= threshold`.
+def group_correlations(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[np.ndarray]:
+    """One Pearson matrix per group of columns, each over the rows complete in its own group.
 
-    Only the small matrix of coefficients reaches the driver; an undefined one joins nothing.
+    Small groups share aggregates of pairwise coefficients, so a pass serves many groups; a
+    group with too many pairs goes through the distributed matrix statistic.
     """
-    columns = list(columns)
-    if len(columns) < 2:
-        return [columns] if columns else []
-    r = np.abs(correlations(df, columns))
+    matrices = [np.eye(len(g)) for g in groups]
+    pairs, large = [], []
+    for g, columns in enumerate(groups):
+        if len(columns) * (len(columns) - 1) // 2 > CHUNK:
+            large.append(g)
+            continue
+        complete = F.lit(True)
+        for c in columns:
+            complete = complete & F.col(c).isNotNull()
+        for i in range(len(columns)):
+            for j in range(i + 1, len(columns)):
+                x, y = (F.when(complete, F.col(columns[k]).cast("double")) for k in (i, j))
+                pairs.append((g, i, j, F.corr(x, y)))
+    for start in range(0, len(pairs), CHUNK):
+        chunk = pairs[start : start + CHUNK]
+        row = df.agg(*[r.alias(f"r{k}") for k, (_, _, _, r) in enumerate(chunk)]).first()
+        for k, (g, i, j, _) in enumerate(chunk):
+            value = row[f"r{k}"]
+            matrices[g][i, j] = matrices[g][j, i] = np.nan if value is None else value
+    for g in large:
+        matrices[g] = correlations(df, groups[g])
+    return matrices
+
+
+def _greedy(columns: Sequence[str], r: np.ndarray, threshold: float) -> list[list[str]]:
+    r = np.abs(r)
     clusters, open_ = [], list(range(len(columns)))
     while open_:
         head = open_[0]
@@ -90,6 +113,15 @@ def correlation_clusters(df: DataFrame, columns: Sequence[str], threshold: float
     return clusters
 
 
+def correlation_clusters(df: DataFrame, columns: Sequence[str], threshold: float) -> list[list[str]]:
+    """Greedy clusters: the first unclaimed column takes every later one at `|r| >= threshold`.
+
+    Only the small matrix of coefficients reaches the driver; an undefined one joins nothing.
+    """
+    columns = list(columns)
+    return _greedy(columns, group_correlations(df, [columns])[0], threshold) if columns else []
+
+
 def fit_reduction(
     train: DataFrame,
     columns: Sequence[str],
@@ -102,10 +134,13 @@ def fit_reduction(
     rows = null_fingerprints(train, columns, id_).collect()
     stats = {r["column"]: r for r in rows}
     groups = _grouped(rows, columns)
-    representatives = []
-    for group in groups:
-        observed = [c for c in group if stats[c]["present"] >= min_rows]
-        representatives += [members[0] for members in correlation_clusters(train, observed, correlation_threshold)]
+    observed = [[c for c in group if stats[c]["present"] >= min_rows] for group in groups]
+    matrices = group_correlations(train, observed)
+    representatives = [
+        members[0]
+        for columns_, r in zip(observed, matrices, strict=True)
+        for members in _greedy(columns_, r, correlation_threshold)
+    ]
     heads = [g[0] for g in groups if min(stats[g[0]]["nulls"], stats[g[0]]["present"]) >= min_rows]
     flags = train.select(*[S.presence(c).alias(c) for c in heads]) if heads else train
     presence = [members[0] for members in correlation_clusters(flags, heads, presence_threshold)]
