@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.catalog.inputs import split_txn
-from riskframe.catalog.metric_queries import CAPACITY, COSTS, decision_rows
-from riskframe.catalog.registry import query
+from riskframe.catalog.metric_queries import CAPACITY, COSTS, POLICIES, ROW_COST, decision_rows
+from riskframe.catalog.registry import TXN, query
 from riskframe.operators import bootstrap, calibration, cost, features, learning, ranking
 from riskframe.operators.splits import assign_folds
 
@@ -31,12 +31,55 @@ def score_clip_check(spark, d):
     return calibration.clipped_scores(scored(spark, d), clip=0.1)
 
 
-@query("platt_fit", "a:f b:f")
+# Newton's method on the logistic likelihood, one fit per held-out fold (0 holds nothing out).
+NEWTON = TXN + """,
+sc AS (SELECT id, is_fraud AS y, day - 20 AS fold, ln((0.05 + 0.6 * score + 0.3 * is_fraud) / (0.95 - 0.6 * score - 0.3 * is_fraud)) AS z
+       FROM st WHERE split = 'val_cal'),
+nt AS (
+  WITH RECURSIVE step(i, held, a, b) AS (
+    SELECT 0, held, 0.0::DOUBLE, (SELECT ln(avg(y) / (1 - avg(y))) FROM sc WHERE fold <> held) FROM range(0, 6) r(held)
+    UNION ALL
+    SELECT i + 1, held, a - (gz * h - g * hz) / (h * hzz - hz * hz), b - (g * hzz - gz * hz) / (h * hzz - hz * hz) FROM (
+      SELECT i, held, a, b, sum(p - y) AS g, sum((p - y) * z) AS gz, sum(p * (1 - p)) AS h, sum(p * (1 - p) * z) AS hz,
+             sum(p * (1 - p) * z * z) AS hzz
+      FROM (SELECT step.*, y, z, 1 / (1 + exp(-(a * z + b))) AS p FROM step JOIN sc ON fold <> held WHERE i < 12)
+      GROUP BY i, held, a, b))
+  SELECT held, a, b FROM step WHERE i = 12)
+"""
+
+
+@query("platt_fit", "a:f b:f", "SELECT a, b FROM nt WHERE held = 0", NEWTON)
 def platt_fit(spark, d):
     a, b = calibration.fit_platt(scored(spark, d))
     return spark.createDataFrame([(a, b)], "a double, b double")
 
 
+@query(
+    "platt_cross_fit",
+    "id:i fold:i platt:f",
+    "SELECT id, fold - 1 AS fold, 1 / (1 + exp(-(a * z + b))) AS platt FROM sc JOIN nt ON held = fold",
+    NEWTON,
+)
+def platt_cross_fit(spark, d):
+    return calibration.cross_fit(assign_folds(scored(spark, d), 5), "platt")
+
+
+@query(
+    "isotonic_scores",
+    "id:i probability:f",
+    f"""WITH s AS ({SCORED_SQL}), k AS (SELECT s, sum(is_fraud) AS p, count(*) AS n FROM s GROUP BY 1),
+             u AS (SELECT s, sum(p) OVER (ORDER BY s) AS cp, sum(n) OVER (ORDER BY s) AS cn, p, n FROM k),
+             m AS (SELECT a.s AS lo, b.s AS hi, (b.cp - a.cp + a.p) / (b.cn - a.cn + a.n) AS mean FROM u a JOIN u b ON b.s >= a.s),
+             f AS (SELECT k.s, max(worst) AS probability FROM k JOIN (
+                     SELECT k.s, m.lo, min(m.mean) AS worst FROM k JOIN m ON m.lo <= k.s AND m.hi >= k.s GROUP BY 1, 2) w ON w.s = k.s GROUP BY 1)
+        SELECT id, probability FROM s JOIN f USING (s)""",
+)
+def isotonic_scores(spark, d):
+    # the largest lower bound over starts of the smallest mean over ends: the monotone fit
+    rows = scored(spark, d)
+    return calibration.apply_isotonic(rows, "score", calibration.fit_isotonic(rows), "probability")
+
+
 @query("isotonic_fit", "score:f probability:f")
 def isotonic_fit(spark, d):
     xs, ys = calibration.fit_isotonic(scored(spark, d))
@@ -83,6 +126,24 @@ def arm_costing(spark, d):
 # ---- bootstraps ---------------------------------------------------------------------------------
 
 
+RESAMPLES = 500
+# The draws of record for windows of five days, so that SQL can repeat the resampling.
+TIMES = ", ".join(
+    f"({r}, [{', '.join(map(str, row))}])" for r, row in enumerate(bootstrap.draw_multiplicities(5, RESAMPLES, 0).tolist())
+)
+DRAWS = f"draws(r, times) AS (VALUES {TIMES})"
+ROW = ROW_COST.format(fee=25.0, fp=15.0)
+DAILY = POLICIES + f""",
+dc AS (SELECT 'rules' AS policy, day - 25 AS k, sum({ROW}) AS c, count(*) AS n FROM rules_p GROUP BY day
+       UNION ALL SELECT 'naive', day - 25, sum({ROW}), count(*) FROM naive_p GROUP BY day
+       UNION ALL SELECT 'break_even', day - 25, sum({ROW}), count(*) FROM even_p GROUP BY day
+       UNION ALL SELECT 'ev', day - 25, sum({ROW}), count(*) FROM ev GROUP BY day),
+{DRAWS},
+rs AS (SELECT r, policy, sum(c * times[k]) AS c, sum(n * times[k]) AS n FROM draws CROSS JOIN dc GROUP BY 1, 2)
+"""
+ENDS = "quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high"
+
+
 def _costed(spark, d):
     rows = decision_rows(spark, d).where("split = 'test'")
     decided = cost.decided_policies(rows, COSTS, CAPACITY, ("rules", "naive", "break_even", "ev"), day_bound=5)
@@ -93,25 +154,58 @@ def _paired(spark, d):
     return _costed(spark, d).groupBy("id", "day").pivot("policy", ["rules", "ev"]).agg(F.first("cost"))
 
 
-@query("bootstrap_paired", "low:f high:f excludes_zero:b")
+@query(
+    "bootstrap_paired",
+    "low:f high:f excludes_zero:b",
+    f"""SELECT *, high < 0 OR low > 0 AS excludes_zero FROM (SELECT {ENDS} FROM (
+          SELECT (a.c - b.c) / a.n * 1000 AS v FROM rs a JOIN rs b USING (r) WHERE a.policy = 'ev' AND b.policy = 'rules'))""",
+    DAILY,
+)
 def bootstrap_paired(spark, d):
-    return bootstrap.paired_day_bootstrap(_paired(spark, d), "ev", "rules", 500)
+    return bootstrap.paired_day_bootstrap(_paired(spark, d), "ev", "rules", RESAMPLES)
 
 
-@query("bootstrap_reduction", "low:f high:f")
+@query(
+    "bootstrap_reduction",
+    "low:f high:f",
+    f"SELECT {ENDS} FROM (SELECT 1 - a.c / b.c AS v FROM rs a JOIN rs b USING (r) WHERE a.policy = 'ev' AND b.policy = 'rules')",
+    DAILY,
+)
 def bootstrap_reduction(spark, d):
-    return bootstrap.reduction_interval(_paired(spark, d), "ev", "rules", 500)
+    return bootstrap.reduction_interval(_paired(spark, d), "ev", "rules", RESAMPLES)
 
 
-@query("bootstrap_ladder", "from_policy:s to_policy:s low:f high:f excludes_zero:b")
+@query(
+    "bootstrap_ladder",
+    "from_policy:s to_policy:s low:f high:f excludes_zero:b",
+    f"""SELECT *, high < 0 OR low > 0 AS excludes_zero FROM (SELECT b.policy AS from_policy, a.policy AS to_policy,
+          quantile_cont((a.c - b.c) / a.n * 1000, 0.025) AS low, quantile_cont((a.c - b.c) / a.n * 1000, 0.975) AS high
+          FROM rs a JOIN rs b USING (r) WHERE (b.policy, a.policy) IN (('naive', 'break_even'), ('break_even', 'ev')) GROUP BY 1, 2)""",
+    DAILY,
+)
 def bootstrap_ladder(spark, d):
-    return bootstrap.ladder_intervals(_costed(spark, d), [("naive", "break_even"), ("break_even", "ev")], 500)
+    return bootstrap.ladder_intervals(_costed(spark, d), [("naive", "break_even"), ("break_even", "ev")], RESAMPLES)
+
+
+WINDOW_METRICS = """
+g AS (SELECT (day - 16) // 5 AS w, r, score, sum(times[(day - 16) % 5 + 1]) AS n, sum(times[(day - 16) % 5 + 1] * is_fraud) AS tp
+      FROM (SELECT day, score, is_fraud FROM txn WHERE day >= 16) CROSS JOIN draws GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(n) OVER o AS cn, sum(tp) OVER o AS ctp, sum(tp) OVER (PARTITION BY w, r) AS p, sum(n) OVER (PARTITION BY w, r) AS t
+      FROM g WHERE n > 0 WINDOW o AS (PARTITION BY w, r ORDER BY score DESC)),
+m AS (SELECT w, r, sum(tp / p * ctp / cn) AS ap, sum((n - tp) * (ctp - tp / 2.0)) / max(p * (t - p)) AS auc FROM c GROUP BY 1, 2)
+"""
 
 
-@query("bootstrap_metrics", "window:i pr_auc_low:f pr_auc_high:f roc_auc_low:f roc_auc_high:f")
+@query(
+    "bootstrap_metrics",
+    "window:i pr_auc_low:f pr_auc_high:f roc_auc_low:f roc_auc_high:f",
+    """SELECT w AS "window", quantile_cont(ap, 0.025) AS pr_auc_low, quantile_cont(ap, 0.975) AS pr_auc_high,
+              quantile_cont(auc, 0.025) AS roc_auc_low, quantile_cont(auc, 0.975) AS roc_auc_high FROM m GROUP BY 1""",
+    TXN + "," + DRAWS + "," + WINDOW_METRICS,
+)
 def bootstrap_metrics(spark, d):
     rows = split_txn(spark, d).where("day >= 16").withColumn("window", F.floor((F.col("day") - 16) / 5).cast("int"))
-    return bootstrap.metric_bootstrap(rows, 500)
+    return bootstrap.metric_bootstrap(rows, RESAMPLES)
 
 
 # ---- learners -------------------------------------------------------------------------------------

@@ -83,11 +83,19 @@ def weighted_pr_auc(spark, d):
     return ranking.ranking_metrics(rows, groups=["split"], weight="w")
 
 
+CAPS = [0.01, 0.05, 0.2]
+CURVE = [min(1.0, 0.001 * ((0.1 / 0.001) ** (1 / 24)) ** i) for i in range(25)]
+
+
+def _values(caps) -> str:
+    return ", ".join(f"({c!r}::DOUBLE)" for c in caps)
+
+
 CAPACITY_SQL = """
   WITH r AS (SELECT {keys} day, is_fraud, score, row_number() OVER (PARTITION BY {part} ORDER BY score DESC, id) AS rn,
                     lead(score) OVER (PARTITION BY {part} ORDER BY score DESC, id) AS nxt,
                     count(*) OVER (PARTITION BY {part}) AS n FROM st WHERE split IS NOT NULL),
-       c AS (SELECT r.*, cap, CAST(floor(n * cap) AS BIGINT) AS q FROM r, (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.2::DOUBLE)) v(cap)),
+       c AS (SELECT r.*, cap, CAST(floor(n * cap) AS BIGINT) AS q FROM r, (VALUES {caps}) v(cap)),
        g AS (SELECT {keys} cap, day, max(q) AS q, sum(is_fraud) AS p, sum(CASE WHEN rn <= q THEN is_fraud ELSE 0 END) AS hit,
                     sum(CASE WHEN rn = q AND nxt = score THEN 1 ELSE 0 END) AS amb FROM c GROUP BY {keys} cap, day)
   SELECT {keys} cap AS capacity, sum(q) AS reviewed, sum(hit) AS caught, sum(p) AS positives, sum(amb) AS ambiguous_days,
@@ -100,7 +108,7 @@ CAPACITY_SQL = """
 @query(
     "recall_at_capacity",
     "split:s capacity:f reviewed:i caught:i positives:i ambiguous_days:i recall:f recall_ceiling:f share_of_ceiling:f",
-    CAPACITY_SQL.format(keys="split,", part="split, day"),
+    CAPACITY_SQL.format(keys="split,", part="split, day", caps=_values(CAPS)),
 )
 def recall_at_capacity(spark, d):
     return ranking.recall_at_capacity(split_txn(spark, d).where(SPLIT_ROWS), [0.01, 0.05, 0.2], groups=["split"])
@@ -109,13 +117,18 @@ def recall_at_capacity(spark, d):
 @query(
     "recall_ceiling",
     "capacity:f recall_ceiling:f",
-    f"SELECT capacity, recall_ceiling FROM ({CAPACITY_SQL.format(keys='', part='day')})",
+    f"SELECT capacity, recall_ceiling FROM ({CAPACITY_SQL.format(keys='', part='day', caps=_values(CAPS))})",
 )
 def recall_ceiling(spark, d):
     return ranking.recall_ceiling(split_txn(spark, d).where(SPLIT_ROWS), [0.01, 0.05, 0.2])
 
 
-@query("recall_curve", "capacity:f recall:f recall_ceiling:f")
+@query(
+    "recall_curve",
+    "capacity:f recall:f recall_ceiling:f",
+    f"""SELECT capacity, recall, recall_ceiling FROM ({CAPACITY_SQL.format(keys='split,', part='split, day', caps=_values(CURVE))})
+        WHERE split = 'test'""",
+)
 def recall_curve(spark, d):
     return ranking.recall_curve(split_txn(spark, d).where("split = 'test'"))
 
@@ -127,7 +140,7 @@ def recall_curve(spark, d):
             m AS (SELECT split, max(nn) AS n, sum(tp / pp * ctp / cn) AS pr_auc,
                          sum((n - tp) * (ctp - tp / 2.0)) / (max(pp) * (max(nn) - max(pp))) AS roc_auc
                   FROM cum JOIN t USING (split) GROUP BY 1)
-       SELECT split, n, pr_auc, roc_auc, capacity, caught FROM m JOIN ({CAPACITY_SQL.format(keys='split,', part='split, day')}) USING (split)
+       SELECT split, n, pr_auc, roc_auc, capacity, caught FROM m JOIN ({CAPACITY_SQL.format(keys='split,', part='split, day', caps=_values(CAPS))}) USING (split)
        WHERE capacity < 0.1""",
     DEC,
 )

@@ -112,7 +112,7 @@ def describe_by_class(spark, d):
 TOP = """
   WITH r AS (SELECT is_fraud, amount, row_number() OVER (PARTITION BY is_fraud ORDER BY amount DESC) AS rn,
                     count(*) OVER (PARTITION BY is_fraud) AS n, sum(amount) OVER (PARTITION BY is_fraud) AS t FROM txn)
-  SELECT is_fraud, f AS fraction, max(CAST(floor(f * n + 1e-9) AS BIGINT)) AS rows, sum(CASE WHEN rn <= floor(f * n + 1e-9) THEN amount ELSE 0 END) / max(t) AS share
+  SELECT is_fraud, f AS fraction, max(CAST(floor(f * n) AS BIGINT)) AS rows, sum(CASE WHEN rn <= floor(f * n) THEN amount ELSE 0 END) / max(t) AS share
   FROM r, (VALUES {fs}) v(f) GROUP BY 1, 2
 """
 
@@ -169,7 +169,15 @@ def ratio_by_segment(spark, d):
     return profile.ratio_by(rows, "digit", [3, 5], "product", min_count=5)
 
 
-@query("log_histogram", "is_fraud:i bin:i low:f high:f rows:i share:f")
+@query(
+    "log_histogram",
+    "is_fraud:i bin:i low:f high:f rows:i share:f",
+    """WITH r AS (SELECT log10(min(amount)) AS a, log10(max(amount)) AS b, min(amount) AS lo, max(amount) AS hi FROM txn),
+            x AS (SELECT is_fraud, CAST(CASE WHEN amount = lo THEN 0 ELSE least(59, floor((log10(amount) - a) / (b - a) * 60)) END AS INT) AS bin FROM txn, r)
+       SELECT is_fraud, bin, CASE bin WHEN 0 THEN max(lo) ELSE 10 ** (max(a) + (max(b) - max(a)) * bin / 60) END AS low,
+              CASE bin WHEN 59 THEN max(hi) ELSE 10 ** (max(a) + (max(b) - max(a)) * (bin + 1) / 60) END AS high, count(*) AS rows,
+              count(*) / sum(count(*)) OVER (PARTITION BY is_fraud) AS share FROM x, r GROUP BY is_fraud, bin""",
+)
 def log_histogram(spark, d):
     return profile.log_histogram(txn(spark, d), "amount", 60)
 

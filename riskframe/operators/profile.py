@@ -140,7 +140,7 @@ def top_shares(df: DataFrame, value: str, fractions: Sequence[float], groups: Se
 
     def targets(totals: DataFrame) -> DataFrame:
         spread = totals.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in wanted])))
-        kept = spread.withColumn("k", F.floor(F.col("fraction") * F.col("n") + F.lit(1e-9)).cast("long"))
+        kept = spread.withColumn("k", F.floor(F.col("fraction") * F.col("n")).cast("long"))
         return kept.withColumn("rank", F.greatest(F.col("k") - 1, F.lit(0)))
 
     present = df.where(F.col(value).isNotNull()).select(*groups, value)
