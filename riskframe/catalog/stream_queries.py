@@ -156,12 +156,13 @@ def stream_review_queue(spark, d):
     rows.write.partitionBy("day").parquet(landed)
     days = rates.closed_days(scoring.watermarked(txn_stream(spark, d), "event_time", "1 hour"))
     writer = rates.review_queue_writer(landed, out, COSTS, 0.02)
-    started = (
-        days.writeStream.foreachBatch(writer)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with sources.state_partitions(spark):
+        started = (
+            days.writeStream.foreachBatch(writer)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
     started.awaitTermination()
     return spark.read.parquet(out)
 

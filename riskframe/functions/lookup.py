@@ -109,13 +109,18 @@ def ecdf_position(df: DataFrame, c: str, grid: Sequence[float], out: str) -> Dat
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches null keys; the left side's key columns are kept."""
+    """Equi-join that also matches null keys; the left side's key columns are kept.
+
+    A key that one side declares non-null is compared plainly: the result is the same, and a
+    partitioning that the side already has can be used.
+    """
     if not keys:
         raise ValueError("a join needs at least one key")
+    maybe_null = {f.name for f in left.schema if f.nullable} & {f.name for f in right.schema if f.nullable}
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = None
     for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        term = F.col(k).eqNullSafe(F.col(f"__r_{k}")) if k in maybe_null else F.col(k) == F.col(f"__r_{k}")
         condition = term if condition is None else condition & term
     joined = left.join(renamed, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
@@ -132,7 +137,9 @@ def lookup(
     right = table.select(
         F.col(table_key).alias("__lk"), *[F.col(v).alias(f"__v_{v}") for v in values]
     )
-    joined = df.join(right, F.col(key).eqNullSafe(F.col("__lk")), "left").drop("__lk")
+    plain = not df.schema[key].nullable or not right.schema["__lk"].nullable
+    same = F.col(key) == F.col("__lk") if plain else F.col(key).eqNullSafe(F.col("__lk"))
+    joined = df.join(right, same, "left").drop("__lk")
     for name, default in values.items():
         found = F.col(f"__v_{name}")
         joined = joined.withColumn(

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.config import GLOBAL, MISSING, OTHER
 from riskframe.functions import scalar as S
@@ -234,6 +235,13 @@ def select_by_null_share(train: DataFrame, columns: Sequence[str], limit: float)
 # ---- velocity ---------------------------------------------------------------------
 
 
+def _entity_key(df: DataFrame, key: str) -> Column:
+    """The entity with null as a value of its own: a number outside any id, or the text level."""
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    return S.level(key)
+
+
 def velocity(
     df: DataFrame,
     key: str = "card",
@@ -255,13 +263,17 @@ def velocity(
     if ragged:
         raise ValueError(f"windows must be multiples of the shortest one: {ragged}")
     names = list(windows)
-    arrivals = df.withColumns({"_t": F.col(ts).cast("long"), "_slot": S.floordiv(ts, slot)})
+    arrivals = df.withColumns(
+        {
+            "_k": _entity_key(df, key),
+            "_t": F.col(ts).cast("long"),
+            "_slot": F.coalesce(S.floordiv(ts, slot), F.lit(0)),
+        }
+    )
 
     # whole slots: counts ahead of a slot within each window, and the last time seen before it
-    per_slot = arrivals.groupBy(key, "_slot").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_t").alias("_last")
-    )
-    by_slot = Window.partitionBy(key).orderBy("_slot")
+    per_slot = arrivals.groupBy("_k", "_slot").agg(F.count(F.lit(1)).alias("_n"), F.max("_t").alias("_last"))
+    by_slot = Window.partitionBy("_k").orderBy("_slot")
     carried = {
         f"_w_{name}": F.coalesce(
             F.sum("_n").over(by_slot.rangeBetween(-(windows[name] // slot), -1)), F.lit(0)
@@ -269,7 +281,7 @@ def velocity(
         for name in names
     }
     slots = per_slot.select(
-        key,
+        "_k",
         "_slot",
         *[c.alias(n) for n, c in carried.items()],
         F.lag("_last").over(by_slot).alias("_prev_slot_last"),
@@ -282,19 +294,19 @@ def velocity(
     )
     payload = F.struct(*df.columns)
     swept = (
-        arrivals.select(key, "_t", F.col(id_).alias("_id"), payload.alias("_row"), F.inline(marks))
+        arrivals.select("_k", "_t", F.col(id_).alias("_id"), payload.alias("_row"), F.inline(marks))
         .select(
-            key,
+            "_k",
             (F.col("_t") + F.col("shift")).alias("_t"),
             "_id",
             "mark",
             F.when(F.col("mark") == "", F.col("_row")).alias("_row"),
         )
-        .withColumn("_slot", S.floordiv("_t", slot))
+        .withColumn("_slot", F.coalesce(S.floordiv("_t", slot), F.lit(0)))
     )
     arrival = (F.col("mark") == "").cast("int")
     # at one instant expiries come before arrivals, because the window is open on the left
-    order = Window.partitionBy(key, "_slot").orderBy("_t", arrival, "_id")
+    order = Window.partitionBy("_k", "_slot").orderBy("_t", arrival, "_id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     running = swept.withColumns(
@@ -304,7 +316,8 @@ def velocity(
             **{f"_x_{n}": F.sum((F.col("mark") == n).cast("int")).over(upto) for n in names},
         }
     ).where("mark = ''")
-    joined = null_safe_join(running, slots, [key, "_slot"])
+    # both keys are never null, so the sweep's own partitioning serves the join
+    joined = null_safe_join(running, slots, ["_k", "_slot"])
     gap = F.col("_t") - F.coalesce("_prev", "_prev_slot_last")
     counts = {
         f"vel_n{n}_{key}": (F.col(f"_w_{n}") + F.col("_pos") - F.col(f"_x_{n}")).cast("float") for n in names

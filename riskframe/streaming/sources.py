@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +30,21 @@ def use_rocksdb(spark: SparkSession) -> None:
     )
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Start a query with no more state partitions than cores.
+
+    The number is fixed in the checkpoint when a stateful query first starts, and unlike a
+    batch shuffle its partitions are not coalesced later.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def start_files(sdf: DataFrame, out: str, checkpoint: str, mode: str = "append", once: bool = True, name: str | None = None) -> StreamingQuery:
     """Stream to parquet; with `once`, everything available is processed and the query ends."""
     writer = sdf.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -41,5 +59,7 @@ def drain(sdf: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything available and read its output back as a table."""
     spark = sdf.sparkSession
     out, checkpoint = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    start_files(sdf, out, checkpoint).awaitTermination()
+    with state_partitions(spark):
+        started = start_files(sdf, out, checkpoint)
+    started.awaitTermination()
     return spark.read.schema(sdf.schema).parquet(out)
