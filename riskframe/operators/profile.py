@@ -454,8 +454,9 @@ def capture_at(df: DataFrame, columns: Sequence[str], volume: float, min_support
     )
     w = Window.partitionBy("column", "rate").orderBy(F.col("rows").desc(), "level")
     inside = F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = kept.withColumn("_in", inside).join(blocks, ["column", "rate"]).join(total, "column")
-    run = placed.where((F.col("_ahead") + F.col("_in")) / F.col("n") < volume)
+    # blocks that begin beyond the volume are dropped before anything inside a block is ordered
+    begun = kept.join(blocks, ["column", "rate"]).join(total, "column").where(F.col("_ahead") / F.col("n") < volume)
+    run = begun.withColumn("_in", inside).where((F.col("_ahead") + F.col("_in")) / F.col("n") < volume)
     out = run.groupBy("column").agg(
         F.count(F.lit(1)).alias("levels_used"),
         (F.sum("rows") / F.max("n")).alias("volume_covered"),

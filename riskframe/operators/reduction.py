@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions import scalar as S
-from riskframe.operators.features import apply_medians, fit_medians
+from riskframe.operators.features import fit_medians
 
 # Columns per aggregate, below the size where generated code is split.
 CHUNK = 100
@@ -171,7 +171,6 @@ def reduction_table(spark, fitted: Reduction, prefix: str = "vb_") -> DataFrame:
 
 __all__ = [
     "Reduction",
-    "apply_medians",
     "apply_reduction",
     "correlation_clusters",
     "fit_reduction",
