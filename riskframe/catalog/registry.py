@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.plans.sizing import release
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -71,7 +73,12 @@ def query(name: str, spec: str, sql: str | None = None, ctes: str = TXN) -> Call
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: shape(fn(spark, sf_dir), spec)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()
+            return shape(fn(spark, sf_dir), spec)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle(spec, sql, ctes)
         return fn

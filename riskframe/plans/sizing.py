@@ -31,6 +31,9 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
+_kept: list[DataFrame] = []
+
+
 def measured(df: DataFrame) -> DataFrame:
     """`df` cached and counted once, so the planner joins it by its real size.
 
@@ -38,9 +41,16 @@ def measured(df: DataFrame) -> DataFrame:
     """
     cached = df.persist()
     cached.count()
+    _kept.append(cached)
     return cached
 
 
+def release() -> None:
+    """Drop the cached helper tables of finished work; a result still unread is recomputed."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A table of parameters as a local relation: its size is known to the planner."""
     return spark.createDataFrame(rows, schema)
