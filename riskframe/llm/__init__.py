@@ -8,6 +8,7 @@ from __future__ import annotations
 from riskframe.llm.mixing import op3_mixing
 from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
+from riskframe.llm.simhash import op5_simhash
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_mixing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_mixing, op5_simhash, op9_quality_rules)}
 ORACLES: dict[str, str] = {}
