@@ -6,9 +6,14 @@
 from __future__ import annotations
 
 from riskframe.llm.mixing import op3_mixing
+from riskframe.llm.quality import op4_quality_classifier
 from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
 from riskframe.llm.simhash import op5_simhash
+from riskframe.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_mixing, op5_simhash, op9_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_sharding, op3_mixing, op4_quality_classifier, op5_simhash, op6_toxicity, op9_quality_rules)
+}
 ORACLES: dict[str, str] = {}
