@@ -11,9 +11,19 @@ from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
 from riskframe.llm.simhash import op5_simhash
 from riskframe.llm.toxicity import op6_toxicity
+from riskframe.llm.vectors import ORACLE as EMBEDDINGS_SQL
+from riskframe.llm.vectors import op8_embeddings
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sharding, op3_mixing, op4_quality_classifier, op5_simhash, op6_toxicity, op9_quality_rules)
+    for f in (
+        op2_sharding,
+        op3_mixing,
+        op4_quality_classifier,
+        op5_simhash,
+        op6_toxicity,
+        op8_embeddings,
+        op9_quality_rules,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_embeddings": EMBEDDINGS_SQL}
