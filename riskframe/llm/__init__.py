@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from riskframe.llm.extraction import op7_html
 from riskframe.llm.mixing import op3_mixing
 from riskframe.llm.quality import op4_quality_classifier
 from riskframe.llm.repetition import op9_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
         op4_quality_classifier,
         op5_simhash,
         op6_toxicity,
+        op7_html,
         op8_embeddings,
         op9_quality_rules,
     )

@@ -27,14 +27,16 @@ MEASURES = (
 )
 
 
-def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(
+    ids: np.ndarray, doc: np.ndarray, depth: int | None = None
+) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes that share their first words with another one of their document, in order, and
     the ranks of all substrings of 1, 2, 4, ... words.
 
     `ids` numbers the words of all documents one after another, `doc` (ascending) the documents;
     suffixes of different documents never compare equal. Ranks double in length until no two
     suffixes tie; each round sorts only those that still tie, so text without repeats costs one
-    full sort.
+    full sort. With `depth` the order, and the ranks, end at substrings of that many words.
     """
     n = len(ids)
     inverse = np.unique(doc * (int(ids.max(initial=0)) + 1) + ids, return_inverse=True)[1]
@@ -44,7 +46,7 @@ def suffix_array(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np.
     sizes = np.diff(starts)[inverse]
     tied = np.flatnonzero(sizes > 1)
     length = 1
-    while len(tied):
+    while len(tied) and (depth is None or length < depth):
         after = np.minimum(tied + length, n)
         after = np.where(doc[np.minimum(after, n - 1)] == doc[tied], rank[after], -1)
         key = rank[tied] * (n + 1) + after + 1
