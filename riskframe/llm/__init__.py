@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+from riskframe.llm.encoding import op10_sentencepiece
 from riskframe.llm.extraction import op7_html
 from riskframe.llm.mixing import op3_mixing
 from riskframe.llm.quality import op4_quality_classifier
 from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
 from riskframe.llm.simhash import op5_simhash
+from riskframe.llm.tokens import op1_token_counts
 from riskframe.llm.toxicity import op6_toxicity
 from riskframe.llm.vectors import ORACLE as EMBEDDINGS_SQL
 from riskframe.llm.vectors import op8_embeddings
@@ -18,6 +20,7 @@ from riskframe.llm.vectors import op8_embeddings
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_token_counts,
         op2_sharding,
         op3_mixing,
         op4_quality_classifier,
@@ -26,6 +29,7 @@ QUERIES = {
         op7_html,
         op8_embeddings,
         op9_quality_rules,
+        op10_sentencepiece,
     )
 }
 ORACLES = {"op8_embeddings": EMBEDDINGS_SQL}
