@@ -21,8 +21,10 @@ NGRAMS = (3, 4)
 EPOCHS = 6
 RATE = 4.0
 # Labelled rows the model is fitted on at most: those of the smallest seeded hashes.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 SEED = 7
+# Score from which a text is predicted to be good.
+KEPT_FROM = 0.3
 # Words a task keeps the score of.
 KNOWN_WORDS = 300_000
 
@@ -69,13 +71,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    shares = [(at, n / max(1, n.sum())) for at, n in bags]
     steps, done = max(1, EPOCHS * len(bags)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)):
             rate = RATE * (1 - done / steps)
             done += 1
-            at, share = shares[i]
+            at, n = bags[i]
+            share = (n / max(1, n.sum())).astype(np.float32)
             hidden = share @ vectors[at] if len(at) else np.zeros(DIMENSIONS)
             logits = output @ hidden + bias
             p = np.exp(logits - logits.max())
@@ -126,15 +128,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [bag(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "label": batch["label"], "at": [f[0] for f in found], "n": [f[1] for f in found]}
-            )
+            packed = [[np.array(x, dtype="<i4").tobytes() for x in bag(t)] for t in batch["text"]]
+            at, n = zip(*packed, strict=True) if packed else ((), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "at": at, "n": n})
 
     sample = labelled(docs.select("doc_id", "text"), labels, label)
-    rows = sample.mapInPandas(bags, "doc_id long, label int, at array<int>, n array<int>").toPandas()
+    rows = sample.mapInPandas(bags, "doc_id long, label int, at binary, n binary").toPandas()
     rows = rows.sort_values("doc_id", ignore_index=True)
-    pairs = [(np.asarray(a, dtype=np.int64), np.asarray(n, dtype=np.float64)) for a, n in zip(rows["at"], rows["n"], strict=True)]
+    pairs = [
+        (np.frombuffer(a, dtype="<i4"), np.frombuffer(n, dtype="<i4")) for a, n in zip(rows["at"], rows["n"], strict=True)
+    ]
     return fit(pairs, rows["label"].to_numpy())
 
 
@@ -157,7 +160,7 @@ def score(text: Column, model: tuple[np.ndarray, float]) -> Column:
     return of(text)
 
 
-def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = KEPT_FROM) -> DataFrame:
     """`docs` with score (label 1 likelier the higher) and predicted."""
     return docs.withColumn("score", score(F.col("text"), model)).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")

@@ -133,13 +133,15 @@ def mine(texts: Iterable[tuple[set[str], int]]) -> dict[str, float]:
         for n in range(STEM, min(len(word), 9)):
             yield word[:n] + "*"
 
+    fixed = set(INSULTS)
+    often: Counter[str] = Counter()
+    for i in toxic:
+        often.update({p for word in texts[i][0] for p in patterns(word)})
+    often = {p for p, n in often.items() if n >= LEAST or p in fixed}
     where: dict[str, set[int]] = defaultdict(set)
     for i in toxic:
-        for word in texts[i][0]:
-            for p in patterns(word):
-                where[p].add(i)
-    fixed = set(INSULTS)
-    where = {p: s for p, s in where.items() if len(s) >= LEAST or p in fixed}
+        for p in {p for word in texts[i][0] for p in patterns(word)} & often:
+            where[p].add(i)
     seen: Counter[str] = Counter()
     for words, y in texts:
         if y != 1:
@@ -180,11 +182,14 @@ def fit(features: np.ndarray, labels: np.ndarray, steps: int = 400) -> tuple[np.
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[dict[str, float], np.ndarray, float]:
     """Lexicon weights, factors of the readings and bias, from a bounded labelled sample."""
     sample = labelled(docs.select("doc_id", "text"), labels, label).toPandas().sort_values("doc_id", ignore_index=True)
-    words = [split(t) for t in sample["text"]]
     y = sample["label"].to_numpy()
-    weights = mine(({bare(w) for w in set(own)}, int(one)) for own, one in zip(words, y, strict=True))
+    # one string for each word, however many texts hold it
+    shared: dict[str, str] = {}
+    seen = [({shared.setdefault(w, w) for w in map(bare, set(split(t)))}, int(one)) for t, one in zip(sample["text"], y, strict=True)]
+    weights = mine(seen)
+    del seen, shared
     lexicon = Lexicon(weights)
-    features = np.array([matched(own, lexicon) for own in words]).reshape(len(words), len(READINGS))
+    features = np.array([matched(split(t), lexicon) for t in sample["text"]]).reshape(len(y), len(READINGS))
     factors, bias = fit(features, y)
     return weights, factors, bias
 
