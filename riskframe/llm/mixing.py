@@ -35,8 +35,7 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
 
     A proportional share of every length comes first, rounded down, so the choice keeps the
     source's shape. Long documents fill what is left down to a window, and a bounded knapsack over
-    the lengths still at hand fits the window: `step[s]` is the item (some copies of one length)
-    that first reached sum s, so walking back from the nearest reachable sum uses no item twice.
+    the lengths still at hand fits the window.
     """
     whole = int((lengths * counts).sum())
     if budget <= 0 or whole == 0:
@@ -50,10 +49,30 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             k = min(int(counts[i] - take[i]), (left - FIT_WORDS) // int(lengths[i]))
             take[i] += k
             left -= k * int(lengths[i])
-    spare = counts - take
+    fitted, off = fill(lengths, counts - take, left)
+    if off:
+        # not exact: copies of long documents are given back, so that others can take their place
+        room = 2 * int(lengths.max()) + FIT_WORDS
+        back = np.zeros_like(take)
+        for i in np.argsort(-lengths, kind="stable"):
+            back[i] = min(int(take[i]), max(0, (room - left) // max(1, int(lengths[i]))), 2)
+            left += int(back[i] * lengths[i])
+        again, nearer = fill(lengths, counts - take + back, left)
+        if nearer < off:
+            return take - back + again
+    return take + fitted
+
+
+def fill(lengths: np.ndarray, spare: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """Bounded knapsack: copies of each length whose sum is nearest to `left`, and how far it is.
+
+    `step[s]` is the item (some copies of one length) that first reached sum s, so walking back
+    from the nearest reachable sum uses no item twice.
+    """
+    take = np.zeros_like(spare)
     usable = [i for i in np.argsort(lengths, kind="stable") if lengths[i] > 0 and spare[i] > 0]
     if left <= 0 or not usable:
-        return take
+        return take, abs(left)
     top = left + int(lengths[usable[0]])
     reach = np.zeros(top + 1, dtype=bool)
     reach[0] = True
@@ -61,6 +80,8 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     items: list[tuple[int, int]] = []
     for i in usable:
         length = int(lengths[i])
+        if reach[left] or length > top:
+            break
         free, k = min(int(spare[i]), top // length), 1
         while free > 0 and not reach[left]:
             k = min(k, free)
@@ -69,15 +90,14 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             reach[k * length :] |= new
             items.append((i, k))
             free, k = free - k, 2 * k
-        if reach[left] or length > top:
-            break
     sums = np.flatnonzero(reach)
     at = int(sums[np.argmin(np.abs(sums - left))])
+    off = abs(at - left)
     while at > 0:
         i, k = items[step[at]]
         take[i] += k
         at -= k * int(lengths[i])
-    return take
+    return take, off
 
 
 def mix(
@@ -166,6 +186,22 @@ def mix(
     )
 
 
+def repeated(docs: DataFrame, **settings: object) -> DataFrame:
+    """The mix itself: every row of `docs` as often as `mix` takes it, rows taken 0 times gone.
+
+    Takes the settings of `mix`. Rows meet their counts by doc_id; rows that repeat an id all take
+    the largest count of theirs.
+    """
+    doc_id = settings.get("doc_id", "doc_id")
+    counts = mix(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    counts = counts.where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    return (
+        docs.join(counts, F.col(doc_id).eqNullSafe(F.col("__id")))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+        .drop("__copy", "__copies", "__id")
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: sources weigh 5, 2, 1, no target above three times its source."""
     return mix(table(spark, sf_dir, "documents"))
