@@ -179,7 +179,7 @@ def null_pattern_groups(spark, d):
 )
 def correlation_matrix(spark, d):
     names = ["v1", "v2", "v3"]
-    r = reduction.correlations(wide_nulls(spark, d), names)
+    r = reduction.group_correlations(wide_nulls(spark, d), [names])[0]
     pairs = [(names[i], names[j], float(r[i, j])) for i in range(3) for j in range(i + 1, 3)]
     return spark.createDataFrame(pairs, "a string, b string, r double")
 

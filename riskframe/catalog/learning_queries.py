@@ -94,10 +94,9 @@ def isotonic_fit(spark, d):
                     ELSE 0.1 + (s - 0.5) / 0.3 * 0.8 END AS isotonic FROM ({SCORED_SQL})""",
 )
 def calibrator_apply(spark, d):
-    platt = {"method": "platt", "a": 1.5, "b": -0.25, "clip": 1e-15}
-    isotonic = {"method": "isotonic", "score": [0.2, 0.5, 0.8], "probability": [0.01, 0.1, 0.9]}
-    rows = calibration.apply_calibrator(scored(spark, d), platt, out="platt")
-    return calibration.apply_calibrator(rows, isotonic, out="isotonic")
+    platt = calibration.Platt(1.5, -0.25)
+    isotonic = calibration.Isotonic(((0.2, 0.5, 0.8), (0.01, 0.1, 0.9)))
+    return isotonic.apply(platt.apply(scored(spark, d), "score", "platt"), "score", "isotonic")
 
 
 @query("calibration_cross_fit", "id:i fold:i platt:f isotonic:f")

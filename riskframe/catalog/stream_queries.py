@@ -9,6 +9,7 @@ from riskframe.catalog.inputs import table, txn_columns
 from riskframe.catalog.metric_queries import COSTS, ev_sql
 from riskframe.catalog.registry import TXN, query
 from riskframe.operators import features
+from riskframe.operators.calibration import Platt
 from riskframe.operators.horizon import Fitted
 from riskframe.operators.splits import add_time_columns
 from riskframe.session import scratch_path
@@ -16,9 +17,29 @@ from riskframe.streaming import rates, scoring, sources
 from riskframe.streaming.velocity import velocity_stream
 
 
-def event_stream(spark, d, glob="events.parquet"):
-    schema = table(spark, d, "events").schema
-    return sources.file_stream(spark, d, schema, glob)
+# Days from the last event to the heartbeat: beyond every delay, window and label wait used here.
+QUIET_DAYS = 400
+
+
+def event_stream(spark, d):
+    """The events as a stream, and one heartbeat event long after the last.
+
+    The heartbeat stands for the traffic that goes on after any row: it moves the watermark past
+    all rows, so every window, session and held row comes out. It has id -1 and never closes.
+    """
+    events = table(spark, d, "events")
+    landed = scratch_path(spark, "heartbeat")
+    last = events.agg(F.max("ts").alias("ts"))
+    beat = last.select(
+        F.lit(-1).cast("long").alias("event_id"),
+        (F.col("ts") + F.expr(f"INTERVAL {QUIET_DAYS} DAYS")).alias("ts"),
+        F.lit(-1).alias("user_id"),
+        F.lit(1.0).alias("value"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name in ("event_type", "props")],
+    )
+    beat.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).write.parquet(landed)
+    beats = sources.file_stream(spark, landed, events.schema)
+    return sources.file_stream(spark, d, events.schema, "events.parquet").unionByName(beats)
 
 
 def txn_stream(spark, d):
@@ -42,26 +63,24 @@ def stream_scoring(spark, d):
         ["product"],
         ["product"],
     )
-    calibrator = {"method": "platt", "a": 0.8, "b": -1.0, "clip": 1e-15}
+    calibrator = Platt(0.8, -1.0)
 
     def scorer(df):
         return df.withColumn("score", 0.01 + 0.9 * F.col("score"))
 
     decided = scoring.score_stream(txn_stream(spark, d), fitted, scorer, calibrator, COSTS, ["amount", "product"])
-    return sources.drain(decided, "scoring")
+    return sources.drain(decided, "scoring").where("id >= 0")
 
 
 @query(
     "stream_velocity",
     "id:i card:i n1h:i n24h:i n7d:i recency:f",
-    f"""SELECT id, card, n1h, n24h, n7d, round(CAST(recency AS DOUBLE), 4) AS recency FROM ({VELOCITY_SQL.format(source='txn')})
-        WHERE id IN (SELECT id FROM txn WHERE dt < (SELECT max(dt) FROM txn) - 86400 * 2)""",
+    f"SELECT id, card, n1h, n24h, n7d, round(CAST(recency AS DOUBLE), 4) AS recency FROM ({VELOCITY_SQL.format(source='txn')})",
 )
 def stream_velocity(spark, d):
-    sources.use_rocksdb(spark)
-    out = sources.drain(velocity_stream(txn_stream(spark, d), "1 hour"), "velocity")
-    bound = txn_columns(table(spark, d, "events")).agg((F.max("dt") - 86_400 * 2).alias("b")).scalar()
-    return out.where(F.col("dt") < bound).select(
+    with sources.rocksdb(spark):
+        out = sources.drain(velocity_stream(txn_stream(spark, d), "1 hour"), "velocity")
+    return out.where("id >= 0").select(
         "id",
         "card",
         F.col("vel_n1h_card").alias("n1h"),
@@ -75,7 +94,28 @@ def stream_velocity(spark, d):
 def stream_dedup(spark, d):
     twice = F.explode(F.array(F.lit(0), F.lit(1)))
     doubled = txn_stream(spark, d).select("*", twice.alias("copy"))
-    return sources.drain(scoring.dedup(doubled, "id", "event_time", "60 days"), "dedup").select("id")
+    return sources.drain(scoring.dedup(doubled, "id", "event_time", "60 days"), "dedup").select("id").where("id >= 0")
+
+
+@query(
+    "stream_late_rows",
+    "dropped:i",
+    """SELECT count(*) AS dropped FROM txn WHERE day <= 10 AND dt < (SELECT max(dt) FROM txn WHERE day > 10) - 3600""",
+)
+def stream_late_rows(spark, d):
+    """The first ten days arrive after all others; what is older than the watermark is counted."""
+    rows = txn_columns(table(spark, d, "events"))
+    folder, out, checkpoint = (scratch_path(spark, f"late-{x}") for x in ("in", "out", "ckpt"))
+    days = F.floor(F.col("dt") / 86_400)
+    dropped = 0
+    for arriving in (days > 10, days <= 10):
+        rows.where(arriving).write.mode("append").parquet(folder)
+        sdf = scoring.event_time(sources.file_stream(spark, folder, rows.schema))
+        with sources.state_partitions(spark):
+            started = sources.start_files(scoring.dedup(sdf, "id", "event_time", "1 hour").select("id"), out, checkpoint)
+        started.awaitTermination()
+        dropped += scoring.late_rows(started)
+    return spark.createDataFrame([(dropped,)], "dropped long")
 
 
 STREAM = TXN + """,
@@ -93,7 +133,7 @@ def decided_stream(spark, d):
 @query(
     "stream_tumbling_rates",
     "day:i rows:i blocked:i mean_probability:f",
-    "SELECT day, count(*) AS rows, sum(blocked) AS blocked, avg(score) AS mean_probability FROM sd WHERE day < 30 GROUP BY 1",
+    "SELECT day, count(*) AS rows, sum(blocked) AS blocked, avg(score) AS mean_probability FROM sd GROUP BY 1",
     STREAM,
 )
 def stream_tumbling_rates(spark, d):
@@ -106,7 +146,7 @@ def stream_tumbling_rates(spark, d):
     "start_hour:i rows:i blocked:i",
     """SELECT h AS start_hour, count(*) AS rows, sum(blocked) AS blocked FROM (
          SELECT *, unnest([dt // 21600 * 6 - 18, dt // 21600 * 6 - 12, dt // 21600 * 6 - 6, dt // 21600 * 6]) AS h FROM sd)
-       WHERE (h + 24) * 3600 <= (SELECT max(dt) FROM sd) - 3600 GROUP BY 1""",
+       GROUP BY 1""",
     STREAM,
 )
 def stream_sliding_rates(spark, d):
@@ -120,8 +160,7 @@ def stream_sliding_rates(spark, d):
     """WITH x AS (SELECT card, dt, amount, CASE WHEN dt - lag(dt) OVER (PARTITION BY card ORDER BY dt, id) < 21600 THEN 0 ELSE 1 END AS s,
                          row_number() OVER (PARTITION BY card ORDER BY dt, id) AS rn FROM txn),
             y AS (SELECT *, sum(s) OVER (PARTITION BY card ORDER BY rn) AS k FROM x)
-       SELECT card, count(*) AS rows, sum(amount) AS amount, min(dt) AS start FROM y GROUP BY card, k
-       HAVING max(dt) + 21600 <= (SELECT max(dt) FROM txn) - 3600""",
+       SELECT card, count(*) AS rows, sum(amount) AS amount, min(dt) AS start FROM y GROUP BY card, k""",
 )
 def stream_sessions(spark, d):
     rows = scoring.watermarked(txn_stream(spark, d), "event_time", "1 hour")
@@ -133,7 +172,7 @@ def stream_sessions(spark, d):
     "stream_bins",
     "day:i column:s bin:i n:i",
     """SELECT day, 'amount' AS "column", CAST(amount > 20 AS INT) + CAST(amount > 60 AS INT) AS bin, count(*) AS n FROM txn
-       WHERE day < 30 GROUP BY 1, 3""",
+       GROUP BY 1, 3""",
 )
 def stream_bins(spark, d):
     from riskframe.operators.drift import ReferenceBins
@@ -146,14 +185,22 @@ def stream_bins(spark, d):
 @query(
     "stream_review_queue",
     "id:i day:i gain:f review_share:f",
-    "SELECT id, day, gain, share AS review_share FROM ev WHERE share > 0 AND day < 30",
+    "SELECT id, day, gain, share AS review_share FROM ev WHERE share > 0",
     TXN + "," + ev_sql(src="txn", cap=0.02),
 )
 def stream_review_queue(spark, d):
     landed, out = scratch_path(spark, "landed"), scratch_path(spark, "queue")
     checkpoint = scratch_path(spark, "queue-ckpt")
-    rows = add_time_columns(txn_columns(table(spark, d, "events"))).withColumn("p", F.col("score"))
-    rows.write.partitionBy("day").parquet(landed)
+    rows = txn_stream(spark, d).withColumn("p", F.col("score")).where("id >= 0")
+    landing = (
+        rows.writeStream.format("parquet")
+        .partitionBy("day")
+        .option("path", landed)
+        .option("checkpointLocation", scratch_path(spark, "landed-ckpt"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    landing.awaitTermination()
     days = rates.closed_days(scoring.watermarked(txn_stream(spark, d), "event_time", "1 hour"))
     writer = rates.review_queue_writer(landed, out, COSTS, 0.02)
     with sources.state_partitions(spark):
@@ -170,14 +217,14 @@ def stream_review_queue(spark, d):
 @query(
     "stream_label_maturity",
     "id:i label:i delay_days:i",
-    """SELECT id, is_fraud AS label, id % 4 + 1 AS delay_days FROM txn WHERE id % 3 = 0""",
+    """SELECT id, CASE WHEN id % 3 = 0 THEN is_fraud END AS label, CASE WHEN id % 3 = 0 THEN id % 4 + 1 END AS delay_days FROM txn""",
 )
 def stream_label_maturity(spark, d):
     predictions = txn_stream(spark, d).select("id", "event_time", "score")
     delay = F.pmod(F.col("id"), F.lit(4)) + 1
-    labels = txn_stream(spark, d).where("id % 3 = 0").select(
+    labels = txn_stream(spark, d).where("id % 3 = 0 or id = -1").select(
         "id", F.timestamp_seconds(F.col("dt") + delay * 86_400).alias("label_time"), "is_fraud"
     )
-    out = sources.drain(rates.mature_labels(predictions, labels), "maturity").where("label is not null")
+    out = sources.drain(rates.mature_labels(predictions, labels), "maturity").where("id >= 0")
     return out.select("id", "label", F.date_diff("label_time", "event_time").alias("delay_days"))
 

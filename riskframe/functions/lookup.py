@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -28,6 +29,8 @@ def edge_position(c: str, edges: Sequence[float], side: str = "left") -> Column:
     """How many sorted edges lie below a value (`left`), or at or below it (`right`)."""
     if side not in ("left", "right"):
         raise ValueError(f"side must be left or right, got {side!r}")
+    if not all(math.isfinite(e) for e in edges):
+        raise ValueError("edges must be finite numbers")
     name = f"CAST(`{c}` AS DOUBLE)"
     found = _tree(name, list(edges), side == "right", 0, len(edges))
     return F.expr(f"IF({name} IS NULL OR isnan({name}), CAST(NULL AS INT), {found})")
@@ -43,8 +46,8 @@ def bin_by_edges(
     negated axis.
     """
     edges = [float(e) for e in edges]
-    if any(a > b for a, b in zip(edges, edges[1:])):
-        raise ValueError("edges are not sorted ascending")
+    if not all(math.isfinite(e) for e in edges) or any(a > b for a, b in zip(edges, edges[1:])):
+        raise ValueError("edges must be finite and sorted ascending")
     if len(edges) <= TREE_EDGES:
         return df.withColumn(out, edge_position(c, edges, side))
     value = F.col(c).cast("double")
@@ -93,7 +96,8 @@ def interpolate(
     y0, y1 = F.element_at(table_y, at), F.element_at(table_y, at + 1)
     inside = y0 + (x - x0) / (x1 - x0) * (y1 - y0)
     value = (
-        F.when(x <= xs[0], F.lit(float(ys[0])))
+        F.when(F.isnan(x), F.lit(float("nan")))
+        .when(x <= xs[0], F.lit(float(ys[0])))
         .when(x >= xs[-1], F.lit(float(ys[-1])))
         .when(x.isNotNull(), inside)
     )

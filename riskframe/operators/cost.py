@@ -53,6 +53,22 @@ def check_inputs(df: DataFrame, p: str = "p", amount: str = "amount") -> DataFra
     return df
 
 
+def decidable(p: Column | str, amount: Column | str) -> Column:
+    """Whether a decision can be made: a probability in [0, 1] and a finite amount of 0 or more."""
+    prob, value = _c(p).cast("double"), _c(amount).cast("double")
+    fits = (prob >= 0) & (prob <= 1) & (value >= 0) & (value < F.lit(float("inf"))) & ~F.isnan(prob) & ~F.isnan(value)
+    return F.coalesce(fits, F.lit(False))
+
+
+def _refused(p: Column | str, amount: Column | str) -> Column:
+    """The probability, or the end of the job where no decision can be made from the row."""
+    shown = F.concat_ws(
+        ", ", F.coalesce(_c(p).cast("string"), F.lit("null")), F.coalesce(_c(amount).cast("string"), F.lit("null"))
+    )
+    told = F.concat(F.lit("no decision can be made from probability and amount "), shown)
+    return F.when(decidable(p, amount), _c(p)).otherwise(F.raise_error(told).cast("double"))
+
+
 def break_even(amount: Column | str, costs: Costs | CostColumns) -> Column:
     """Probability above which blocking is cheaper than allowing."""
     k = costs if isinstance(costs, CostColumns) else CostColumns(costs)
@@ -60,8 +76,9 @@ def break_even(amount: Column | str, costs: Costs | CostColumns) -> Column:
 
 
 def expected_costs(p: Column | str, amount: Column | str, costs: Costs | CostColumns) -> dict[str, Column]:
+    """Expected cost of each action; a row that cannot be decided fails the job."""
     k = costs if isinstance(costs, CostColumns) else CostColumns(costs)
-    prob, value = _c(p), _c(amount)
+    prob, value = _refused(p, amount), _c(amount)
     return {
         ALLOW: prob * (value + k.fee),
         BLOCK: (1 - prob) * k.fp,
@@ -99,6 +116,10 @@ def realised_cost(action: Column | str, y: Column | str, amount: Column | str, c
 # ---- review under a daily capacity ------------------------------------------------------
 
 
+def _last_if_null(priority: str) -> Column:
+    return F.coalesce(F.col(priority).cast("double"), F.lit(float("-inf")))
+
+
 def review_cuts(
     df: DataFrame,
     priority: str,
@@ -150,25 +171,6 @@ def share_of(priority: Column | str, eligible: Column | str | None = None) -> Co
     )
 
 
-def _direct_shares(
-    df: DataFrame, priority: str, fraction: float | str, eligible: Column | str | None, keys: Sequence[str], out: str
-) -> DataFrame:
-    ok = F.lit(True) if eligible is None else F.coalesce(_c(eligible), F.lit(False))
-    share_of_day = F.lit(fraction) if not isinstance(fraction, str) else F.col(fraction)
-    day = Window.partitionBy(*keys)
-    # eligible rows come first, so their rank ignores the others
-    by_rank = day.orderBy(F.col("_ok").desc(), F.col(priority).desc())
-    marked = df.withColumn("_ok", ok).select(
-        "*",
-        F.floor(share_of_day * F.count(F.lit(1)).over(day) + CAPACITY_TOLERANCE).alias("_cap"),
-        F.rank().over(by_rank).alias("_rank"),
-        F.count(F.lit(1)).over(Window.partitionBy(*keys, "_ok", priority)).alias("_tied"),
-    )
-    left = (F.col("_cap") - (F.col("_rank") - 1)) / F.col("_tied")
-    share = F.when(F.col("_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), left))).otherwise(0.0)
-    return marked.withColumn(out, share).drop("_ok", "_cap", "_rank", "_tied")
-
-
 def review_shares(
     df: DataFrame,
     priority: str,
@@ -181,18 +183,16 @@ def review_shares(
 ) -> DataFrame:
     """`df` with each row's share of a review: 1 above the day's cut, the rest split at it.
 
-    Row order never matters. An input one task may order needs one exchange and no join. A
-    larger one looks the cuts up per day. That table is broadcast when `day_bound`, the number
-    of days the layout allows, proves it small; otherwise it is measured and the planner decides.
+    Row order never matters. A row without a priority comes after all others and shares what they
+    leave. The cuts are looked up per day; their table is broadcast when `day_bound`, the number of
+    days the layout allows, proves it small, otherwise its measured size decides.
     """
     keys = [*groups, day]
-    seen = profile(df, priority)
-    if seen.direct:
-        return _direct_shares(df, priority, fraction, eligible, keys, out)
-    cuts = review_cuts(df, priority, fraction, eligible, day, groups, seen)
+    ranked = df.withColumn("_priority", _last_if_null(priority))
+    cuts = review_cuts(ranked, "_priority", fraction, eligible, day, groups, profile(ranked, "_priority"))
     table = cuts.drop("rows")
-    joined = null_safe_join(df, measured(table) if day_bound is None else bounded(table, day_bound), keys)
-    return joined.withColumn(out, share_of(priority, eligible)).drop("cap", "cut", "cut_share")
+    joined = null_safe_join(ranked, measured(table) if day_bound is None else bounded(table, day_bound), keys)
+    return joined.withColumn(out, share_of("_priority", eligible)).drop("cap", "cut", "cut_share", "_priority")
 
 
 # ---- policies ---------------------------------------------------------------------------
@@ -220,7 +220,7 @@ def rules_policy(
 def naive_policy(df: DataFrame, threshold: float = 0.5, p: str = "p") -> DataFrame:
     return df.withColumns(
         {
-            "fallback": F.when(F.col(p) >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW)),
+            "fallback": F.when(_refused(p, F.lit(0.0)) >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW)),
             "review_share": F.lit(0.0),
         }
     )
@@ -485,9 +485,11 @@ def recorded_differences(computed: DataFrame, record: DataFrame, columns: Sequen
 
 
 def check_rows(computed: DataFrame, record: DataFrame, columns: Sequence[str]) -> None:
-    found = [r.asDict() for r in recorded_differences(computed, record, columns).limit(10).collect()]
-    if found:
-        raise ValueError(f"the record is not reproduced: {found}")
+    differences = recorded_differences(computed, record, columns)
+    count = differences.count()
+    if count:
+        shown = [r.asDict() for r in differences.limit(10).collect()]
+        raise ValueError(f"the record is not reproduced: {count} figures differ, for one {shown}")
 
 
 # ---- row decisions ---------------------------------------------------------------------------
@@ -499,10 +501,11 @@ def decide(
 ) -> DataFrame:
     """Decision and its audit columns, for batch and stream alike.
 
-    A row without a probability falls back to the rules: allowed, eligible for review, and
-    queued by its points.
+    A row without a usable probability (null, not finite, outside [0, 1]) falls back to the rules:
+    allowed, eligible for review, and queued by its points. A scored row needs a finite amount of
+    0 or more.
     """
-    scored = F.col(p).isNotNull()
+    scored = decidable(p, F.lit(0.0))
     gain = review_gain(p, amount, costs)
     fallback_priority = F.col(points) if points else F.lit(None).cast("double")
     carried = [c for c in history if c in df.columns]

@@ -232,9 +232,13 @@ def ratio_by(df: DataFrame, value: str, values: Sequence[float], segment: str, l
 
 
 def log_histogram(df: DataFrame, value: str, bins: int, label: str = Y) -> DataFrame:
-    """Log-spaced histogram per class, as shares of the class; the last bin is closed."""
+    """Log-spaced histogram per class, as shares of the class; the last bin is closed.
+
+    Rows without a value are in no bin and in no share.
+    """
     import math
 
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     if span["lo"] is None or span["lo"] <= 0:
         raise ValueError("a log-spaced histogram needs positive values")

@@ -68,9 +68,10 @@ def ranking_metrics(
 
 def check_two_classes(metrics: DataFrame) -> DataFrame:
     """Refuse a group that holds a single class."""
-    found = [r.asDict() for r in metrics.where("pr_auc is null").limit(10).collect()]
-    if found:
-        raise ValueError(f"ranking metrics need both classes: {found}")
+    single = metrics.where("pr_auc is null")
+    count = single.count()
+    if count:
+        raise ValueError(f"both classes are needed; {count} groups hold one only, for one {single.first().asDict()}")
     return metrics
 
 
@@ -101,15 +102,15 @@ def recall_at_capacity(
 
     The quota is `floor(rows · capacity)`, ties go to the smaller `tiebreak`. Instead of
     ranking rows, each day's cut score is looked up exactly; then only positives are compared
-    with it, and only the block tied at the cut is ordered by the tiebreak.
+    with it, and only the block tied at the cut is ordered by the tiebreak, a number, date or text.
+    Rows without a score come last.
     """
     bad = [c for c in capacities if not 0 < c <= 1]
     if bad:
         raise ValueError(f"capacities must lie in (0, 1], got {bad}")
     per_day = [*groups, day]
+    df = df.withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
     seen = profile(df, score)
-    if seen.direct:
-        return _capacity_direct(df, capacities, label, score, per_day, tiebreak, groups)
     cap_column = F.explode(F.array(*[F.lit(float(c)) for c in capacities]))
     days = measured(
         df.groupBy(*per_day).agg(
@@ -177,38 +178,6 @@ def _capacity_entries(joined: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def _capacity_direct(
-    df: DataFrame, capacities: Sequence[float], label: str, score: str, per_day: Sequence[str], tiebreak: str,
-    groups: Sequence[str],
-) -> DataFrame:
-    """The same entries for an input one task may order: one exchange, one sort per day."""
-    day = Window.partitionBy(*per_day)
-    ranked = day.orderBy(F.col(score).desc(), F.col(tiebreak).asc())
-    caps = F.explode(F.array(*[F.lit(float(c)) for c in capacities]))
-    rows = df.select(
-        *per_day,
-        F.col(label).cast("long").alias("_y"),
-        (F.row_number().over(ranked) - 1).alias("_at"),
-        (F.lead(score).over(ranked) == F.col(score)).alias("_next_ties"),
-        F.count(F.lit(1)).over(day).alias("_n"),
-    ).select("*", caps.alias("capacity"))
-    quota = F.floor(F.col("_n") * F.col("capacity")).cast("long")
-    per_cap = rows.withColumn("_q", quota).groupBy(*per_day, "capacity").agg(
-        F.max("_q").alias("quota"),
-        F.sum("_y").alias("p"),
-        F.sum(F.when(F.col("_at") < F.col("_q"), F.col("_y")).otherwise(0)).alias("caught"),
-        F.count_if((F.col("_at") == F.col("_q") - 1) & F.col("_next_ties")).alias("ambiguous"),
-    )
-    whole = per_cap.groupBy(*groups, "capacity").agg(
-        F.sum("quota").alias("reviewed"),
-        F.sum("p").alias("positives"),
-        F.sum("caught").alias("caught"),
-        F.sum("ambiguous").alias("ambiguous_days"),
-        F.sum(F.least("quota", "p")).alias("_best"),
-    )
-    return _capacity_entries(whole, groups)
-
-
 def recall_ceiling(df: DataFrame, capacities: Sequence[float], label: str = "is_fraud", day: str = "day", groups: Sequence[str] = ()) -> DataFrame:
     """What ranking on the label itself would catch: quota or positives, whichever is smaller."""
     days = df.groupBy(*groups, day).agg(
@@ -253,12 +222,15 @@ def evaluate(
 def log_loss(y: str, p: str):
     # Fixed value: double epsilon, the distance probabilities keep from 0 and 1.
     eps = 2.220446049250313e-16
-    q = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p)))
+    # greatest and least pass over nulls, so a missing probability has to be caught before
+    q = F.when(F.col(p).isNotNull(), F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(p))))
     return -(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
 
 
 def _binned(df: DataFrame, p: str, bins: int, groups: Sequence[str]) -> DataFrame:
+    """Rows with a probability, each in its quantile bin; rows without one are left out."""
     probs = [i / bins for i in range(bins + 1)]
+    df = df.where(F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")))
     if not groups:
         found = quantiles(df, p, probs).collect()
         edges = sorted({r["value"] for r in found})

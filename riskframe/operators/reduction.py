@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from riskframe.functions import scalar as S
 from riskframe.operators.features import fit_medians
@@ -30,6 +30,7 @@ def null_fingerprints(df: DataFrame, columns: Sequence[str], id_: str) -> DataFr
     """`(column, nulls, present, fingerprint)`: columns null on the same rows agree on all three.
 
     The fingerprint XORs a hash of the ids of the null rows, so it combines before the shuffle.
+    NaN counts as null.
     """
     parts = []
     for start in range(0, len(columns), CHUNK):
@@ -38,9 +39,9 @@ def null_fingerprints(df: DataFrame, columns: Sequence[str], id_: str) -> DataFr
             *[
                 F.struct(
                     F.lit(c).alias("column"),
-                    F.count_if(F.col(c).isNull()).alias("nulls"),
-                    F.count(c).alias("present"),
-                    F.coalesce(F.bit_xor(F.when(F.col(c).isNull(), F.xxhash64(id_))), F.lit(0).cast("long")).alias("fingerprint"),
+                    F.count_if(_missing_as_null(df, c).isNull()).alias("nulls"),
+                    F.count(_missing_as_null(df, c)).alias("present"),
+                    F.coalesce(F.bit_xor(F.when(_missing_as_null(df, c).isNull(), F.xxhash64(id_))), F.lit(0).cast("long")).alias("fingerprint"),
                 ).alias(f"c{i}")
                 for i, c in enumerate(chunk)
             ]
@@ -65,43 +66,72 @@ def null_pattern_groups(df: DataFrame, columns: Sequence[str], id_: str) -> list
     return _grouped(null_fingerprints(df, columns, id_).collect(), columns)
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Pearson matrix over the rows complete in every one of the columns."""
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(complete)
-    return Correlation.corr(vectors, "v").first()[0].toArray()
+def _missing_as_null(df: DataFrame, c: str) -> Column:
+    x = F.col(c)
+    return F.nanvl(x, F.lit(None).cast("double")) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else x
 
 
 def group_correlations(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[np.ndarray]:
     """One Pearson matrix per group of columns, each over the rows complete in its own group.
 
-    Small groups share aggregates of pairwise coefficients, so a pass serves many groups; a
-    group with too many pairs goes through the distributed matrix statistic.
+    One pass takes the means, a second one the sums of products of all groups about them: a task
+    adds up its rows in small matrices, and Spark adds up the tasks. The way is the same for any
+    number of columns. NaN counts as missing. A column that does not vary over the complete rows
+    has no coefficient.
     """
     matrices = [np.eye(len(g)) for g in groups]
-    pairs, large = [], []
-    for g, columns in enumerate(groups):
-        if len(columns) * (len(columns) - 1) // 2 > CHUNK:
-            large.append(g)
-            continue
-        complete = F.lit(True)
-        for c in columns:
-            complete = complete & F.col(c).isNotNull()
-        for i in range(len(columns)):
-            for j in range(i + 1, len(columns)):
-                x, y = (F.when(complete, F.col(columns[k]).cast("double")) for k in (i, j))
-                pairs.append((g, i, j, F.corr(x, y)))
-    for start in range(0, len(pairs), CHUNK):
-        chunk = pairs[start : start + CHUNK]
-        row = df.agg(*[r.alias(f"r{k}") for k, (_, _, _, r) in enumerate(chunk)]).first()
-        for k, (g, i, j, _) in enumerate(chunk):
-            value = row[f"r{k}"]
-            matrices[g][i, j] = matrices[g][j, i] = np.nan if value is None else value
-    for g in large:
-        matrices[g] = correlations(df, groups[g])
+    columns = list(dict.fromkeys(c for g in groups if len(g) > 1 for c in g))
+    if not columns:
+        return matrices
+    usable = df.select(*[_missing_as_null(df, c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    means: dict[str, float] = {}
+    for start in range(0, len(columns), CHUNK):
+        part = usable.columns[start : start + CHUNK]
+        means |= usable.agg(*[F.avg(c).alias(c) for c in part]).first().asDict()
+    centre = np.array([means[c] or 0.0 for c in usable.columns])
+    places = [[columns.index(c) for c in g] if len(g) > 1 else [] for g in groups]
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros((len(at) + 1, len(at) + 1)) for at in places]
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64") - centre
+            known = ~np.isnan(x)
+            for g, at in enumerate(places):
+                if at:
+                    rows = x[known[:, at].all(axis=1)][:, at]
+                    rows = np.column_stack([rows, np.ones(len(rows))])
+                    sums[g] += rows.T @ rows
+        for g, m in enumerate(sums):
+            i, j = np.nonzero(np.triu(np.ones_like(m)))
+            yield pd.DataFrame({"g": g, "i": i, "j": j, "v": m[i, j]})
+
+    found = usable.mapInPandas(products, "g int, i int, j int, v double").groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
+    sums = [np.zeros((len(at) + 1, len(at) + 1)) for at in places]
+    for r in found.collect():
+        sums[r["g"]][r["i"], r["j"]] = sums[r["g"]][r["j"], r["i"]] = r["v"]
+    for g, at in enumerate(places):
+        if at:
+            matrices[g] = _pearson(sums[g], np.abs(centre[at]))
     return matrices
 
 
+def _pearson(m: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Coefficients from sums of products; the last row and column hold the sums and the count.
+
+    `scale` is the size of the values: what varies by less than their rounding does not vary.
+    """
+    count, total = m[-1, -1], m[-1, :-1]
+    if count == 0:
+        return np.where(np.eye(len(total), dtype=bool), 1.0, np.nan)
+    cross = m[:-1, :-1] - np.outer(total, total) / count
+    spread = np.diag(cross).copy()
+    rounding = 1e-12 * np.diag(m[:-1, :-1]) + count * (1e-14 * scale) ** 2
+    spread[spread <= rounding] = np.nan
+    r = cross / np.sqrt(np.outer(spread, spread))
+    np.fill_diagonal(r, 1.0)
+    return r
+
+
 def _greedy(columns: Sequence[str], r: np.ndarray, threshold: float) -> list[list[str]]:
     r = np.abs(r)
     clusters, open_ = [], list(range(len(columns)))

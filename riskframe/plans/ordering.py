@@ -2,25 +2,35 @@
 
 A plain ordered window over a whole table, or over one hot group, lands in one task. So every
 operator here first measures its input in one pass (row count and approximate quantile cuts of
-the order column). An input of at most `riskframe.direct.rows` rows fits a task and takes the
-plain window. Anything larger is cut into buckets at those quantiles: counts per bucket are
-small enough to accumulate in one place, and exact work happens inside a bucket only. Both
-ways give the same rows.
+the order column) and cuts it into buckets at some of those quantiles, one for every 50,000 rows
+or so. Counts per bucket are small enough to accumulate in one place, and exact work happens
+inside a bucket only. There is no other way for small inputs: they have one bucket.
+
+Nulls sort first and NaN last in ascending order, as in Spark. Texts are bucketed by their first
+bytes after what they all share.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, isfinite
+from os.path import commonprefix
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType
 
 from riskframe.functions.lookup import bin_by_edges, null_safe_join
 from riskframe.plans.sizing import measured
 
 Targets = Callable[[DataFrame], DataFrame]
 
+# Rows of a bucket, about; fewer buckets are made of less data.
+ROWS_PER_BUCKET = 50_000
+# Bytes of a text that fit a double exactly.
+TEXT_BYTES = 6
+
 
 def bucket_count(df: DataFrame) -> int:
     """Four buckets a shuffle partition, so that a bucket is well below a task's share."""
@@ -29,31 +39,59 @@ def bucket_count(df: DataFrame) -> int:
 
 
 class Profile(NamedTuple):
-    """What one pass over an order column says about how to process it."""
+    """What one pass over an order column says about how to process it: rows, bucket cuts, and
+    the bytes that all its texts begin with."""
 
     rows: int
     edges: list[float]
-    direct: bool
+    skip: int = 0
+
+
+def _axis(df: DataFrame, order: str, skip: int = 0) -> Column:
+    """The order column as a double that never decreases along it."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, StringType):
+        head = F.hex(F.substring(F.encode(order, "utf-8"), skip + 1, TEXT_BYTES))
+        return F.conv(F.rpad(head, 2 * TEXT_BYTES, "0"), 16, 10).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(order).cast("double")
+    return F.col(order).cast("double")
+
+
+def _shared_bytes(df: DataFrame, order: str) -> int:
+    if not isinstance(df.schema[order].dataType, StringType):
+        return 0
+    ends = df.agg(F.encode(F.min(order), "utf-8").alias("a"), F.encode(F.max(order), "utf-8").alias("b")).first()
+    return len(commonprefix([bytes(ends["a"] or b""), bytes(ends["b"] or b"")]))
+
+
+def _finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
-def direct_rows(df: DataFrame) -> int:
-    """Largest input, in rows, that one task may order by itself."""
-    return int(df.sparkSession.conf.get("riskframe.direct.rows", "1000000"))
+def _thinned(edges: Sequence[float] | None, rows: int, buckets: int) -> list[float]:
+    """Cuts that leave about `ROWS_PER_BUCKET` rows between them."""
+    step = max(1, ceil(buckets * ROWS_PER_BUCKET / max(1, rows)))
+    return sorted({e for e in (edges or [])[step - 1 :: step] if isfinite(e)})
 
 
 def profile(df: DataFrame, order: str, buckets: int | None = None) -> Profile:
-    """Row count and bucket cuts of an order column, in one aggregate."""
+    """Row count and bucket cuts of an order column, in one aggregate (two for texts)."""
     n = buckets or bucket_count(df)
     probs = [i / n for i in range(1, n)]
+    skip = _shared_bytes(df, order)
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(order).cast("double"), probs, 4 * n).alias("e"),
+        F.percentile_approx(_finite(_axis(df, order, skip)), probs, 4 * n).alias("e"),
     ).first()
-    return Profile(row["n"], sorted(set(row["e"] or [])), row["n"] <= direct_rows(df))
+    return Profile(row["n"], _thinned(row["e"], row["n"], n), skip)
 
 
-def _with_bucket(df: DataFrame, order: str, edges: Sequence[float]) -> DataFrame:
-    return bin_by_edges(df, order, edges, "right", "_b")
+def _with_bucket(df: DataFrame, order: str, seen: Profile) -> DataFrame:
+    """`_b`: null for nulls, one past the last bucket for NaN."""
+    marked = bin_by_edges(df.withColumn("_x", _axis(df, order, seen.skip)), "_x", seen.edges, "right", "_b")
+    last = F.lit(len(seen.edges) + 1)
+    return marked.withColumn("_b", F.when(F.isnan("_x"), last).otherwise(F.col("_b"))).drop("_x")
 
 
 def _scope(groups: Sequence[str]) -> list[Column]:
@@ -75,22 +113,11 @@ def prefix_sums(
 ) -> DataFrame:
     """Running totals of `values` along `order`, as `cum_<value>` and `total_<value>`.
 
-    The order column must be unique inside a group (aggregate ties first). Beyond the direct
-    size, every window over rows is confined to a `(group, bucket)` and bucket totals are
-    accumulated apart. `measured_by` may be the profile of the rows `df` was aggregated from.
+    The order column must be unique inside a group (aggregate ties first). Every window over rows
+    is confined to a `(group, bucket)` and bucket totals are accumulated apart. `measured_by` may be the profile of the rows `df` was aggregated from.
     """
     seen = measured_by or profile(df, order)
-    if seen.direct:
-        whole = Window.partitionBy(*_scope(groups))
-        upto = whole.orderBy(_direction(order, descending)).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return df.select(
-            "*",
-            *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values],
-            *[F.sum(v).over(whole).alias(f"total_{v}") for v in values],
-        )
-    marked = _with_bucket(df, order, seen.edges)
+    marked = _with_bucket(df, order, seen)
     keys = [*groups, "_b"]
     inside = Window.partitionBy(*keys).orderBy(_direction(order, descending)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -158,28 +185,6 @@ def _with_hits(spans: DataFrame, targets: DataFrame, start: str, length: str) ->
     return spans.withColumn("_t", packed).select(*spans.columns, F.inline(inside))
 
 
-def _direct_ranks(
-    present: DataFrame, order: str, targets: Targets | DataFrame, groups: Sequence[str], descending: bool
-) -> DataFrame:
-    steps = present.groupBy(*groups, order).agg(F.count(F.lit(1)).alias("tied"))
-    if callable(targets):
-        totals = steps.groupBy(*groups).agg(F.sum("tied").alias("n")).where("n is not null")
-        targets = targets(totals).drop("n")
-    upto = Window.partitionBy(*_scope(groups)).orderBy(_direction(order, descending)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = steps.select(
-        *groups,
-        F.col(order).alias("value"),
-        "tied",
-        (F.sum("tied").over(upto) - F.col("tied")).alias("before"),
-    )
-    if not groups:
-        return _with_hits(ranked, targets, "before", "tied")
-    hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("tied"))
-    return null_safe_join(targets, ranked, list(groups)).where(hit)
-
-
 def values_at_ranks(
     df: DataFrame,
     order: str,
@@ -192,16 +197,15 @@ def values_at_ranks(
 
     `targets` is a table `(groups…, rank, labels…)`, or a function that makes one out of
     `(groups…, n)`. Out come `value`, `before` (rows strictly ahead of it) and `tied`.
-    Beyond the direct size, only rows of buckets that hold a wanted rank are regrouped by value.
+    Rows whose order is null have no rank. Only rows of buckets that hold a wanted rank are
+    regrouped by value.
     """
     taken = sorted(set(groups) & {"value", "before", "tied", "rank", "n"})
     if taken:
         raise ValueError(f"group columns clash with the result's own columns: {taken}")
     present = df.where(F.col(order).isNotNull()).select(*groups, order)
     seen = measured_by or profile(present, order)
-    if seen.direct:
-        return _direct_ranks(present, order, targets, groups, descending)
-    marked = _with_bucket(present, order, seen.edges)
+    marked = _with_bucket(present, order, seen)
     offsets = measured(_bucket_offsets(marked, groups, descending))
     if callable(targets):
         totals = offsets.groupBy(*groups).agg(F.first("n").alias("n")).where("n is not null")
@@ -241,13 +245,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles `(groups…, prob, value)`, one row per probability."""
     present = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).select(*groups, order)
-    seen = measured_by or profile(present, order)
-    if seen.direct:
-        literal = F.array(*[F.lit(float(p)) for p in probs])
-        built_in = present.groupBy(*groups).agg(F.percentile(order, literal).alias("v"))
-        pairs = F.arrays_zip(literal.alias("prob"), F.col("v").alias("value"))
-        return built_in.where("v is not null").select(*groups, F.inline(pairs)).toDF(*groups, "prob", "value")
-    found = values_at_ranks(present, order, quantile_targets(probs), groups, measured_by=seen)
+    found = values_at_ranks(present, order, quantile_targets(probs), groups, measured_by=measured_by)
     # float rows become double before the interpolation
     low = F.max(F.when(F.col("step") == 0, F.col("value").cast("double")))
     high = F.max(F.when(F.col("step") == 1, F.col("value").cast("double")))
@@ -285,37 +283,17 @@ def long_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     return df.select(*keys, F.inline(cells))
 
 
-def _profiles(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, list[float]]]:
+def _profiles(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     n = bucket_count(df)
     probs = [i / n for i in range(1, n)]
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[
-            F.percentile_approx(F.col(c).cast("double"), probs, 4 * n).alias(f"e{i}")
+            F.percentile_approx(_finite(F.col(c).cast("double")), probs, 4 * n).alias(f"e{i}")
             for i, c in enumerate(columns)
         ],
     ).first()
-    return row["n"], {c: sorted(set(row[f"e{i}"] or [])) for i, c in enumerate(columns)}
-
-
-def _direct_columns(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float] | None, bins: int | None
-) -> DataFrame:
-    if bins is not None:
-        cells = long_columns(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        small = Profile(0, [], True)
-        return discrete_quantiles(cells, "value", bins, ["column"], small)
-    literal = F.array(*[F.lit(float(p)) for p in probs])
-    usable = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    row = df.agg(
-        *[
-            F.struct(F.lit(c).alias("column"), F.percentile(usable[c], literal).alias("v")).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    per_column = row.select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))])))
-    pairs = F.arrays_zip(literal.alias("prob"), F.col("v").alias("value"))
-    return per_column.where("v is not null").select("column", F.inline(pairs)).toDF("column", "prob", "value")
+    return {c: _thinned(row[f"e{i}"], row["n"], n) for i, c in enumerate(columns)}
 
 
 def column_quantiles(
@@ -328,9 +306,7 @@ def column_quantiles(
     """
     if (probs is None) == (bins is None):
         raise ValueError("give either probs or bins")
-    rows, edges = _profiles(df, columns)
-    if rows <= direct_rows(df):
-        return _direct_columns(df, columns, probs, bins)
+    edges = _profiles(df, columns)
     marked = df.select(*columns)
     for i, c in enumerate(columns):
         marked = bin_by_edges(marked, c, edges[c], "right", f"_b{i}")

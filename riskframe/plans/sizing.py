@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +35,41 @@ def bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
-_kept: list[DataFrame] = []
+_scope = threading.local()
+
+
+def _kept() -> list[DataFrame]:
+    if not hasattr(_scope, "kept"):
+        _scope.kept = []
+    return _scope.kept
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """`df` cached and counted once, so the planner joins it by its real size.
+    """`df` cached, for helper tables that would otherwise be recomputed by each of their readers.
 
-    For helper tables that would otherwise be recomputed by each of their readers.
+    It is computed when first read, and adaptive planning then joins it by its real size.
     """
     cached = df.persist()
-    cached.count()
-    _kept.append(cached)
+    _kept().append(cached)
     return cached
 
 
 def release() -> None:
-    """Drop the cached helper tables of finished work; a result still unread is recomputed."""
-    while _kept:
-        _kept.pop().unpersist()
+    """Drop this thread's cached helper tables; a result still unread is recomputed."""
+    kept = _kept()
+    while kept:
+        kept.pop().unpersist()
+
+
+@contextmanager
+def caching() -> Iterator[None]:
+    """Helper tables made inside are dropped at the end, and only those."""
+    outer, _scope.kept = _kept(), []
+    try:
+        yield
+    finally:
+        release()
+        _scope.kept = outer
 
 
 def literal_table(spark, rows: list[tuple], schema: str) -> DataFrame:

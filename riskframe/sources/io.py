@@ -59,15 +59,20 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType, sep: str =
     )
 
 
-def measure_cardinality(df: DataFrame, columns: Sequence[str], sample_rows: int | None = None) -> DataFrame:
+def measure_cardinality(
+    df: DataFrame, columns: Sequence[str], sample_rows: int | None = None, head_by: str | None = None
+) -> DataFrame:
     """Distinct non-null levels per text column `(column, levels, rows)`.
 
-    `sample_rows` is the head-of-file sample the typing rule is stated on; without it the
-    whole table is counted. Levels are counted before columns, so no task holds a column.
+    `sample_rows` is the head sample the typing rule is stated on: the rows of smallest `head_by`,
+    since a table has no order of its own. Without it the whole table is counted. Levels are
+    counted before columns, so no task holds a column.
     """
     source = df.select(*columns)
     if sample_rows is not None:
-        source = source.limit(sample_rows)
+        if head_by is None:
+            raise ValueError("a head sample needs the column that orders the table")
+        source = df.orderBy(head_by).limit(sample_rows).select(*columns)
     cells = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns]
     )
@@ -177,9 +182,9 @@ def load_fitted(
     from zero, and one global row per group where the table promises one."""
     table = spark.read.parquet(path)
     problems = fitted_problems(table, group, key, dense_code, non_null, global_row)
-    found = [r["problem"] for r in problems.limit(20).collect()]
+    found = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n")).orderBy("problem").collect()
     if found:
-        raise ValueError(f"{path}: {found}")
+        raise ValueError(f"{path}: " + "; ".join(f"{r['problem']} ({r['n']})" for r in found))
     return table
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.config import Costs
-from riskframe.operators.calibration import apply_calibrator
+from riskframe.operators.calibration import Isotonic, Platt
 from riskframe.operators.cost import decide
 from riskframe.operators.horizon import Fitted, transform
 
@@ -17,7 +17,7 @@ def score_stream(
     sdf: DataFrame,
     fitted: Fitted,
     scorer: Callable[[DataFrame], DataFrame],
-    calibrator: Mapping,
+    calibrator: Platt | Isotonic,
     costs: Costs,
     coverage_of: Sequence[str] = (),
     keep: Sequence[str] = ("id", "day", "amount"),
@@ -27,7 +27,7 @@ def score_stream(
     Every join is stream-static against fitted tables; `scorer` adds a `score` column.
     """
     scored = scorer(transform(sdf, fitted))
-    calibrated = apply_calibrator(scored, calibrator, "score", "probability")
+    calibrated = calibrator.apply(scored, "score", "probability")
     decided = decide(calibrated, costs, "probability", "amount", coverage_of)
     return decided.select(
         *keep, "probability", "decision", "break_even", "review_eligible", "review_priority", "mode",

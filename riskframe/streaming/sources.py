@@ -22,12 +22,17 @@ def file_stream(
     return reader.parquet(path)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State on local disk with changelogs in the checkpoint, so it may outgrow memory."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Start queries whose state lies on local disk with changelogs in the checkpoint, so that it
+    may outgrow memory; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 @contextmanager

@@ -30,12 +30,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["direct", "bucketed"])
-def both_paths(request, spark):
-    """Run a test on the plain-window path and on the bucketed one."""
-    spark.conf.set("riskframe.direct.rows", "1000000" if request.param == "direct" else "0")
-    yield request.param
-    spark.conf.unset("riskframe.direct.rows")
+@pytest.fixture(params=[50_000, 40])
+def bucket_rows(request, monkeypatch):
+    """Run a test with all rows in one bucket and with many buckets."""
+    monkeypatch.setattr("riskframe.plans.ordering.ROWS_PER_BUCKET", request.param)
+    return request.param
 
 
 @pytest.fixture(autouse=True)

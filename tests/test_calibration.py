@@ -142,7 +142,7 @@ def test_reduction_interval(costed):
     np.testing.assert_allclose([got["low"], got["high"]], want, rtol=1e-9)
 
 
-def test_metric_bootstrap_equals_resampled_rows(spark, both_paths):
+def test_metric_bootstrap_equals_resampled_rows(spark, bucket_rows):
     rng = np.random.default_rng(9)
     n = 500
     pdf = pd.DataFrame({"day": rng.integers(0, 10, n), "is_fraud": (rng.random(n) < 0.3).astype(int)})

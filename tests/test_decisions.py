@@ -42,14 +42,14 @@ def scored(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_average_precision_and_roc(scored, both_paths):
+def test_average_precision_and_roc(scored, bucket_rows):
     pdf, df = scored
     row = ranking.ranking_metrics(df).first()
     ap, auc = ap_auc(pdf.is_fraud.to_numpy(), pdf.score.to_numpy())
     assert row["pr_auc"] == pytest.approx(ap, rel=1e-12) and row["roc_auc"] == pytest.approx(auc, rel=1e-12)
 
 
-def test_weighted_average_precision(scored, both_paths):
+def test_weighted_average_precision(scored, bucket_rows):
     pdf, df = scored
     row = ranking.ranking_metrics(df, weight="w").first()
     ap, _ = ap_auc(pdf.is_fraud.to_numpy(), pdf.score.to_numpy(), pdf.w.to_numpy().astype(float))
@@ -74,7 +74,7 @@ def brute_capacity(pdf, capacity):
     return caught, reviewed, ambiguous
 
 
-def test_recall_at_capacity(scored, both_paths):
+def test_recall_at_capacity(scored, bucket_rows):
     pdf, df = scored
     caps = [0.001, 0.01, 0.05, 0.29, 1.0]
     got = {r["capacity"]: r for r in ranking.recall_at_capacity(df, caps).collect()}
@@ -108,14 +108,14 @@ def brute_shares(priority, day, fraction, eligible):
 
 
 @pytest.mark.parametrize("fraction", [0.0005, 0.01, 0.29, 0.9])
-def test_review_shares(scored, both_paths, fraction):
+def test_review_shares(scored, bucket_rows, fraction):
     pdf, df = scored
     got = cost.review_shares(df, "score", fraction, F.col("amount") > 40, day_bound=7).toPandas().set_index("id")
     want = brute_shares(pdf.score.to_numpy(), pdf.day.to_numpy(), fraction, (pdf.amount > 40).to_numpy())
     np.testing.assert_allclose(got.loc[pdf.id, "review_share"].to_numpy(), want, atol=1e-12)
 
 
-def test_ineligible_rows_are_never_reviewed(spark, both_paths):
+def test_ineligible_rows_are_never_reviewed(spark, bucket_rows):
     df = spark.createDataFrame([(i, 1, float(i), i < 5) for i in range(100)], "id int, day int, priority double, ok boolean")
     got = cost.review_shares(df, "priority", 0.1, "ok")
     assert got.where("not ok and review_share > 0").count() == 0
@@ -133,7 +133,7 @@ def brute_ev(pdf, p, costs, capacity):
     return per_row, share, blocked
 
 
-def test_expected_value_policy(scored, both_paths):
+def test_expected_value_policy(scored, bucket_rows):
     pdf, df = scored
     row = cost.policy_summary(cost.ev_policy(df, COSTS, 0.02, p="score", day_bound=7), COSTS).first()
     per_row, share, blocked = brute_ev(pdf, pdf.score, COSTS, 0.02)
@@ -151,7 +151,7 @@ def test_policies_do_not_depend_on_row_order(scored):
     assert len(rows) == 1
 
 
-def test_sweep_equals_one_costing_at_a_time(scored, both_paths):
+def test_sweep_equals_one_costing_at_a_time(scored, bucket_rows):
     pdf, df = scored
     frame = df.withColumns({"calibrated": F.col("score"), "rules_score": F.floor("amount").cast("double") % 5})
     scenarios = sweep_scenarios(COSTS, 0.02, {"false_positive": [5.0, 60.0], "review_capacity": [0.1]})
@@ -163,7 +163,7 @@ def test_sweep_equals_one_costing_at_a_time(scored, both_paths):
         assert row["usd_per_1000"] == pytest.approx(per_row.sum() / len(pdf) * 1000, rel=1e-9)
 
 
-def test_best_global_cut_is_the_largest_cheapest(scored, both_paths):
+def test_best_global_cut_is_the_largest_cheapest(scored, bucket_rows):
     pdf, df = scored
     p, y, a = pdf.score.to_numpy() ** 3, pdf.is_fraud.to_numpy(), pdf.amount.to_numpy()
     got = cost.best_global_cut(df.withColumn("p", F.pow("score", 3.0)), COSTS).first()
@@ -215,7 +215,7 @@ def test_recorded_rows_are_compared_exactly(spark):
         cost.check_rows(rows, rows.withColumn("v", F.col("v") + 1e-12), ["v"])
 
 
-def test_reliability_bins(spark, both_paths):
+def test_reliability_bins(spark, bucket_rows):
     rng = np.random.default_rng(5)
     p = np.where(rng.random(800) < 0.35, 0.2, rng.random(800))
     y = (rng.random(800) < p).astype(int)
@@ -232,19 +232,51 @@ def test_reliability_bins(spark, both_paths):
     assert ece["brier"] == pytest.approx(((p - y) ** 2).mean())
 
 
-def test_cost_matrix_refusals():
+def test_negative_costs_are_refused():
     with pytest.raises(ValueError, match="negative"):
         Costs(review=-1)
-    matrix = {
-        "currency": "USD", "version": 1,
-        "costs": {
-            "chargeback_fee": {"value": 25}, "false_positive": {"value": 15}, "review": {"value": 1.5},
-            "review_friction": {"value": 3}, "true_positive": {"value": 0}, "true_negative": {"value": 0},
-            "false_negative": {"formula": "amount + chargeback_fee"},
-        },
-    }
-    assert Costs.from_matrix(matrix) == COSTS
-    for change in ({"currency": "EUR"}, {"costs": {**matrix["costs"], "true_positive": {"value": 1}}},
-                   {"costs": {**matrix["costs"], "false_negative": {"formula": "amount"}}}):
-        with pytest.raises(ValueError):
-            Costs.from_matrix({**matrix, **change})
+
+
+
+def test_rows_without_priority_share_what_the_others_leave(spark, bucket_rows):
+    rows = [(i, 1, float(i) if i < 3 else None) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, day int, gain double")
+    got = cost.review_shares(df, "gain", 0.5).collect()
+    assert sum(r["review_share"] for r in got) == pytest.approx(10)
+    assert all(r["review_share"] == 1 for r in got if r["gain"] is not None)
+    assert {r["review_share"] for r in got if r["gain"] is None} == {7 / 17}
+
+
+def test_recall_at_capacity_takes_text_ids_and_missing_scores(spark, bucket_rows):
+    rows = [(f"id-{i:04d}", i % 2, int(i % 10 == 0), None if i % 7 == 0 else 0.5 if i % 3 == 0 else i / 400) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, day int, is_fraud int, score double")
+    caught = 0
+    for day in (0, 1):
+        ranked = sorted((r for r in rows if r[1] == day), key=lambda r: (-(r[3] if r[3] is not None else float("-inf")), r[0]))
+        caught += sum(r[2] for r in ranked[: int(len(ranked) * 0.3)])
+    assert ranking.recall_at_capacity(df, [0.3]).first()["caught"] == caught
+
+
+@pytest.mark.parametrize("p, amount", [(float("nan"), 5.0), (None, 5.0), (1.5, 5.0), (-0.1, 5.0), (0.2, -5.0), (0.2, float("nan")), (0.2, None)])
+def test_rows_that_cannot_be_decided_are_refused(spark, p, amount):
+    df = spark.createDataFrame([(1, 1, p, amount, 0)], "id long, day int, p double, amount double, is_fraud int")
+    with pytest.raises(Exception, match="no decision can be made"):
+        cost.ev_policy(df, Costs(), 0.5).collect()
+
+
+def test_decide_sends_unusable_probabilities_to_the_rules(spark):
+    df = spark.createDataFrame([(None, 5.0), (float("nan"), 5.0), (1.5, 5.0), (0.9, 5.0)], "probability double, amount double")
+    assert [(r["mode"], r["decision"]) for r in cost.decide(df, Costs()).collect()][:3] == [("rules", "allow")] * 3
+    assert cost.decide(df, Costs()).collect()[3]["mode"] == "model"
+    with pytest.raises(Exception, match="no decision can be made"):
+        cost.decide(spark.createDataFrame([(0.9, -5.0)], "probability double, amount double"), Costs()).collect()
+
+
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_missing_probabilities_are_in_no_bin(spark, groups):
+    rows = [(i % 2, i / 100, i % 3 == 0) for i in range(100)] + [(0, None, False), (1, float("nan"), True)]
+    df = spark.createDataFrame([(g, p, int(y)) for g, p, y in rows], "g int, p double, y int")
+    bins = ranking.reliability_bins(df, "y", "p", 5, groups).collect()
+    assert sum(r["rows"] for r in bins) == 100
+    metrics = ranking.calibration_metrics(df, "y", "p", 5, groups).collect()
+    assert sum(r["rows"] for r in metrics) == 100 and all(r["log_loss"] < 5 for r in metrics)

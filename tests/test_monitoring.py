@@ -31,7 +31,7 @@ def test_window_refusals(spark, rows, width):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_stability_index_matches_numpy(spark, seed, both_paths):
+def test_stability_index_matches_numpy(spark, seed, bucket_rows):
     rng = np.random.default_rng(seed)
     ref = np.where(rng.random(600) < 0.3, 0.0, np.round(rng.lognormal(2, 1, 600), 1))
     new = np.round(rng.lognormal(2.3, 1, 400), 1)
@@ -162,7 +162,7 @@ def test_additivity_is_checked(spark):
         explain.check_additive(moving, ["c_a", "c_b"], "m")
 
 
-def test_samples_repeat_and_have_their_size(spark, both_paths):
+def test_samples_repeat_and_have_their_size(spark, bucket_rows):
     df = spark.range(1000)
     first = {r[0] for r in explain.take_sample(df, 100, 3).collect()}
     again = {r[0] for r in explain.take_sample(df.repartition(13), 100, 3).collect()}

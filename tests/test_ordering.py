@@ -1,4 +1,4 @@
-"""Order statistics and running sums against numpy, on both paths."""
+"""Order statistics and running sums against numpy, with one bucket and with many."""
 
 import numpy as np
 import pandas as pd
@@ -25,14 +25,14 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_quantiles_match_numpy(frame, both_paths):
+def test_quantiles_match_numpy(frame, bucket_rows):
     pdf, df = frame
     probs = [0, 0.1, 0.333, 0.5, 0.99, 1]
     got = o.quantiles(df, "x", probs).toPandas().sort_values("prob")["value"].to_numpy()
     np.testing.assert_allclose(got, np.quantile(pdf.x, probs), rtol=1e-12)
 
 
-def test_grouped_quantiles_match_pandas(frame, both_paths):
+def test_grouped_quantiles_match_pandas(frame, bucket_rows):
     pdf, df = frame
     got = o.quantiles(df, "x", [0.25, 0.99], ["g"]).toPandas().set_index(["g", "prob"])["value"].sort_index()
     want = pdf.groupby("g").x.quantile([0.25, 0.99]).sort_index()
@@ -40,7 +40,7 @@ def test_grouped_quantiles_match_pandas(frame, both_paths):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 29, 30, 100])
-def test_discrete_quantiles_use_integer_positions(spark, n, both_paths):
+def test_discrete_quantiles_use_integer_positions(spark, n, bucket_rows):
     values = np.sort(np.round(RNG.random(n), 2))
     df = spark.createDataFrame(pd.DataFrame({"x": RNG.permutation(values)}))
     got = o.discrete_quantiles(df, "x", 10).toPandas().sort_values("k")["value"].to_numpy()
@@ -49,7 +49,7 @@ def test_discrete_quantiles_use_integer_positions(spark, n, both_paths):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-def test_prefix_sums_match_cumsum(frame, both_paths, descending):
+def test_prefix_sums_match_cumsum(frame, bucket_rows, descending):
     pdf, df = frame
     steps = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
     got = o.prefix_sums(steps, "x", ["n"], ["g"], descending).toPandas()
@@ -59,7 +59,7 @@ def test_prefix_sums_match_cumsum(frame, both_paths, descending):
         assert (part.total_n == part.n.sum()).all()
 
 
-def test_values_at_ranks_report_what_is_ahead(frame, both_paths):
+def test_values_at_ranks_report_what_is_ahead(frame, bucket_rows):
     pdf, df = frame
     ranks = [0, 10, 500, 2999]
     targets = df.sparkSession.createDataFrame([(r,) for r in ranks], "rank bigint")
@@ -71,7 +71,7 @@ def test_values_at_ranks_report_what_is_ahead(frame, both_paths):
         assert row.tied == (pdf.x == row.value).sum()
 
 
-def test_result_does_not_depend_on_partitioning(frame, both_paths):
+def test_result_does_not_depend_on_partitioning(frame, bucket_rows):
     _, df = frame
     seen = set()
     for parts in (1, 7, 64):
@@ -81,7 +81,7 @@ def test_result_does_not_depend_on_partitioning(frame, both_paths):
     assert len(seen) == 1
 
 
-def test_column_quantiles_ignore_missing(spark, both_paths):
+def test_column_quantiles_ignore_missing(spark, bucket_rows):
     pdf = pd.DataFrame({"a": [1.0, None, 3.0, 10.0], "b": [5.0, 5.0, None, 6.0]})
     df = spark.createDataFrame(pdf)
     got = {r["column"]: r["value"] for r in o.column_quantiles(df, ["a", "b"], probs=[0.5]).collect()}
@@ -120,16 +120,28 @@ def test_interpolation_matches_numpy(frame, count):
     np.testing.assert_allclose(got.y, np.interp(got.x, xs, ys), rtol=1e-12)
 
 
-def test_large_inputs_never_order_a_whole_group_in_one_task(spark, frame):
-    """Beyond the direct size, every row-level window carries the bucket in its partitioning."""
+def test_inputs_never_order_a_whole_group_in_one_task(spark, frame):
+    """Every row-level window carries the bucket in its partitioning."""
     _, df = frame
-    spark.conf.set("riskframe.direct.rows", "0")
-    try:
-        steps = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        plan = o.prefix_sums(steps, "x", ["n"])._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.unset("riskframe.direct.rows")
+    steps = df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    plan = o.prefix_sums(steps, "x", ["n"])._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "x#" in line.split("],")[0]]
     ordered_by_value = [line for line in plan.splitlines() if "Window [" in line and "[x#" in line]
     assert windows or ordered_by_value
     assert all("_b#" in line for line in ordered_by_value)
+
+
+def test_nan_is_last_null_has_no_rank_and_texts_are_ordered(spark, bucket_rows):
+    rows = [(i, [0.5, float("nan"), None, float("inf"), float("-inf"), 2.0][i % 6], f"same-prefix-{i * 37 % 400:03d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, name string")
+    targets = spark.createDataFrame([(k,) for k in (0, 70, 150, 250, 320)], "rank long")
+    got = {r["rank"]: r["value"] for r in o.values_at_ranks(df, "x", targets).collect()}
+    expected = sorted((r[1] for r in rows if r[1] is not None), key=lambda v: (v != v, v))
+    for k, v in got.items():
+        assert v == expected[k] or (v != v and expected[k] != expected[k])
+    names = sorted(r[2] for r in rows)
+    found = o.values_at_ranks(df, "name", targets, descending=True).collect()
+    assert {r["rank"]: r["value"] for r in found} == {k: names[-1 - k] for k in (0, 70, 150, 250, 320)}
+    steps = df.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    sums = {repr(r["x"]): r["cum_n"] for r in o.prefix_sums(steps, "x", ["n"]).collect()}
+    assert sums["-inf"] < sums["0.5"] < sums["2.0"] < sums["inf"] < sums["nan"] == len(expected)

@@ -45,13 +45,13 @@ def stream(spark, path, per_trigger=1):
 
 
 def test_velocity_stream_equals_batch_out_of_order(spark, events):
-    sources.use_rocksdb(spark)
     rng = np.random.default_rng(1)
     closing = events.tail(1).assign(id=-1, dt=CLOSING, card=-1)
     order = np.argsort(events.dt + rng.integers(0, 5 * 3600, len(events)), kind="stable")
     late_parts = np.array_split(events.iloc[order], 3)
     path = land(spark, [*late_parts, closing])
-    got = sources.drain(velocity_stream(stream(spark, path), "12 hours"), "velocity").where("id >= 0").toPandas()
+    with sources.rocksdb(spark):
+        got = sources.drain(velocity_stream(stream(spark, path), "12 hours"), "velocity").where("id >= 0").toPandas()
     want = features.velocity(spark.createDataFrame(events)).toPandas()
     columns = features.velocity_columns()
     got, want = got.sort_values("id"), want.sort_values("id")

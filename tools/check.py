@@ -29,7 +29,6 @@ def rows_of(frame) -> list[tuple]:
 def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
-    parser.add_argument("--direct", default=None)
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     from riskframe.catalog import ORACLES, QUERIES
@@ -41,8 +40,6 @@ def main() -> int:
            "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if args.direct is not None:
-        spark.conf.set("riskframe.direct.rows", args.direct)
     sf_dir = f"/root/testdata/sf{args.sf}"
     db = duckdb.connect()
     for t in TABLES:
