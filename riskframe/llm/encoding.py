@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -17,7 +17,7 @@ from riskframe.llm.pieces import BYTE, MARK, MODEL, Chunks, Vocabulary, load
 # Characters indexed at once, chunks a task keeps the encoding of, and the longest chunk that is
 # relaxed in step with others.
 INDEX_CHARS = 300_000
-KNOWN_CHUNKS = 300_000
+KNOWN_CHUNKS = 200_000
 LONG_CHUNK = 96
 
 
@@ -82,7 +82,7 @@ class Matcher:
 
 
 class Encoder(dict):
-    """Chunk to the ids of its pieces; unseen chunks of a batch are encoded together.
+    """Chunk to the ids of its pieces, packed as 32-bit integers; unseen chunks are encoded together.
 
     The model merges the adjacent pair whose piece has the best score, leftmost first, until no
     pair is a piece. Relaxation over the edges does the same: symbols are edges, a pair may merge
@@ -95,11 +95,11 @@ class Encoder(dict):
         self.order = np.append(0, np.unique(-scores, return_inverse=True)[1]).astype(np.int64)
         self.worst = int(self.order.max()) + 1
 
-    def learn(self, chunks: list[str]) -> None:
-        fresh = list(dict.fromkeys(c for c in chunks if c not in self))
-        if len(self) + len(fresh) > KNOWN_CHUNKS:
+    def learn(self, chunks: Iterable[str]) -> None:
+        wanted = set(chunks)
+        if len(self) + len(wanted) > KNOWN_CHUNKS:
             self.clear()
-            fresh = list(dict.fromkeys(chunks))
+        fresh = sorted(c for c in wanted if c not in self)
         part, size = [], 0
         for chunk in fresh:
             part.append(chunk)
@@ -147,20 +147,21 @@ class Encoder(dict):
         of, at, end = (np.concatenate(x) for x in zip(*settled, strict=True)) if settled else (starts[:0],) * 3
         order = np.lexsort([at, of])
         of, at, end = of[order], at[order], end[order]
-        ids = edges[at, end - at].tolist()
+        found = edges[at, end - at]
+        ids, packed = found.tolist(), (found - 1).astype(np.int32).tobytes()
         bounds = np.searchsorted(of, np.arange(len(chunks) + 1)).tolist()
         places = at.tolist()
         for c, chunk in enumerate(chunks):
             own = ids[bounds[c] : bounds[c + 1]]
             if 0 in own:
                 base = int(starts[c])
-                own = list(chain.from_iterable(
+                known = (
                     (i - 1,) if i else self._bytes(chunk[p - base])
                     for i, p in zip(own, places[bounds[c] : bounds[c + 1]], strict=True)
-                ))
-                self[chunk] = tuple(own)
+                )
+                self[chunk] = np.fromiter(chain.from_iterable(known), dtype=np.int32).tobytes()
             else:
-                self[chunk] = tuple(i - 1 for i in own)
+                self[chunk] = packed[4 * bounds[c] : 4 * bounds[c + 1]]
 
     def _bytes(self, char: str) -> tuple[int, ...]:
         return tuple(self.vocabulary.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -212,30 +213,27 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
 
     @F.pandas_udf("array<int>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids, _ in _encoded(batches, vocabulary):
+        for ids in _encoded(batches, vocabulary):
             yield pd.Series(ids)
 
     return of(text)
 
 
-def _encoded(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[tuple[list, list]]:
+def _encoded(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
+    """Ids of the texts in order, of some texts at a time: their chunks are indexed together, and
+    no more than they need is held."""
     chunks, encoder = Chunks(vocabulary), Encoder(vocabulary)
     for batch in batches:
-        ids: list[np.ndarray] = []
-        texts = batch.tolist()
         at = 0
-        while at < len(texts):
-            # texts of some characters at a time: their chunks are indexed together
-            to, size = at, 0
-            while to < len(texts) and (to == at or size < 8 * INDEX_CHARS):
-                size += len(texts[to] or "")
-                to += 1
-            cut = [chunks(t) for t in texts[at:to]]
-            encoder.learn(list(chain.from_iterable(cut)))
-            for own in cut:
-                ids.append(np.fromiter(chain.from_iterable(map(encoder.__getitem__, own)), dtype=np.int32))
-            at = to
-        yield ids, texts
+        while at < len(batch):
+            cut, size = [], 0
+            while at < len(batch) and size < 4 * INDEX_CHARS:
+                text = batch.iat[at]
+                cut.append(chunks(text))
+                size += len(text or "")
+                at += 1
+            encoder.learn(chain.from_iterable(cut))
+            yield [np.frombuffer(b"".join(map(encoder.__getitem__, own)), dtype=np.int32) for own in cut]
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -260,7 +258,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
     @F.pandas_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(vocabulary)
-        for ids, _ in _encoded(batches, vocabulary):
+        for ids in _encoded(batches, vocabulary):
             yield pd.DataFrame({"ids": ids, "decoded": [decoder(one.tolist()) for one in ids]})
 
     held = docs.withColumn("__both", both(F.col(text)))

@@ -39,7 +39,7 @@ def test_forgetting_chunks_and_small_indexes_change_nothing(monkeypatch):
 
     small = [t for t in own if len(t) < 400][:80]
     for t in small:
-        ids, _ = next(encoding._encoded(iter([pd.Series([t])]), VOCABULARY))
+        ids = next(encoding._encoded(iter([pd.Series([t])]), VOCABULARY))
         assert ids[0].tolist() == MODEL.encode(t)
 
 
