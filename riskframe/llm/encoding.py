@@ -16,8 +16,8 @@ from riskframe.llm.pieces import BYTE, MARK, MODEL, Chunks, Vocabulary, load
 
 # Characters indexed at once, chunks a task keeps the encoding of, and the longest chunk that is
 # relaxed in step with others.
-INDEX_CHARS = 300_000
-KNOWN_CHUNKS = 200_000
+INDEX_CHARS = 800_000
+KNOWN_CHUNKS = 400_000
 LONG_CHUNK = 96
 
 
@@ -33,6 +33,13 @@ def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def _three(text: np.ndarray, at: int | slice) -> np.ndarray:
+    """Three characters of every row from `at` (an index, or all) as one integer, first highest."""
+    if isinstance(at, slice):
+        return text[:, :-2] << 42 | text[:, 1:-1] << 21 | text[:, 2:]
+    return text[:, at] << 42 | text[:, at + 1] << 21 | text[:, at + 2]
+
+
 class Matcher:
     """Edges of a text: every occurrence of every piece, from one suffix array of the text."""
 
@@ -41,9 +48,12 @@ class Matcher:
         names = list(vocabulary.normal)
         self.ids = np.array([vocabulary.normal[p] for p in names], dtype=np.int64)
         self.lengths = np.array([len(p) for p in names], dtype=np.int64)
-        self.text = np.zeros((len(names), self.longest), dtype=np.int64)
+        text = np.zeros((len(names), self.longest + 2), dtype=np.int64)
         for i, p in enumerate(names):
-            self.text[i, : len(p)] = list(map(ord, p))
+            text[i, : len(p)] = list(map(ord, p))
+        # three characters in one integer, so that a comparison takes few steps
+        self.words = [_three(text, k) for k in range(0, self.longest, 3)]
+        self.shifts = [21 * np.maximum(0, k + 3 - self.lengths) for k in range(0, self.longest, 3)]
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """ids[position, length]: the piece + 1 that lies there, 0 if none.
@@ -54,7 +64,8 @@ class Matcher:
         """
         n = len(codes)
         order = sorted_suffixes(codes, self.longest)
-        padded = np.append(codes, np.zeros(self.longest, dtype=codes.dtype))
+        padded = np.append(codes, np.zeros(self.longest + 5, dtype=codes.dtype))
+        packed = _three(padded[None, :], slice(None))[0]
 
         def bound(above: bool) -> np.ndarray:
             lo, hi = np.zeros(len(self.ids), dtype=np.int64), np.full(len(self.ids), n, dtype=np.int64)
@@ -62,11 +73,13 @@ class Matcher:
                 mid = (lo[open_] + hi[open_]) // 2
                 at = order[mid]
                 sign = np.zeros(len(open_), dtype=np.int64)
-                for k in range(self.longest):
-                    undecided = np.flatnonzero((sign == 0) & (k < self.lengths[open_]))
-                    if not undecided.size:
+                for k, (word, shift) in enumerate(zip(self.words, self.shifts, strict=True)):
+                    left = np.flatnonzero((sign == 0) & (3 * k < self.lengths[open_])) if k else slice(None)
+                    own = open_[left]
+                    if not own.size:
                         break
-                    sign[undecided] = np.sign(padded[at[undecided] + k] - self.text[open_[undecided], k])
+                    by = shift[own]
+                    sign[left] = np.sign((packed[at[left] + 3 * k] >> by) - (word[own] >> by))
                 below = sign < 0 if not above else sign <= 0
                 lo[open_[below]] = mid[below] + 1
                 hi[open_[~below]] = mid[~below]
@@ -120,8 +133,9 @@ class Encoder(dict):
         edges = self.matcher.edges(codes)
         width = edges.shape[1]
         short = np.flatnonzero(sizes <= LONG_CHUNK)
-        at = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[short], sizes[short], strict=True)] or [starts[:0]])
         of = np.repeat(short, sizes[short])
+        before = np.cumsum(sizes[short]) - sizes[short]
+        at = np.arange(len(of)) + np.repeat(starts[short] - before, sizes[short])
         end = at + 1
         settled: list[tuple[np.ndarray, ...]] = []
         while len(at):
@@ -227,7 +241,7 @@ def _encoded(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[l
         at = 0
         while at < len(batch):
             cut, size = [], 0
-            while at < len(batch) and size < 4 * INDEX_CHARS:
+            while at < len(batch) and size < 6 * INDEX_CHARS:
                 text = batch.iat[at]
                 cut.append(chunks(text))
                 size += len(text or "")
