@@ -266,12 +266,12 @@ def discrete_quantile_edges(spark, d):
 @query(
     "ecdf_position",
     "id:i position:f",
-    f"""WITH g AS (SELECT unnest(quantile_cont(amount, {[i / 20 for i in range(21)]})) AS e FROM st WHERE split = 'train')
-       SELECT id, (SELECT count(*) FROM g WHERE e <= amount + 1e-9) / 21.0 AS position FROM st""",
+    f"""WITH g AS (SELECT unnest(quantile_cont(amount, {[i / 1000 for i in range(1001)]})) AS e FROM st WHERE split = 'train')
+       SELECT id, (SELECT count(*) FROM g WHERE e <= amount + 1e-9) / 1001.0 AS position FROM st""",
 )
 def ecdf_position_query(spark, d):
     rows = split_txn(spark, d)
-    grid = [v + -1e-9 for v in rules.quantile_grid(rows.where(TRAIN), "amount", 21)]
+    grid = [v + -1e-9 for v in rules.quantile_grid(rows.where(TRAIN), "amount", 1001)]
     return ecdf_position(rows.select("id", "amount"), "amount", grid, "position")
 
 
@@ -370,7 +370,7 @@ def serving_transform(spark, d):
 
 RULES = RulesConfig(
     round_step=0.5, round_min=10.0, round_max=100.0, tiers={"purchase": 3, "error": 2, "signup": 1},
-    match_product="click", match_level="M2", ecdf_points=51,
+    match_product="click", match_level="M2", ecdf_points=1001,
 )
 
 
@@ -408,9 +408,9 @@ def rule_contributions(spark, d):
     "rule_score",
     "id:i rules_score:f",
     """SELECT id, round_amount + product_tier + amount_percentile + new_card + product_match
-              + 0.5 * (SELECT count(*) FROM g WHERE e <= amount) / 51.0 AS rules_score FROM ru""",
+              + 0.5 * (SELECT count(*) FROM g WHERE e <= amount) / 1001.0 AS rules_score FROM ru""",
     RULES_SQL + f""",
-g AS (SELECT unnest(quantile_cont(amount, {[i / 50 for i in range(51)]})) AS e FROM st WHERE split = 'train')""",
+g AS (SELECT unnest(quantile_cont(amount, {[i / 1000 for i in range(1001)]})) AS e FROM st WHERE split = 'train')""",
 )
 def rule_score(spark, d):
     rows = rules_txn(spark, d)

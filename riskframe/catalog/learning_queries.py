@@ -125,7 +125,7 @@ def arm_costing(spark, d):
 # ---- bootstraps ---------------------------------------------------------------------------------
 
 
-RESAMPLES = 500
+RESAMPLES = 2000
 # The draws of record for windows of five days, so that SQL can repeat the resampling.
 TIMES = ", ".join(
     f"({r}, [{', '.join(map(str, row))}])" for r, row in enumerate(bootstrap.draw_multiplicities(5, RESAMPLES, 0).tolist())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -505,7 +504,7 @@ def global_cut_best(spark, d):
 
 
 def _scenarios():
-    return sweep_scenarios(COSTS, CAPACITY, {"false_positive": [5.0, 60.0, 100.0], "chargeback_fee": [100.0], "review_capacity": [0.005, 0.02]})
+    return sweep_scenarios(COSTS, CAPACITY, default_grids())
 
 
 def _sweep_sql() -> tuple[str, str]:
@@ -626,7 +625,3 @@ def row_decisions(spark, d):
 def band_names(spark, d):
     days = txn(spark, d).groupBy("day").agg(F.avg("score").alias("v"))
     return days.select("day", S.band("v", 0.49, 0.51).alias("band"))
-
-
-# The whole published grid, for the benchmark.
-FULL_GRID = sweep_scenarios(replace(COSTS), CAPACITY, default_grids())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.catalog.inputs import BOUNDS, split_txn, txn
-from riskframe.catalog.learning_queries import DRAWS, WINDOW_METRICS
+from riskframe.catalog.learning_queries import DRAWS, RESAMPLES, WINDOW_METRICS
 from riskframe.catalog.metric_queries import COSTS, ev_sql
 from riskframe.catalog.registry import TXN, query
 from riskframe.config import BASE_VALUE, MISSING, OTHER, MonitoringConfig
@@ -204,14 +204,14 @@ def score_views(spark, d):
                          sum((n - tp) * (ctp - tp / 2.0)) / max(p * (t - p)) AS roc_auc FROM y GROUP BY 1),
             s AS (SELECT (day - 16) // 5 AS w, any_value(split) AS slice, avg(CASE WHEN addr < 40 THEN 1.0 ELSE 0 END) AS stratum_share FROM st WHERE day >= 16 GROUP BY 1),
             e AS (SELECT w, quantile_cont(ap, 0.025) AS pr_auc_low, quantile_cont(ap, 0.975) AS pr_auc_high,
-                         quantile_cont(auc, 0.025) AS roc_auc_low, quantile_cont(auc, 0.975) AS roc_auc_high FROM m WHERE r < 200 GROUP BY 1)
+                         quantile_cont(auc, 0.025) AS roc_auc_low, quantile_cont(auc, 0.975) AS roc_auc_high FROM m GROUP BY 1)
        SELECT w AS "window", 16 + 5 * w AS first_day, 20 + 5 * w AS last_day, false AS partial, slice = 'val_fit' AS optimistic,
               18.0 + 5 * w - 10 AS days_since_training, * EXCLUDE (w) FROM z JOIN s USING (w) JOIN e USING (w)""",
     TXN + "," + DRAWS + "," + WINDOW_METRICS,
 )
 def decay_windows(spark, d):
     rows = drift_rows(spark, d).where("day >= 16")
-    return decay.window_table(rows, 5, BOUNDS, resamples=200)
+    return decay.window_table(rows, 5, BOUNDS, resamples=RESAMPLES)
 
 
 WINDOW_STATS = TXN + """,

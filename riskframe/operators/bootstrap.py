@@ -165,11 +165,14 @@ def metric_bootstrap(
     }
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one row for each window and resample of a task, however many batches it reads
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for w, rows in batch.groupby(window):
                 k = len(layout[w])
                 n, p = (rows[[f"{c}{i}" for i in range(k)]].to_numpy() for c in "np")
                 cn, cp = (rows[[f"cum_{c}{i}" for i in range(k)]].to_numpy() for c in "np")
+                own_sums = sums.setdefault(w, np.zeros((2, resamples)))
                 for start in range(0, resamples, CHUNK):
                     times = drawn[w][start : start + CHUNK].T.astype("float64")
                     hits, upto = p @ times, cp @ times
@@ -177,14 +180,11 @@ def metric_bootstrap(
                     with np.errstate(divide="ignore", invalid="ignore"):
                         mass = np.where(seen > 0, hits * upto / seen, 0.0).sum(axis=0)
                     pairs = ((n - p) @ times * (upto - hits / 2)).sum(axis=0)
-                    yield pd.DataFrame(
-                        {
-                            window: np.int32(w),
-                            "resample": np.arange(start, start + times.shape[1], dtype="int32"),
-                            "mass": mass,
-                            "pairs": pairs,
-                        }
-                    )
+                    own_sums[:, start : start + times.shape[1]] += [mass, pairs]
+        for w, (mass, pairs) in sums.items():
+            yield pd.DataFrame(
+                {window: np.int32(w), "resample": np.arange(resamples, dtype="int32"), "mass": mass, "pairs": pairs}
+            )
 
     needed = summed.select(window, *cols, *[f"cum_{c}" for c in cols])
     parts = needed.mapInPandas(partial, f"{window} int, resample int, mass double, pairs double")
