@@ -476,6 +476,6 @@ def binned_median(spark, d):
     return explain.binned_median(split_txn(spark, d), "amount", "score", 5, "product")
 
 
-@query("hash_sample", "id:i")
+@query("hash_sample", "id:i", "SELECT id FROM txn ORDER BY md5(concat('0/', id)) LIMIT 500")
 def hash_sample(spark, d):
     return explain.take_sample(txn(spark, d).select("id", "amount"), 500, 0)

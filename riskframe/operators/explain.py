@@ -79,10 +79,10 @@ def tier_shares(ranked: DataFrame) -> DataFrame:
 def take_sample(df: DataFrame, rows: int, seed: int, id_: str = "id") -> DataFrame:
     """A fixed-size sample without replacement, the same for any partitioning of the input.
 
-    Ids are ordered by a salted hash; the cut-off hash is an order statistic, so no row is
+    Ids are ordered by the MD5 of `seed/id`; the cut-off hash is an order statistic, so no row is
     sorted globally.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), id_))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_).cast("string"))))
     cut = values_at_ranks(hashed, "_h", lambda t: t.withColumn("rank", F.lit(rows - 1).cast("long")))
     last = cut.select("value").scalar()
     return hashed.where(F.coalesce(F.col("_h") <= last, F.lit(True))).drop("_h")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from riskframe.config import GLOBAL, MISSING, OTHER
 from riskframe.functions import scalar as S
 from riskframe.functions.lookup import lookup, null_safe_join
-from riskframe.plans.ordering import column_quantiles
+from riskframe.plans.ordering import prefix_sums, column_quantiles
 from riskframe.plans.sizing import bounded, measured
 
 # The round-amount band and the product it is crossed with.
@@ -152,8 +152,8 @@ def apply_amount_stats(df: DataFrame, table: DataFrame, entities: Sequence[str],
 def fit_categories(train: DataFrame, columns: Sequence[str], min_rows: int) -> DataFrame:
     """Vocabulary `(column, level, code)`: frequent levels in byte order, then the two sentinels.
 
-    Codes are running positions. A column with very many levels is numbered in slices of a
-    common three-character prefix, whose counts are accumulated apart.
+    Codes are running positions, counted in buckets of neighbouring levels, so no column is numbered
+    by one task and levels that begin alike do not meet in one.
     """
     counts = (
         text_cells(train, columns)
@@ -161,14 +161,10 @@ def fit_categories(train: DataFrame, columns: Sequence[str], min_rows: int) -> D
         .groupBy("column", "level")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_rows)
-        .withColumn("_p", F.substring("level", 1, 3))
+        .select("column", "level", F.lit(1).alias("one"))
     )
-    slices = counts.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_c"))
-    ahead = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select("column", "_p", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_o"))
-    local = F.row_number().over(Window.partitionBy("column", "_p").orderBy("level"))
-    kept = null_safe_join(counts.withColumn("_l", local), slices, ["column", "_p"]).select(
-        "column", "level", (F.col("_l") + F.col("_o") - 1).cast("int").alias("code")
+    kept = prefix_sums(measured(counts), "level", ["one"], ["column"]).select(
+        "column", "level", (F.col("cum_one") - 1).cast("int").alias("code")
     )
     wanted = train.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     sizes = wanted.join(kept.groupBy("column").agg(F.count(F.lit(1)).alias("n")), "column", "left")

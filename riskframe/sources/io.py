@@ -233,19 +233,16 @@ def load_scalars(spark: SparkSession, path: str) -> dict:
 def content_stamp(df: DataFrame) -> DataFrame:
     """12 hex characters that change when a row does, whatever the row order.
 
-    Equal rows cancel under XOR, so every row is hashed with its number of copies.
+    Equal rows cancel under XOR, so every row is hashed with its number of copies: the MD5 of its
+    cells as text, a null as a NUL character, joined by the unit separator.
     """
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    hashes = copies.select(
-        F.xxhash64(*df.columns, "_copies").alias("a"), F.xxhash64(F.lit(1), *df.columns, "_copies").alias("b")
-    )
-    return hashes.agg(
-        F.substring(
-            F.sha2(F.concat_ws("/", F.bit_xor("a").cast("string"), F.bit_xor("b").cast("string"), F.count(F.lit(1)).cast("string")), 256),
-            1,
-            12,
-        ).alias("stamp")
-    )
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in [*df.columns, "_copies"]]
+    digest = F.md5(F.concat_ws("\x1f", *cells))
+    halves = copies.select(*[F.conv(F.substring(digest, k, 15), 16, 10).cast("long").alias(n) for n, k in (("a", 1), ("b", 17))])
+    parts = [F.bit_xor("a").cast("string"), F.bit_xor("b").cast("string"), F.count(F.lit(1)).cast("string")]
+    return halves.agg(F.substring(F.sha2(F.concat_ws("/", *parts), 256), 1, 12).alias("stamp"))
+
 
 
 def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
