@@ -216,7 +216,7 @@ def stream_review_queue(spark, d):
 
 @query(
     "stream_label_maturity",
-    "id:i label:i delay_days:i",
+    "id:i label:f delay_days:f",
     """SELECT id, CASE WHEN id % 3 = 0 THEN is_fraud END AS label, CASE WHEN id % 3 = 0 THEN id % 4 + 1 END AS delay_days FROM txn""",
 )
 def stream_label_maturity(spark, d):
