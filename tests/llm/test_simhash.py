@@ -117,3 +117,29 @@ def test_near_texts_link_from_the_similarity_on(spark):
     kept = near_text.one_of_each(frame(spark, [*rows, rows[0]]), near_text.near_texts(frame(spark, rows)))
     assert kept.columns == frame(spark).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values()))
+
+
+def words_of(rng, n):
+    return ["w%d" % rng.randrange(10**6) for _ in range(n)]
+
+
+def near_components(spark, texts):
+    rows = [(i, t, None, None, 0, "", 0, "", "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_texts(frame(spark, rows)).collect()}
+    sets = [set(near_text.shingle_hashes(t, 5).tolist()) for t in texts]
+    assert got == roots(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return got
+
+
+def test_pairs_behind_earlier_relatives_link(spark):
+    """Earlier texts share a passage at J below 0.8; later pairs of such texts are at J about 0.86."""
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for _ in range(6):
+        passage = words_of(rng, 176)
+        texts += [" ".join(passage + words_of(rng, 24)) for _ in range(30)]
+        own = words_of(rng, 24)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(passage + own), " ".join(passage + own[:10] + words_of(rng, 14))]
+    got = near_components(spark, texts)
+    assert all(got[a] == got[b] == a for a, b in pairs)
