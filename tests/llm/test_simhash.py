@@ -143,3 +143,15 @@ def test_pairs_behind_earlier_relatives_link(spark):
         texts += [" ".join(passage + own), " ".join(passage + own[:10] + words_of(rng, 14))]
     got = near_components(spark, texts)
     assert all(got[a] == got[b] == a for a, b in pairs)
+
+
+def test_groups_hung_on_a_distant_relative_link(spark):
+    """The smallest doc_id of every group is a J 0.6-0.79 relative of the others."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        shared = words_of(rng, 172)
+        own = words_of(rng, 28)
+        texts += [" ".join(shared + words_of(rng, 28)), " ".join(shared + own), " ".join(shared + own[:10] + words_of(rng, 18))]
+    got = near_components(spark, texts)
+    assert all(got[i] == i and got[i + 2] == got[i + 1] == i + 1 for i in range(0, 180, 3))
