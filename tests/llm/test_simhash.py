@@ -155,3 +155,23 @@ def test_groups_hung_on_a_distant_relative_link(spark):
         texts += [" ".join(shared + words_of(rng, 28)), " ".join(shared + own), " ".join(shared + own[:10] + words_of(rng, 18))]
     got = near_components(spark, texts)
     assert all(got[i] == i and got[i + 2] == got[i + 1] == i + 1 for i in range(0, 180, 3))
+
+
+def test_appended_cut_and_replaced_blocks_link(spark):
+    """Contiguous edits at a similarity of 0.80 to 0.85, where prints differ most."""
+    rng = random.Random(13)
+    texts = []
+    for n in (40, 200, 1000):
+        for _ in range(20):
+            base = words_of(rng, n)
+            m = n - 4
+            appended = base + words_of(rng, int(m * rng.uniform(0.18, 0.25)))
+            cut = base[: n - int(m * rng.uniform(0.15, 0.2))]
+            block = max(1, int(m * rng.uniform(0.085, 0.11)) - 4)
+            at = rng.randrange(n - block)
+            replaced = [*base[:at], *words_of(rng, block), *base[at + block :]]
+            kind = [appended, cut, replaced][len(texts) // 2 % 3]
+            texts += [" ".join(base), " ".join(kind)]
+    got = near_components(spark, texts)
+    linked = sum(got[a] == got[a + 1] for a in range(0, len(texts), 2))
+    assert linked >= 0.8 * len(texts) / 2
