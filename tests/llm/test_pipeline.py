@@ -7,7 +7,7 @@ import corpus_pipeline
 from riskframe.llm import mixing, near_text, pieces, quality, repetition
 from tests.conftest import SMALL
 from tests.llm.data import documents, frame
-from tests.llm.test_repetition import brute
+from tests.llm.test_repetition import WORD, brute
 from tests.llm.test_simhash import roots
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -73,3 +73,29 @@ def test_stages_stand_odd_rows_and_empty_tables(spark):
             out = stage(spark, docs, SMALL)
             assert out.count() <= 3 * max(1, len(rows))
             docs = out if "text" in out.columns else docs
+
+
+def by_brute_force(text):
+    """Whether the rules of the first stage keep a text."""
+    words = [w.encode() for w in WORD.findall(text or "")]
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    # only positions whose first five words occur again can repeat
+    again = [i for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1]
+    if len(words) < 10 or 100 * len({j for i in again for j in range(i, i + 5)}) > 20 * len(words):
+        return False
+    spans = [0] * len(words)
+    for i in again:
+        for j in again:
+            k = 0
+            while i != j and max(i, j) + k < len(words) and words[i + k] == words[j + k]:
+                k += 1
+            spans[i] = max(spans[i], k)
+    inside = {j for i, s in enumerate(spans) if s >= 10 for j in range(i, i + s)}
+    return sum(len(words[i]) for i in inside) <= 0.2 * sum(map(len, words)) and max(spans) <= 100
+
+
+def test_rules_keep_and_reject_every_row_like_brute_force(kept):
+    rows = kept[0].collect()
+    expected = Counter((r["doc_id"], r["text"]) for r in rows if by_brute_force(r["text"]))
+    got = Counter((r["doc_id"], r["text"]) for r in kept[1].collect())
+    assert got == expected and len(rows) > len(got) > 0

@@ -175,3 +175,11 @@ def test_appended_cut_and_replaced_blocks_link(spark):
     got = near_components(spark, texts)
     linked = sum(got[a] == got[a + 1] for a in range(0, len(texts), 2))
     assert linked >= 0.8 * len(texts) / 2
+
+
+def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
+    rng = random.Random(14)
+    one, two = (" ".join(words_of(rng, 30)) for _ in range(2))
+    rows = [(i, t, None, None, 0, "", 0, "", "") for i, t in [(1, one), (1, two), (1, one), (2, two), (None, one)]]
+    kept = near_text.one_of_each(frame(spark, rows), near_text.near_texts(frame(spark, rows)))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, one), (1, two), (0, one)])
