@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import table
+from riskframe.llm.common import cut, table
 from riskframe.llm.markup import ARTICLE, MAIN, OPEN, blocks
 from riskframe.llm.repetition import covered, suffix_array
 
@@ -23,66 +23,124 @@ ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 10
 TASK_BYTES = 4_000_000
 
 
-def boilerplate(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> list[list[np.ndarray]]:
-    """For every block of every page (zone, words), which words repeat as boilerplate of the host.
+def run_table(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> tuple[pd.DataFrame, list]:
+    """(at, words, page, host, outside, run, hash) of every run of every page, and the blocks' spans
+    (page, zone, first, last) in the token stream.
 
     The token streams of all pages are laid one after another, blocks apart by separators that
-    occur once, and indexed by one suffix array; suffixes of different hosts never tie. Runs of
-    `RUN` words have a rank each; the distinct pages with a rank say how common the run is, and
-    overlapping runs are united.
+    occur once, and indexed by one suffix array; suffixes of different hosts never tie. Runs are
+    `RUN` words of a block, named by their rank, and whole blocks of fewer words outside declared
+    containers. `hash` names a run alike in all parts of a host.
     """
     words: list[str] = []
     spans: list[tuple[int, int, int, int]] = []
-    separators: list[int] = []
     for p, page in enumerate(pages):
         for zone, own in page:
             spans.append((p, zone, len(words), len(words) + len(own)))
-            words += own
-            words.append("")
-            separators.append(len(words) - 1)
+            words += [*own, ""]
+    columns = ["at", "words", "page", "host", "outside", "run", "hash"]
     if not words:
-        return [[] for _ in pages]
-    ids = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
-    ids[separators] = ids.max() + 1 + np.arange(len(separators))
-    page_of = np.repeat([s[0] for s in spans], [s[3] - s[2] + 1 for s in spans])
-    host_of = np.asarray(hosts)[page_of]
+        return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in columns}), spans
+    page, zone, first, last = np.array(spans, dtype=np.int64).T
+    ids, distinct = pd.factorize(np.array(words, dtype=object))
+    of_word = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[ids]
+    ids = ids.astype(np.int64)
+    ids[last] = ids.max() + 1 + np.arange(len(last))
+    block = np.repeat(np.arange(len(first)), last - first + 1)
+    host_of = np.asarray(hosts)[page[block]]
     _, levels = suffix_array(ids, host_of, RUN)
-    marked = {"open": np.zeros(len(ids), dtype=bool), "article": np.zeros(len(ids), dtype=bool)}
-    if len(levels) > int(math.log2(RUN)):
-        rank = levels[int(math.log2(RUN))][:-1]
-        seen = np.unique(rank * len(pages) + page_of)
-        count = np.bincount(seen // len(pages), minlength=int(rank.max()) + 1)[rank]
-        of_host = np.bincount(np.asarray(hosts))[host_of]
-        for kind, share, least in (("open", OPEN_SHARE, OPEN_PAGES), ("article", ARTICLE_SHARE, ARTICLE_PAGES)):
-            common = (count >= least) & (count >= share * of_host)
-            marked[kind] = covered(np.where(common, RUN, 0))
-    out: list[list[np.ndarray]] = [[] for _ in pages]
+    at = np.flatnonzero(np.arange(len(ids)) + RUN <= last[block])
+    mixed = np.zeros(len(at), dtype=np.uint64)
+    for k in range(RUN):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + of_word[at + k]
+    # ranks end early where no two longer runs tie: then every run is one of its own
+    depth = int(math.log2(RUN))
+    rank = levels[depth][at] if len(levels) > depth else at
+    short = np.flatnonzero((last - first < RUN) & (zone < MAIN))
+    whole = np.array([" ".join(words[first[i] : last[i]]) for i in short], dtype=object)
+    named = pd.util.hash_array(whole, hash_key="short blocks 016") if len(short) else np.empty(0, dtype=np.uint64)
+    code = pd.factorize(pd.MultiIndex.from_arrays([np.asarray(hosts)[page[short]], whole]))[0] if len(short) else short
+    frame = pd.DataFrame(
+        {
+            "at": np.concatenate([at, first[short]]),
+            "words": np.concatenate([np.full(len(at), RUN), (last - first)[short]]),
+            "page": np.concatenate([page[block[at]], page[short]]),
+            "host": np.concatenate([host_of[at], np.asarray(hosts)[page[short]]]),
+            "outside": np.concatenate([zone[block[at]] < MAIN, np.ones(len(short), dtype=bool)]),
+            "run": np.concatenate([rank, len(ids) + code]),
+            "hash": np.concatenate([mixed, named]).view(np.int64),
+        }
+    )
+    return frame, spans
+
+
+def counted(runs: pd.DataFrame) -> pd.DataFrame:
+    """(run, n, n_out): distinct pages with each run, and those with it outside containers."""
+    n = runs[["run", "page"]].drop_duplicates().groupby("run").size()
+    out = runs.loc[runs["outside"], ["run", "page"]].drop_duplicates().groupby("run").size()
+    return pd.DataFrame({"n": n, "n_out": out.reindex(n.index, fill_value=0)}).rename_axis("run").reset_index()
+
+
+def boilerplate(
+    hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]], known: pd.DataFrame | None = None
+) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """For every block of every page (zone, words): which words repeat as boilerplate of the host,
+    and which of them do so outside articles too.
+
+    The distinct pages with a run say how common it is, and overlapping runs are united. For a part
+    of a host `known` (hash, n, n_out, pages) has the counts of the whole host.
+    """
+    runs, spans = run_table(hosts, pages)
+    if known is None:
+        runs = runs.merge(counted(runs), on="run", how="left")
+        runs["pages"] = np.bincount(np.asarray(hosts, dtype=np.int64))[runs["host"]] if len(runs) else 0
+    else:
+        runs = runs.merge(known[["hash", "n", "n_out", "pages"]], on="hash", how="inner")
+    often = lambda n, share, least: (runs[n] >= least) & (runs[n] >= share * runs["pages"])
+    article = often("n", ARTICLE_SHARE, ARTICLE_PAGES)
+    length = max((s[3] for s in spans), default=0) + 1
+    marked = {}
+    for kind, common in (
+        ("open", often("n", OPEN_SHARE, OPEN_PAGES)),
+        ("article", article),
+        ("both", article & often("n_out", OPEN_SHARE, OPEN_PAGES)),
+    ):
+        own = np.zeros(length, dtype=np.int64)
+        chosen = runs[common]
+        own[chosen["at"]] = chosen["words"]
+        marked[kind] = covered(own)
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in pages]
     for p, zone, a, b in spans:
-        out[p].append(marked["article" if zone >= MAIN else "open"][a:b])
+        kinds = ("article", "both") if zone >= MAIN else ("open", "open")
+        out[p].append(tuple(marked[kind][a:b] for kind in kinds))
     return out
 
 
-def main_text(found: list[tuple[int, list[str]]], common: list[np.ndarray]) -> str:
+def main_text(found: list[tuple[int, list[str]]], common: list[tuple[np.ndarray, np.ndarray]]) -> str:
     """Unique runs of the blocks that can be main text, one line for each block.
 
-    With an article, or else a main element, only its blocks can; without, all but furniture. A
-    page of which nothing would be left is a copy of its neighbours and keeps its blocks.
+    With an article, or else a main element, only its blocks can; without, all but furniture. An
+    article that would lose most of its words is a copy, or nearly one, of its neighbours: only what
+    stands outside articles too is cut then. A page of which nothing would be left keeps its blocks.
     """
     zones = {zone for zone, _ in found}
     wanted = ARTICLE if ARTICLE in zones else MAIN if MAIN in zones else OPEN
-    chosen = [(own, c) for (zone, own), c in zip(found, common, strict=True) if zone == wanted]
-    lines = [" ".join(w for w, repeated in zip(own, c, strict=True) if not repeated) if c.any() else " ".join(own) for own, c in chosen]
+    chosen = [(own, *c) for (zone, own), c in zip(found, common, strict=True) if zone == wanted]
+    lost = 2 * sum(int(c.sum()) for _, c, _ in chosen) > sum(len(own) for own, _, _ in chosen)
+    shown = [(own, both if lost else c) for own, c, both in chosen]
+    lines = [" ".join(w for w, repeated in zip(own, c, strict=True) if not repeated) if c.any() else " ".join(own) for own, c in shown]
     lines = [line for line in lines if line]
-    return "\n".join(lines or [" ".join(own) for own, _ in chosen])
+    return "\n".join(lines or [" ".join(own) for own, _ in shown])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages`; a null page has no text.
 
-    Pages meet by host: hosts are hashed to buckets of about 4 MB of HTML, and a bucket with more
-    (a hot host) is divided by page, so no task holds a whole large host; boilerplate is common
-    on a host, so each part shows it. The table of divided buckets has at most one row of a few
-    bytes for 4 MB of pages. The HTML is shuffled once; it is parsed where it is indexed.
+    Pages meet by host: hosts are hashed to buckets of about 4 MB of HTML. Only a host that alone
+    has more is divided, by page. What is common on it is counted over all its parts: a run on a share of a host's
+    pages is on that share of some part's, so each part names its frequent runs, every part counts
+    the runs named by any, and the sums decide. The table of divided hosts has at most one row for
+    4 MB of pages.
 
     Passages that an article shares with other pages are its text and stay: inside a declared
     article only runs on nine of ten pages of the host are cut.
@@ -90,36 +148,75 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    by_host = F.xxhash64("host")
     total = rows.agg(F.sum(size)).first()[0] or 0
     buckets = 1 << max(0, math.ceil(total / TASK_BYTES) - 1).bit_length()
-    bucket = F.pmod(by_host, F.lit(buckets))
-    parts = (
-        rows.groupBy(bucket.alias("bucket"))
-        .agg(F.ceil(F.sum(size) / TASK_BYTES).cast("int").alias("parts"))
+    large = (
+        rows.groupBy("host")
+        .agg(F.ceil(F.sum(size) / TASK_BYTES).cast("int").alias("parts"), F.count("*").alias("pages"))
         .where("parts > 1")
     )
-    parts = rows.sparkSession.createDataFrame(parts.collect(), "bucket long, parts int")
-    dealt = (
-        rows.withColumn("bucket", bucket)
-        .join(F.broadcast(parts), "bucket", "left")
-        .withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
-    )
+    # hosts by number: host names stay out of the tables of runs
+    listed = [(i, *r) for i, r in enumerate(large.collect())]
+    large = rows.sparkSession.createDataFrame(listed, "site long, host string, parts int, pages long")
+    of_site = F.broadcast(large.drop("host"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))
+    divided = rows.join(F.broadcast(large), "host").withColumn("part", part)
+    whole = rows.join(F.broadcast(large), "host", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(buckets)))
+
+    def parsed(frame: pd.DataFrame) -> list[list[tuple[int, list[str]]]]:
+        return [[(zone, text.split()) for zone, text in blocks(page)] for page in frame["html"]]
+
+    def counts(frame: pd.DataFrame) -> pd.DataFrame:
+        runs = run_table(np.zeros(len(frame), dtype=np.int64), parsed(frame))[0]
+        # by hash, so that a run has one row
+        found = counted(runs.assign(run=runs["hash"])).rename(columns={"run": "hash"})
+        return found.assign(site=frame["site"].iloc[0])
+
+    def frequent(frame: pd.DataFrame) -> pd.DataFrame:
+        found = counts(frame)
+        return found.loc[found["n"] >= OPEN_SHARE * len(frame), ["site", "hash"]]
+
+    def recounted(frame: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in ("site", "hash", "n", "n_out")})
+        found = counts(frame)
+        return found.loc[found["hash"].isin(named["hash"]), ["site", "hash", "n", "n_out"]]
+
+    def texts(frame: pd.DataFrame, hosts: np.ndarray, known: pd.DataFrame | None) -> pd.DataFrame:
+        found = parsed(frame)
+        out = [main_text(f, c) for f, c in zip(found, boilerplate(hosts, found, known), strict=True)]
+        return pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"].astype(object), "text": pd.Series(out, index=frame.index, dtype=object), "n_chars": [len(t) for t in out]})
 
     def indexed(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [[(zone, text.split()) for zone, text in blocks(page)] for page in frame["html"]]
-        hosts = pd.factorize(frame["host"])[0]
-        texts = [main_text(f, c) for f, c in zip(found, boilerplate(hosts, found), strict=True)]
-        return pd.DataFrame(
-            {"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]}
-        )
+        return texts(frame, pd.factorize(frame["host"])[0], None)
+
+    def indexed_part(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return texts(frame, np.zeros(len(frame), dtype=np.int64), known)
 
     kinds = dict(rows.dtypes)
-    return (
-        dealt.select("page_id", "url", "html", "host", "bucket", "part")
-        .groupBy("bucket", "part")
-        .applyInPandas(indexed, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
+    out = whole.select("page_id", "url", "html", "host", "bucket").groupBy("bucket").applyInPandas(indexed, result)
+    if not listed:
+        return out
+
+    def to_parts(found: DataFrame) -> DataFrame:
+        """Rows of a site for each of its parts."""
+        return found.join(of_site, "site").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    dealt = divided.select("page_id", "url", "html", "site", "part")
+    named = cut(dealt.groupBy("site", "part").applyInPandas(frequent, "site long, hash long").distinct())
+    sums = (
+        dealt.groupBy("site", "part")
+        .cogroup(to_parts(named).select("site", "hash", F.col("part").cast("long")).groupBy("site", "part"))
+        .applyInPandas(recounted, "site long, hash long, n long, n_out long")
+        .groupBy("site", "hash")
+        .agg(F.sum("n").alias("n"), F.sum("n_out").alias("n_out"))
+        .join(of_site, "site")
     )
+    known = cut(sums.where((F.col("n") >= OPEN_PAGES) & (F.col("n") >= OPEN_SHARE * F.col("pages"))).drop("parts"))
+    known = to_parts(known.drop("pages")).select("site", "hash", "n", "n_out", "pages", F.col("part").cast("long"))
+    parts = dealt.groupBy("site", "part").cogroup(known.groupBy("site", "part")).applyInPandas(indexed_part, result)
+    return out.unionByName(parts)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,20 @@ def test_pages_of_the_smallest_tables_give_their_article(spark):
 
 def test_empty_table(spark):
     assert text_of(spark, []) == {}
+
+
+NOTICE = "all rights reserved by the owner of this fine site since nineteen ninety five"
+
+
+def test_boilerplate_of_divided_hosts_and_of_their_neighbours_goes(spark, monkeypatch):
+    rows = [
+        (i, f"http://{'hot' if i < 60 else 'calm'}.example/{i}", f"<div>{NOTICE}</div><p>body of page {i} own{i}</p>", "", "", 1)
+        for i in range(70)
+    ]
+    expected = {i: f"body of page {i} own{i}" for i in range(70)}
+    assert {i: r["text"] for i, r in text_of(spark, rows).items()} == expected
+    # parts of about one page each, and a calm host that fits a task
+    monkeypatch.setattr(extraction, "TASK_BYTES", 140)
+    assert {i: r["text"] for i, r in text_of(spark, rows).items()} == expected
+    monkeypatch.setattr(extraction, "TASK_BYTES", 1500)
+    assert {i: r["text"] for i, r in text_of(spark, rows).items()} == expected
