@@ -103,3 +103,10 @@ def test_boilerplate_of_divided_hosts_and_of_their_neighbours_goes(spark, monkey
     assert {i: r["text"] for i, r in text_of(spark, rows).items()} == expected
     monkeypatch.setattr(extraction, "TASK_BYTES", 1500)
     assert {i: r["text"] for i, r in text_of(spark, rows).items()} == expected
+
+
+def test_near_copies_of_an_article_keep_their_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join([*words[:30], f"own{i}", *words[31:]]) for i in range(20)}
+    got = text_of(spark, [(i, "http://h.example/", f"<article><p>{t}</p></article>", "", "", 1) for i, t in texts.items()])
+    assert {i: r["text"] for i, r in got.items()} == texts
