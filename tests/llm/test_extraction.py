@@ -110,3 +110,12 @@ def test_near_copies_of_an_article_keep_their_text(spark):
     texts = {i: " ".join([*words[:30], f"own{i}", *words[31:]]) for i in range(20)}
     got = text_of(spark, [(i, "http://h.example/", f"<article><p>{t}</p></article>", "", "", 1) for i, t in texts.items()])
     assert {i: r["text"] for i, r in got.items()} == texts
+
+
+def test_short_furniture_goes_where_no_article_is_declared(spark):
+    rows = [
+        (i, "http://h.example/", f"<p>Home</p><p>About us</p><p>only {i}</p><p>body of page {i} own{i}</p><p>All rights reserved</p>", "", "", 1)
+        for i in range(12)
+    ]
+    got = text_of(spark, rows)
+    assert {i: r["text"] for i, r in got.items()} == {i: f"only {i}\nbody of page {i} own{i}" for i in range(12)}
