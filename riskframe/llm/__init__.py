@@ -8,6 +8,8 @@ from __future__ import annotations
 from riskframe.llm.encoding import op10_sentencepiece
 from riskframe.llm.extraction import op7_html
 from riskframe.llm.mixing import op3_mixing
+from riskframe.llm.negatives import ORACLE as NEGATIVES_SQL
+from riskframe.llm.negatives import op11_hard_negatives
 from riskframe.llm.quality import op4_quality_classifier
 from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
@@ -30,6 +32,7 @@ QUERIES = {
         op8_embeddings,
         op9_quality_rules,
         op10_sentencepiece,
+        op11_hard_negatives,
     )
 }
-ORACLES = {"op8_embeddings": EMBEDDINGS_SQL}
+ORACLES = {"op8_embeddings": EMBEDDINGS_SQL, "op11_hard_negatives": NEGATIVES_SQL}
