@@ -10,6 +10,7 @@ from riskframe.llm.extraction import op7_html
 from riskframe.llm.mixing import op3_mixing
 from riskframe.llm.negatives import ORACLE as NEGATIVES_SQL
 from riskframe.llm.negatives import op11_hard_negatives
+from riskframe.llm.personal import op13_personal_data
 from riskframe.llm.quality import op4_quality_classifier
 from riskframe.llm.repetition import op9_quality_rules
 from riskframe.llm.sharding import op2_sharding
@@ -33,6 +34,7 @@ QUERIES = {
         op9_quality_rules,
         op10_sentencepiece,
         op11_hard_negatives,
+        op13_personal_data,
     )
 }
 ORACLES = {"op8_embeddings": EMBEDDINGS_SQL, "op11_hard_negatives": NEGATIVES_SQL}
