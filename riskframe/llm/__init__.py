@@ -17,6 +17,8 @@ from riskframe.llm.sharding import op2_sharding
 from riskframe.llm.simhash import op5_simhash
 from riskframe.llm.tokens import op1_token_counts
 from riskframe.llm.toxicity import op6_toxicity
+from riskframe.llm.trie import ORACLE as TRIE_SQL
+from riskframe.llm.trie import op12_conversation_trie
 from riskframe.llm.vectors import ORACLE as EMBEDDINGS_SQL
 from riskframe.llm.vectors import op8_embeddings
 
@@ -34,7 +36,8 @@ QUERIES = {
         op9_quality_rules,
         op10_sentencepiece,
         op11_hard_negatives,
+        op12_conversation_trie,
         op13_personal_data,
     )
 }
-ORACLES = {"op8_embeddings": EMBEDDINGS_SQL, "op11_hard_negatives": NEGATIVES_SQL}
+ORACLES = {"op8_embeddings": EMBEDDINGS_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_conversation_trie": TRIE_SQL}
