@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.catalog.inputs import split_txn
-from riskframe.catalog.metric_queries import CAPACITY, COSTS, POLICIES, ROW_COST, decision_rows
+from riskframe.catalog.metric_queries import CAPACITY, COSTS, POLICIES, ROW_COST, decision_rows, ev_sql, summary_sql
 from riskframe.catalog.registry import TXN, query
 from riskframe.operators import bootstrap, calibration, cost, features, learning, ranking
 from riskframe.operators.splits import assign_folds
@@ -117,7 +117,15 @@ def calibration_selected(spark, d):
     return calibration.select_method(report.where("method = 'platt'"), report.where("method = 'isotonic'"))
 
 
-@query("arm_costing", "rows:i usd_per_1000:f reviews_per_day:f block_rate:f")
+ARM = "arm AS (SELECT st.*, 1 / (1 + exp(-(a * z + b))) AS p FROM st JOIN sc USING (id) JOIN nt ON held = fold)"
+
+
+@query(
+    "arm_costing",
+    "rows:i usd_per_1000:f reviews_per_day:f block_rate:f",
+    summary_sql("ev", "arm"),
+    NEWTON + "," + ARM + "," + ev_sql(p="p", src="arm"),
+)
 def arm_costing(spark, d):
     return calibration.cost_arm(scored(spark, d), COSTS, CAPACITY, folds=5, day_bound=5)[1]
 

@@ -507,20 +507,47 @@ def _scenarios():
     return sweep_scenarios(COSTS, CAPACITY, default_grids())
 
 
-def _sweep_sql() -> tuple[str, str]:
-    ctes, selects = [], []
-    for i, s in enumerate(_scenarios()):
-        ctes.append(ev_sql(f"_{i}", cap=s.capacity, fee=s.costs.chargeback_fee, fp=s.costs.false_positive))
-        ctes.append(RULES_POLICY.split("rules_p AS")[0].replace("ruled AS", f"ruled_{i} AS").replace("0.01 *", f"{s.capacity} *").rstrip(",\n ")
-                    + f", rules_{i} AS" + RULES_POLICY.split("rules_p AS")[1].split("naive_p AS")[0].replace("FROM ruled", f"FROM ruled_{i}").rstrip(",\n "))
-        head = f"'{s.assumption}' AS assumption, {s.value}::DOUBLE AS value, {str(s.is_base).lower()} AS is_base"
-        for src, name in ((f"ev_{i}", "ev"), (f"rules_{i}", "rules"), ("naive_p", "naive")):
-            selects.append(f"SELECT {head}, * FROM ({summary_sql(src, name, s.costs.chargeback_fee, s.costs.false_positive)})")
-    naive = "naive_p AS" + RULES_POLICY.split("naive_p AS")[1].split("even_p AS")[0].rstrip(",\n ")
-    return TEST + "," + ",".join(ctes) + "," + naive, " UNION ALL ".join(selects)
-
-
-SWEEP_CTES, SWEEP_ROWS = _sweep_sql()
+def _sweep_sql() -> str:
+    """All scenarios as one table: ranks of the rules queue per capacity, of expected value per scenario."""
+    values = ", ".join(
+        f"('{s.assumption}', {float(s.value)}::DOUBLE, {str(s.is_base).lower()}, {float(s.costs.chargeback_fee)}::DOUBLE, "
+        f"{float(s.costs.false_positive)}::DOUBLE, {float(s.costs.review)}::DOUBLE, {float(s.costs.review_friction)}::DOUBLE, "
+        f"{float(s.capacity)}::DOUBLE)"
+        for s in _scenarios()
+    )
+    row = """share * (review + (1 - is_fraud) * friction) + (1 - share) *
+      CASE fallback WHEN 'block' THEN (1 - is_fraud) * fp ELSE is_fraud * (amount + fee) END"""
+    window = "PARTITION BY assumption, value, day"
+    return TEST + f""",
+scen(assumption, value, is_base, fee, fp, review, friction, cap) AS (VALUES {values}),
+queued AS (
+  SELECT id, cap, CASE WHEN upto <= k THEN 1.0 WHEN upto - tied >= k THEN 0.0 ELSE (k - (upto - tied)) / tied END AS share FROM (
+    SELECT id, cap, floor(cap * count(*) OVER (PARTITION BY cap, day) + 1e-9) AS k, count(*) OVER (PARTITION BY cap, day, rules_score) AS tied,
+           count(*) OVER (PARTITION BY cap, day ORDER BY rules_score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM test CROSS JOIN (SELECT DISTINCT cap FROM scen))),
+met AS (SELECT * FROM test CROSS JOIN scen),
+gained AS (
+  SELECT *, least(score * (amount + fee), (1 - score) * fp) - (review + (1 - score) * friction) AS gain,
+         CASE WHEN (1 - score) * fp < score * (amount + fee) THEN 'block' ELSE 'allow' END AS fallback FROM met),
+ranked AS (
+  SELECT *, floor(cap * count(*) OVER ({window}) + 1e-9) AS k, count(*) OVER ({window}, gain) AS tied,
+         sum(CASE WHEN gain > 0 THEN 1 ELSE 0 END) OVER ({window} ORDER BY gain DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM gained),
+decided AS (
+  SELECT 'rules' AS policy, met.* EXCLUDE (cap), 'allow' AS fallback, share FROM met JOIN queued USING (id, cap)
+  UNION ALL BY NAME
+  SELECT 'naive' AS policy, met.* EXCLUDE (cap), CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END AS fallback, 0.0 AS share FROM met
+  UNION ALL BY NAME
+  SELECT 'ev' AS policy, ranked.* EXCLUDE (cap, gain, k, tied, upto),
+         CASE WHEN gain <= 0 THEN 0.0 WHEN upto <= k THEN 1.0 WHEN upto - tied >= k THEN 0.0 ELSE (k - (upto - tied)) / tied END AS share FROM ranked),
+swept AS (
+  SELECT assumption, value, is_base, policy, count(*) AS rows, sum({row}) / count(*) * 1000 AS usd_per_1000,
+         sum(share) / count(DISTINCT day) AS reviews_per_day, avg((1 - share) * CASE WHEN fallback = 'block' THEN 1 ELSE 0 END) AS block_rate
+  FROM decided GROUP BY ALL)
+"""
+
+
+SWEEP_CTES, SWEEP_ROWS = _sweep_sql(), "SELECT * FROM swept"
 
 
 def _swept(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,16 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import null_safe_join
+from riskframe.plans.gates import refuse
 from riskframe.plans.ordering import prefix_sums, profile
 from riskframe.plans.sizing import bounded, measured
 
 
-def by_day(df: DataFrame, sums: dict[str, Column | str], day: str = "day", keys: Sequence[str] = ()) -> DataFrame:
-    """Rows and sums per day: the only thing a bootstrap over days needs."""
-    return df.groupBy(*keys, day).agg(
+def by_day(
+    df: DataFrame, sums: dict[str, Column | str], day: str = "day", keys: Sequence[str] = (), complete: bool = False
+) -> DataFrame:
+    """Rows and sums per day: the only thing a bootstrap over days needs.
+
+    With `complete`, a null among the summed values ends the job.
+    """
+    values = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
+    absent = reduce(Column.__or__, [c.isNull() for c in values.values()], F.lit(False))
+    days = df.groupBy(*keys, day).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.sum(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in sums.items()],
+        *[F.sum(c).alias(name) for name, c in values.items()],
+        *([F.count_if(absent).alias("_absent")] if complete else []),
     )
+    return refuse(days, "_absent", "values to resample are missing") if complete else days
 
 
 def draw_multiplicities(days: int, resamples: int, seed: int) -> np.ndarray:
@@ -64,7 +75,7 @@ def paired_day_bootstrap(
     day: str = "day",
 ) -> DataFrame:
     """Interval of the difference in cost per 1,000 rows between two costings of one population."""
-    days = measured(by_day(df, {"a": arm, "r": reference}, day))
+    days = measured(by_day(df, {"a": arm, "r": reference}, day, complete=True))
     drawn = draws_table(days, day, resamples, seed).join(days, day)
     stat = drawn.groupBy("resample").agg(
         (F.sum((F.col("a") - F.col("r")) * F.col("times")) / F.sum(F.col("rows") * F.col("times")) * 1000).alias("v")
@@ -77,7 +88,7 @@ def reduction_interval(
     day: str = "day",
 ) -> DataFrame:
     """Interval of `1 - policy / reference` on total cost."""
-    days = measured(by_day(df, {"p": policy, "r": reference}, day))
+    days = measured(by_day(df, {"p": policy, "r": reference}, day, complete=True))
     drawn = draws_table(days, day, resamples, seed).join(days, day)
     stat = drawn.groupBy("resample").agg(
         (1 - F.try_divide(F.sum(F.col("p") * F.col("times")), F.sum(F.col("r") * F.col("times")))).alias("v")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from riskframe.config import ALLOW, BLOCK, REVIEW, Costs, Scenario
 from riskframe.functions.lookup import null_safe_join
-from riskframe.plans.ordering import Profile, prefix_sums, profile, values_at_ranks
-from riskframe.plans.sizing import bounded, measured
+from riskframe.plans.gates import gated, refuse
+from riskframe.plans.ordering import prefix_sums, profile
+from riskframe.plans.selection import Selection
+from riskframe.plans.sizing import bounded, literal_table, measured
 
 # Fixed value: keeps a floor of `fraction · rows` from losing a review to float error.
 CAPACITY_TOLERANCE = 1e-9
@@ -60,13 +62,12 @@ def decidable(p: Column | str, amount: Column | str) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
-def _refused(p: Column | str, amount: Column | str) -> Column:
-    """The probability, or the end of the job where no decision can be made from the row."""
-    shown = F.concat_ws(
-        ", ", F.coalesce(_c(p).cast("string"), F.lit("null")), F.coalesce(_c(amount).cast("string"), F.lit("null"))
-    )
-    told = F.concat(F.lit("no decision can be made from probability and amount "), shown)
-    return F.when(decidable(p, amount), _c(p)).otherwise(F.raise_error(told).cast("double"))
+REFUSED = "no decision can be made from probability and amount"
+
+
+def decided_only(df: DataFrame, p: str = "p", amount: str | None = "amount") -> DataFrame:
+    """`df`; the job that reads it ends if it holds a row that no decision can be made from."""
+    return gated(df, {REFUSED: ~decidable(p, F.lit(0.0) if amount is None else amount)})
 
 
 def break_even(amount: Column | str, costs: Costs | CostColumns) -> Column:
@@ -76,9 +77,9 @@ def break_even(amount: Column | str, costs: Costs | CostColumns) -> Column:
 
 
 def expected_costs(p: Column | str, amount: Column | str, costs: Costs | CostColumns) -> dict[str, Column]:
-    """Expected cost of each action; a row that cannot be decided fails the job."""
+    """Expected cost of each action, null for a row that cannot be decided."""
     k = costs if isinstance(costs, CostColumns) else CostColumns(costs)
-    prob, value = _refused(p, amount), _c(amount)
+    prob, value = F.when(decidable(p, amount), _c(p)), _c(amount)
     return {
         ALLOW: prob * (value + k.fee),
         BLOCK: (1 - prob) * k.fp,
@@ -87,9 +88,10 @@ def expected_costs(p: Column | str, amount: Column | str, costs: Costs | CostCol
 
 
 def allow_or_block(p: Column | str, amount: Column | str, costs: Costs | CostColumns) -> Column:
-    """The cheaper of the two in expectation; a tie allows."""
+    """The cheaper of the two in expectation; a tie allows. Null for a row that cannot be decided."""
     expected = expected_costs(p, amount, costs)
-    return F.when(expected[BLOCK] < expected[ALLOW], F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    blocks = expected[BLOCK] < expected[ALLOW]
+    return F.when(blocks, F.lit(BLOCK)).when(~blocks, F.lit(ALLOW))
 
 
 def review_gain(p: Column | str, amount: Column | str, costs: Costs | CostColumns) -> Column:
@@ -99,18 +101,18 @@ def review_gain(p: Column | str, amount: Column | str, costs: Costs | CostColumn
 
 
 def realised_cost(action: Column | str, y: Column | str, amount: Column | str, costs: Costs | CostColumns) -> Column:
-    """What the action cost once the label is known; unknown actions and labels fail the job."""
+    """What the action cost once the label is known; null for unknown actions and labels.
+
+    Every summary of costs refuses such rows.
+    """
     k = costs if isinstance(costs, CostColumns) else CostColumns(costs)
     a, label, value = _c(action), _c(y).cast("double"), _c(amount)
     cost = (
         F.when(a == ALLOW, label * (value + k.fee))
         .when(a == BLOCK, (1 - label) * k.fp)
         .when(a == REVIEW, k.review + (1 - label) * k.friction)
-        .otherwise(F.raise_error(F.concat(F.lit("unknown action "), F.coalesce(a, F.lit("null")))).cast("double"))
-    )
-    return F.when(label.isin(0.0, 1.0), cost).otherwise(
-        F.raise_error(F.lit("labels must be 0 or 1")).cast("double")
     )
+    return F.when(label.isin(0.0, 1.0), cost)
 
 
 # ---- review under a daily capacity ------------------------------------------------------
@@ -127,34 +129,36 @@ def review_cuts(
     eligible: Column | str | None = None,
     day: str = "day",
     groups: Sequence[str] = (),
-    measured_by: Profile | None = None,
+    undecided: Column | None = None,
 ) -> DataFrame:
     """Per group and day: capacity, the priority at which it runs out, and the share left there.
 
     Capacity is `floor(fraction · rows)` over all rows of the day; eligible rows compete for
-    it. The cut is an order statistic of the day, found without ranking the day's rows.
+    it. The cut is an order statistic of the day, found without ranking the day's rows. A day with
+    a row for which `undecided` holds ends the job.
     """
     keys = [*groups, day]
-    ok = F.lit(True) if eligible is None else F.coalesce(_c(eligible), F.lit(False))
-    share_of_day = F.lit(fraction) if not isinstance(fraction, str) else F.max(fraction)
-    days = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(ok).alias("candidates"),
-        F.floor(share_of_day * F.count(F.lit(1)) + CAPACITY_TOLERANCE).cast("long").alias("cap"),
-    )
-    days = measured(days)
-    targets = days.where((F.col("cap") > 0) & (F.col("candidates") > F.col("cap"))).select(
-        *keys, (F.col("cap") - 1).alias("rank")
-    )
-    found = values_at_ranks(df.where(ok), priority, targets, keys, descending=True, measured_by=measured_by)
-    cuts = found.select(*keys, F.col("value").alias("cut"), "before", "tied")
-    return null_safe_join(days, cuts, keys, "left").select(
-        *keys,
-        "rows",
-        "cap",
-        "cut",
-        ((F.col("cap") - F.col("before")) / F.col("tied")).alias("cut_share"),
-    )
+    measures = {"_undecided": F.lit(False) if undecided is None else undecided}
+    sums = {name: c.cast("long") for name, c in measures.items()}
+    if isinstance(fraction, str):
+        keys, df = [*keys, fraction], df.withColumn(fraction, F.col(fraction).cast("double"))
+    share_of_day = F.col(fraction) if isinstance(fraction, str) else F.lit(float(fraction))
+
+    def cap(rows: Column) -> Column:
+        return F.floor(share_of_day * rows + CAPACITY_TOLERANCE).cast("long")
+
+    def targets(totals: Mapping[str, Column]) -> Column:
+        k = cap(totals["rows"])
+        place = F.struct((k - 1).alias("rank"), k.alias("cap"))
+        return F.when((k > 0) & (totals["n"] > k), F.array(place)).otherwise(F.array().cast("array<struct<rank:bigint,cap:bigint>>"))
+
+    ok = None if eligible is None else _c(eligible)
+    selection = Selection(df, priority, keys, descending=True, eligible=ok, sums=sums)
+    days = refuse(selection.group_totals(), "_undecided", REFUSED).select(*keys, "rows", cap(F.col("rows")).alias("cap"))
+    found = selection.values(targets)
+    cuts = found.select(*keys, F.col("value").alias("cut"), ((F.col("cap") - F.col("before")) / F.col("tied")).alias("cut_share"))
+    joined = null_safe_join(days, cuts, keys, "left")
+    return joined.drop(fraction) if isinstance(fraction, str) else joined
 
 
 def share_of(priority: Column | str, eligible: Column | str | None = None) -> Column:
@@ -180,6 +184,7 @@ def review_shares(
     groups: Sequence[str] = (),
     day_bound: int | None = None,
     out: str = "review_share",
+    undecided: Column | None = None,
 ) -> DataFrame:
     """`df` with each row's share of a review: 1 above the day's cut, the rest split at it.
 
@@ -189,7 +194,7 @@ def review_shares(
     """
     keys = [*groups, day]
     ranked = df.withColumn("_priority", _last_if_null(priority))
-    cuts = review_cuts(ranked, "_priority", fraction, eligible, day, groups, profile(ranked, "_priority"))
+    cuts = review_cuts(ranked, "_priority", fraction, eligible, day, groups, undecided)
     table = cuts.drop("rows")
     joined = null_safe_join(ranked, measured(table) if day_bound is None else bounded(table, day_bound), keys)
     return joined.withColumn(out, share_of("_priority", eligible)).drop("cap", "cut", "cut_share", "_priority")
@@ -202,10 +207,14 @@ def ev_policy(
     df: DataFrame, costs: Costs | None, capacity: float | str, p: str = "p", amount: str = "amount",
     day: str = "day", groups: Sequence[str] = (), day_bound: int | None = None,
 ) -> DataFrame:
-    """Allow or block by expected cost, and review where it saves most."""
+    """Allow or block by expected cost, and review where it saves most.
+
+    Rows of `df` that cannot be decided end the job; rows that a filter removed before do not.
+    """
     k = CostColumns(costs)
     marked = df.withColumns({"fallback": allow_or_block(p, amount, k), "gain": review_gain(p, amount, k)})
-    return review_shares(marked, "gain", capacity, F.col("gain") > 0, day, groups, day_bound)
+    unknown = F.col("gain").isNull()
+    return review_shares(marked, "gain", capacity, F.col("gain") > 0, day, groups, day_bound, undecided=unknown)
 
 
 def rules_policy(
@@ -218,12 +227,8 @@ def rules_policy(
 
 
 def naive_policy(df: DataFrame, threshold: float = 0.5, p: str = "p") -> DataFrame:
-    return df.withColumns(
-        {
-            "fallback": F.when(_refused(p, F.lit(0.0)) >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW)),
-            "review_share": F.lit(0.0),
-        }
-    )
+    blocks = F.when(F.col(p) >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    return decided_only(df, p, None).withColumns({"fallback": blocks, "review_share": F.lit(0.0)})
 
 
 def allow_policy(df: DataFrame) -> DataFrame:
@@ -231,7 +236,8 @@ def allow_policy(df: DataFrame) -> DataFrame:
 
 
 def break_even_policy(df: DataFrame, costs: Costs, p: str = "p", amount: str = "amount") -> DataFrame:
-    return df.withColumns({"fallback": allow_or_block(p, amount, costs), "review_share": F.lit(0.0)})
+    decided = decided_only(df, p, amount)
+    return decided.withColumns({"fallback": allow_or_block(p, amount, costs), "review_share": F.lit(0.0)})
 
 
 def policy_cost(costs: Costs | CostColumns, y: str = "is_fraud", amount: str = "amount") -> Column:
@@ -249,7 +255,9 @@ def _summary_aggregates(decided: DataFrame, keys: Sequence[str], day: str) -> Da
         F.sum("cost").alias("cost"),
         F.sum("review_share").alias("reviews"),
         F.sum((1 - F.col("review_share")) * (F.col("fallback") == BLOCK).cast("double")).alias("blocked"),
+        F.count_if(F.col("cost").isNull()).alias("unknown"),
     )
+    per_day = refuse(per_day, "unknown", "labels must be 0 or 1 and actions known")
     return per_day.groupBy(*keys).agg(
         F.sum("n").alias("rows"),
         (F.sum("cost") / F.sum("n") * 1000).alias("usd_per_1000"),
@@ -376,22 +384,44 @@ def require_cut(best: DataFrame) -> float:
 # ---- sensitivity ----------------------------------------------------------------------------
 
 
-def scenario_column(scenarios: Sequence[Scenario]) -> Column:
-    """The scenario list as one array literal: a row is copied once per point of the sweep."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s.assumption).alias("assumption"),
-                F.lit(float(s.value)).alias("grid_value"),
-                F.lit(s.is_base).alias("is_base"),
-                F.lit(s.costs.chargeback_fee).alias("chargeback_fee"),
-                F.lit(s.costs.false_positive).alias("false_positive"),
-                F.lit(s.costs.review).alias("review_cost"),
-                F.lit(s.costs.review_friction).alias("review_friction"),
-                F.lit(float(s.capacity)).alias("capacity"),
-            )
-            for s in scenarios
-        ]
+def _unit_costs(s: Scenario) -> tuple[float, ...]:
+    c = s.costs
+    return tuple(map(float, (c.chargeback_fee, c.false_positive, c.review, c.review_friction, s.capacity)))
+
+
+UNIT_COSTS = ("chargeback_fee", "false_positive", "review_cost", "review_friction", "capacity")
+SUMMARY = ("rows", "usd_per_1000", "reviews_per_day", "block_rate")
+
+
+def _swept_rules(rows: DataFrame, capacities: Sequence[float], day: str, day_bound: int | None) -> DataFrame:
+    """`(capacity, day totals…)` of the rules queue: its cost is linear in the unit costs, and its
+    cuts depend on the day and the capacity alone, so one sum for each capacity serves all scenarios."""
+    selection = Selection(rows, "_points", [day], descending=True)
+
+    def caps(n: Column) -> Column:
+        return F.transform(
+            F.array(*[F.lit(c) for c in capacities]),
+            lambda c: F.struct(c.alias("capacity"), F.floor(c * n + CAPACITY_TOLERANCE).cast("long").alias("cap")),
+        )
+
+    def targets(totals: Mapping[str, Column]) -> Column:
+        some = F.filter(caps(totals["n"]), lambda t: (t["cap"] > 0) & (t["cap"] < totals["n"]))
+        return F.transform(some, lambda t: F.struct(t["capacity"].alias("capacity"), (t["cap"] - 1).alias("rank")))
+
+    quotas = selection.group_totals().select(day, F.inline(caps(F.col("n"))))
+    found = selection.values(targets)
+    found = found.select(day, "capacity", F.col("value").alias("cut"), "before", "tied")
+    cut = F.struct("capacity", "cap", "cut", ((F.col("cap") - F.col("before")) / F.col("tied")).alias("cut_share"))
+    packed = null_safe_join(quotas, found, [day, "capacity"], "left").groupBy(day).agg(F.collect_list(cut).alias("_cuts"))
+    met = null_safe_join(rows, bounded(packed, day_bound), [day])
+    shared = met.select(day, "_y", "_amount", "_points", F.inline("_cuts")).withColumn("s", share_of("_points"))
+    s, y = F.col("s"), F.col("_y")
+    return shared.groupBy("capacity", day).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(s).alias("reviews"),
+        F.sum(s * (1 - y)).alias("good_reviewed"),
+        F.sum((1 - s) * y * F.col("_amount")).alias("lost"),
+        F.sum((1 - s) * y).alias("frauds"),
     )
 
 
@@ -399,28 +429,72 @@ def sweep(
     df: DataFrame, scenarios: Sequence[Scenario], calibrated: str = "calibrated", points: str = "rules_score",
     label: str = "is_fraud", amount: str = "amount", day: str = "day", day_bound: int | None = None,
 ) -> DataFrame:
-    """Rules, naive and expected-value policies under every scenario, in one job.
+    """Rules, naive and expected-value policies under every scenario.
 
-    Scenarios are a column of the rows, so the cuts of all of them are found together.
+    The costs of rules and naive are linear in the unit costs: sums per day, and for rules per day
+    and capacity, are taken once and priced by each scenario. Expected value ranks rows anew for
+    each distinct costing: rows meet the costings inside a task, and only counts and sums per day
+    leave it, so what is shuffled does not grow with rows times scenarios.
     """
-    keys = ["assumption", "grid_value", "is_base"]
-    narrow = df.select(day, label, amount, calibrated, points)
-    spread = narrow.select("*", F.inline(scenario_column(scenarios)))
-    bound = None if day_bound is None else day_bound * len(scenarios)
-    common = dict(day=day, groups=keys, day_bound=bound)
-    parts = {
-        "rules": rules_policy(spread, "capacity", points, **common),
-        "naive": naive_policy(spread, 0.5, calibrated),
-        "ev": ev_policy(spread, None, "capacity", calibrated, amount, **common),
-    }
-    stacked = None
-    for name, decided in parts.items():
-        part = decided.withColumn("cost", policy_cost(CostColumns(), label, amount)).select(
-            *keys, day, "cost", "review_share", "fallback", F.lit(name).alias("policy")
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    summary = measured(_summary_aggregates(stacked, [*keys, "policy"], day))
-    return with_reduction(summary, keys=keys).withColumnRenamed("grid_value", "value")
+    distinct = sorted({_unit_costs(s) for s in scenarios})
+    at = {units: i for i, units in enumerate(distinct)}
+    listed = [(s.assumption, float(s.value), s.is_base, at[_unit_costs(s)], *_unit_costs(s)) for s in scenarios]
+    schema = "assumption string, value double, is_base boolean, sid int, " + ", ".join(f"{c} double" for c in UNIT_COSTS)
+    table = literal_table(df.sparkSession, listed, schema)
+    narrow = df.select(
+        day, F.col(label).cast("double").alias("_y"), F.col(amount).alias("_amount"), F.col(calibrated).alias("_p"),
+        _last_if_null(points).alias("_points"),
+    )
+    y, blocks = F.col("_y"), (F.col("_p") >= 0.5).cast("double")
+    days = narrow.groupBy(day).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(blocks * (1 - y)).alias("good_blocked"),
+        F.sum((1 - blocks) * y * F.col("_amount")).alias("lost"),
+        F.sum((1 - blocks) * y).alias("frauds"),
+        F.sum(blocks).alias("blocked"),
+        F.count_if(~decidable("_p", "_amount")).alias("_undecided"),
+        F.count_if(~F.coalesce(y.isin(0.0, 1.0), F.lit(False))).alias("_unlabelled"),
+    )
+    days = refuse(refuse(measured(days), "_undecided", REFUSED), "_unlabelled", "labels must be 0 or 1")
+
+    queue = _swept_rules(narrow, sorted({u[-1] for u in distinct}), day, day_bound)
+    queue = queue.groupBy("capacity").agg(
+        F.count(F.lit(1)).alias("days"), *[F.sum(c).alias(c) for c in ("n", "reviews", "good_reviewed", "lost", "frauds")]
+    )
+    reviewing = F.col("review_cost") * F.col("reviews") + F.col("review_friction") * F.col("good_reviewed")
+    rules = table.join(queue, "capacity").select(
+        *table.columns,
+        F.lit("rules").alias("policy"),
+        F.col("n").alias("rows"),
+        ((reviewing + F.col("lost") + F.col("chargeback_fee") * F.col("frauds")) / F.col("n") * 1000).alias("usd_per_1000"),
+        (F.col("reviews") / F.col("days")).alias("reviews_per_day"),
+        F.lit(0.0).alias("block_rate"),
+    )
+    whole = days.agg(*[F.sum(c).alias(c) for c in ("n", "good_blocked", "lost", "frauds", "blocked")])
+    naive = table.withColumn("_t", whole.select(F.struct("*")).scalar()).where("_t.n > 0")
+    flat = F.col("_t.lost") + F.col("chargeback_fee") * F.col("_t.frauds") + F.col("false_positive") * F.col("_t.good_blocked")
+    naive = naive.select(
+        *table.columns,
+        F.lit("naive").alias("policy"),
+        F.col("_t.n").alias("rows"),
+        (flat / F.col("_t.n") * 1000).alias("usd_per_1000"),
+        F.lit(0.0).alias("reviews_per_day"),
+        (F.col("_t.blocked") / F.col("_t.n")).alias("block_rate"),
+    )
+    costings = F.array(*[
+        F.struct(F.lit(i).alias("sid"), *[F.lit(v).alias(c) for c, v in zip(UNIT_COSTS, units, strict=True)])
+        for i, units in enumerate(distinct)
+    ])
+    spread = narrow.select(day, "_y", "_amount", "_p", F.inline(costings))
+    bound = None if day_bound is None else day_bound * len(distinct)
+    decided = ev_policy(spread, None, "capacity", "_p", "_amount", day, ["sid"], bound)
+    costed = decided.withColumn("cost", policy_cost(CostColumns(), "_y", "_amount"))
+    ev = table.join(_summary_aggregates(costed, ["sid"], day), "sid").select(
+        *table.columns, F.lit("ev").alias("policy"), *SUMMARY
+    )
+    keys = ["assumption", "value", "is_base"]
+    summary = rules.unionByName(naive).unionByName(ev).select(*keys, "policy", *SUMMARY)
+    return with_reduction(measured(summary), keys=keys)
 
 
 # The bars a reduction is read against.
@@ -503,8 +577,10 @@ def decide(
 
     A row without a usable probability (null, not finite, outside [0, 1]) falls back to the rules:
     allowed, eligible for review, and queued by its points. A scored row needs a finite amount of
-    0 or more.
+    0 or more: a batch with another ends the job, in a stream such a row has no decision.
     """
+    if not df.isStreaming:
+        df = gated(df, {REFUSED: decidable(p, F.lit(0.0)) & ~decidable(p, amount)})
     scored = decidable(p, F.lit(0.0))
     gain = review_gain(p, amount, costs)
     fallback_priority = F.col(points) if points else F.lit(None).cast("double")

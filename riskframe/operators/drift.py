@@ -13,6 +13,7 @@ from riskframe.functions import scalar as S
 from riskframe.functions.lookup import edge_position, null_safe_join
 from riskframe.operators.cost import policy_rates
 from riskframe.operators.ranking import rank_desc
+from riskframe.plans.gates import unless
 from riskframe.plans.ordering import column_quantiles, quantiles
 from riskframe.plans.sizing import bounded, measured
 
@@ -115,26 +116,26 @@ def reference_bins(
 
 def binned_cells(df: DataFrame, bins: ReferenceBins, keys: Sequence[str] = ()) -> DataFrame:
     """`(keys…, column, bin)`: numeric bins closed on the right with the missing bin last;
-    a categorical value is its position in the vocabulary, and an unrouted one fails the job."""
+    a categorical value is its position in the vocabulary, null for an unrouted one."""
     cells = []
     for c, edges in bins.edges.items():
         position = F.coalesce(edge_position(c, edges, "left"), F.lit(len(edges) + 1))
         cells.append(F.struct(F.lit(c).alias("column"), position.cast("int").alias("bin")))
     for c, levels in bins.levels.items():
         code = S.map_lookup(c, {v: i for i, v in enumerate(levels)})
-        routed = F.when(code.isNotNull(), code).otherwise(
-            F.raise_error(F.lit(f"{c} holds a value that was not routed through its vocabulary")).cast("int")
-        )
-        cells.append(F.struct(F.lit(c).alias("column"), routed.cast("int").alias("bin")))
+        cells.append(F.struct(F.lit(c).alias("column"), code.cast("int").alias("bin")))
     return df.select(*keys, F.inline(F.array(*cells)))
 
 
 def bin_counts(df: DataFrame, bins: ReferenceBins, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per `(keys…, column, bin)` with empty bins kept at zero.
 
-    One aggregate over unpivoted bin numbers; the full bin list is attached per key.
+    One aggregate over unpivoted bin numbers; the full bin list is attached per key. A value that
+    was not routed through its vocabulary ends the job.
     """
     counts = binned_cells(df, bins, keys).groupBy(*keys, "column", "bin").agg(F.count(F.lit(1)).alias("n"))
+    told = F.concat("column", F.lit(" holds a value that was not routed through its vocabulary"))
+    counts = counts.where(unless(F.col("bin").isNull(), told))
     packed = counts.groupBy(*keys, "column").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m")
     )

@@ -11,7 +11,8 @@ from riskframe.config import BASE_VALUE, BLOCK, Costs
 from riskframe.functions import scalar as S
 from riskframe.functions.lookup import edge_position, null_safe_join
 from riskframe.operators.cost import allow_or_block, break_even, review_gain
-from riskframe.plans.ordering import quantiles, values_at_ranks
+from riskframe.plans.ordering import quantiles
+from riskframe.plans.selection import values_at_ranks
 from riskframe.plans.sizing import measured
 
 # Fixed value: largest relative deviation of summed contributions from the margin.
@@ -83,7 +84,7 @@ def take_sample(df: DataFrame, rows: int, seed: int, id_: str = "id") -> DataFra
     sorted globally.
     """
     hashed = df.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_).cast("string"))))
-    cut = values_at_ranks(hashed, "_h", lambda t: t.withColumn("rank", F.lit(rows - 1).cast("long")))
+    cut = values_at_ranks(hashed, "_h", lambda _: F.array(F.struct(F.lit(rows - 1).alias("rank"))))
     last = cut.select("value").scalar()
     return hashed.where(F.coalesce(F.col("_h") <= last, F.lit(True))).drop("_h")
 

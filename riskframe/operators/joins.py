@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import null_safe_join
+from riskframe.plans.gates import gated
 from riskframe.sources.contract import duplicate_keys
 
 
@@ -42,14 +43,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inn
 def enrich_required(left: DataFrame, right: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
     """Left one-to-one enrichment; a row left without a required value fails the job."""
     joined = left.join(right, key, "left")
-    return joined.withColumns(
-        {
-            c: F.when(
-                F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"no {c} for {key} "), F.col(key).cast("string")))
-            ).otherwise(F.col(c))
-            for c in required
-        }
-    )
+    return gated(joined, {f"no {c} for {key}": F.col(c).isNull() for c in required})
 
 
 def alignment(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:

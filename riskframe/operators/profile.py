@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from riskframe.functions.lookup import bin_by_edges, null_safe_join
 from riskframe.operators.features import text_cells
 from riskframe.operators.splits import rolling_center
-from riskframe.plans.ordering import prefix_sums, quantiles, values_at_ranks
+from riskframe.plans.ordering import prefix_sums, quantiles
+from riskframe.plans.selection import values_at_ranks
 from riskframe.plans.sizing import measured
 
 Y = "is_fraud"
@@ -138,26 +139,16 @@ def top_shares(df: DataFrame, value: str, fractions: Sequence[float], groups: Se
     """
     wanted = [float(f) for f in fractions]
 
-    def targets(totals: DataFrame) -> DataFrame:
-        spread = totals.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in wanted])))
-        kept = spread.withColumn("k", F.floor(F.col("fraction") * F.col("n")).cast("long"))
-        return kept.withColumn("rank", F.greatest(F.col("k") - 1, F.lit(0)))
-
-    present = df.where(F.col(value).isNotNull()).select(*groups, value)
-    cuts = measured(values_at_ranks(present, value, targets, groups, descending=True))
-    cuts = cuts.select(*groups, "fraction", "k", F.col("value").alias("_cut"), "before")
-    packed = F.collect_list(F.struct("fraction", "k", "_cut", "before")).alias("_c")
-    if groups:
-        rows = null_safe_join(present, cuts.groupBy(*groups).agg(packed), list(groups))
-    else:
-        rows = present.withColumn("_c", cuts.agg(packed).scalar())
-    # one array entry per fraction: a row is compared with a handful of cuts
-    above = rows.select(*groups, value, F.inline("_c")).groupBy(*groups, "fraction", "k", "_cut", "before").agg(
-        F.sum(F.when(F.col(value) > F.col("_cut"), F.col(value)).otherwise(0.0)).alias("_above"),
-        F.sum(value).alias("_total"),
-    )
-    held = F.col("_above") + F.col("_cut") * (F.col("k") - F.col("before"))
-    return above.select(*groups, "fraction", F.col("k").alias("rows"), F.try_divide(held, F.col("_total")).alias("share"))
+    def targets(totals: Mapping[str, Column]) -> Column:
+        def place(f: Column) -> Column:
+            k = F.floor(f * totals["n"])
+            return F.struct(f.alias("fraction"), k.alias("k"), totals["held"].alias("total"), F.greatest(k - 1, F.lit(0)).alias("rank"))
+
+        return F.transform(F.array(*[F.lit(f) for f in wanted]), place)
+
+    cuts = values_at_ranks(df, value, targets, groups, descending=True, sums={"held": F.col(value)})
+    held = F.col("held_before") + F.col("value") * (F.col("k") - F.col("before"))
+    return cuts.select(*groups, "fraction", F.col("k").alias("rows"), F.try_divide(held, F.col("total")).alias("share"))
 
 
 def recovery_curve(df: DataFrame, value: str, recalls: Sequence[float]) -> DataFrame:

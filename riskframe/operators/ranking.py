@@ -5,13 +5,14 @@ Every metric takes group columns, so all splits, windows or folds are measured i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import edge_position, null_safe_join
-from riskframe.plans.ordering import Profile, prefix_sums, profile, quantiles, values_at_ranks
+from riskframe.plans.ordering import Profile, prefix_sums, profile, quantiles
+from riskframe.plans.selection import Selection, values_at_ranks
 from riskframe.plans.sizing import measured
 
 
@@ -110,56 +111,40 @@ def recall_at_capacity(
         raise ValueError(f"capacities must lie in (0, 1], got {bad}")
     per_day = [*groups, day]
     df = df.withColumn(score, F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))))
-    seen = profile(df, score)
-    cap_column = F.explode(F.array(*[F.lit(float(c)) for c in capacities]))
-    days = measured(
-        df.groupBy(*per_day).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p")
+    selection = Selection(df, score, per_day, descending=True, sums={"p": F.col(label).cast("long")})
+
+    def quotas(n: Column) -> Column:
+        return F.transform(
+            F.array(*[F.lit(float(c)) for c in capacities]),
+            lambda c: F.struct(c.alias("capacity"), F.floor(n * c).cast("long").alias("quota")),
         )
-    )
-    quotas = days.withColumn("capacity", cap_column).withColumn(
-        "quota", F.floor(F.col("n") * F.col("capacity")).cast("long")
-    )
-    targets = quotas.where("quota > 0").select(
-        *per_day, "capacity", "quota", (F.col("quota") - 1).alias("rank"), F.col("n").alias("rows")
-    )
-    cuts = measured(values_at_ranks(df, score, targets, per_day, descending=True, measured_by=seen))
-    cuts = cuts.select(
-        *per_day, "capacity", "quota", F.col("value").alias("_cut"), "before", "tied", F.col("before").alias("_ahead")
-    )
+
+    def targets(totals: Mapping[str, Column]) -> Column:
+        some = F.filter(quotas(totals["n"]), lambda t: t["quota"] > 0)
+        return F.transform(some, lambda t: F.struct(t["capacity"].alias("capacity"), t["quota"].alias("quota"), (t["quota"] - 1).alias("rank")))
+
+    cuts = measured(selection.values(targets))
     # the tied block: how far down the tiebreak order the remaining places reach
-    partial = cuts.where(F.col("_ahead") + F.col("tied") > F.col("quota"))
-    block = (
-        null_safe_join(df.select(*per_day, score, tiebreak), partial.select(*per_day, F.col("_cut").alias(score)).distinct(), [*per_day, score], "left_semi")
-    )
-    places = partial.select(
-        *per_day, F.col("_cut").alias(score), "capacity", (F.col("quota") - F.col("_ahead") - 1).alias("rank")
-    )
-    last = values_at_ranks(block, tiebreak, places, [*per_day, score]).select(
-        *per_day, "capacity", F.col("value").alias("_last")
-    )
-    limits = measured(
-        null_safe_join(cuts, last, [*per_day, "capacity"], "left").select(*per_day, "capacity", "_cut", "_last")
-    )
-    positives = df.where(F.col(label).cast("int") == 1).select(*per_day, score, tiebreak)
-    reached = (F.col(score) > F.col("_cut")) | (
-        (F.col(score) == F.col("_cut")) & (F.col("_last").isNull() | (F.col(tiebreak) <= F.col("_last")))
+    split = F.col("before") + F.col("tied") > F.col("quota")
+    partial = cuts.where(split).select(
+        *per_day, F.col("value").alias(score), "capacity", (F.col("quota") - F.col("before") - 1).alias("rank")
     )
+    block = null_safe_join(df.select(*per_day, score, tiebreak, label), partial.select(*per_day, score).distinct(), [*per_day, score], "left_semi")
+    inside = values_at_ranks(block, tiebreak, partial, [*per_day, score], sums={"p": F.col(label).cast("long")})
+    inside = inside.select(*per_day, "capacity", (F.col("p_before") + F.col("p_tied")).alias("_inside"))
+    keys = [*groups, "capacity"]
     caught = (
-        null_safe_join(positives, limits, per_day)
-        .where(reached)
-        .groupBy(*groups, "capacity")
-        .agg(F.count(F.lit(1)).alias("caught"))
+        null_safe_join(cuts, inside, [*per_day, "capacity"], "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.col("p_before") + F.when(split, F.coalesce("_inside", F.lit(0))).otherwise(F.col("p_tied"))).alias("caught"),
+            F.count_if(split).alias("ambiguous_days"),
+        )
     )
-    ambiguous = partial.groupBy(*groups, "capacity").agg(F.count(F.lit(1)).alias("ambiguous_days"))
-    whole = quotas.groupBy(*groups, "capacity").agg(
-        F.sum("quota").alias("reviewed"),
-        F.sum("p").alias("positives"),
-        F.sum(F.least("quota", "p")).alias("_best"),
+    whole = selection.group_totals().select(*per_day, "p", F.inline(quotas(F.col("n")))).groupBy(*keys).agg(
+        F.sum("quota").alias("reviewed"), F.sum("p").alias("positives"), F.sum(F.least("quota", "p")).alias("_best")
     )
-    keys = [*groups, "capacity"]
-    joined = null_safe_join(null_safe_join(whole, caught, keys, "left"), ambiguous, keys, "left")
-    return _capacity_entries(joined, groups)
+    return _capacity_entries(null_safe_join(whole, caught, keys, "left"), groups)
 
 
 def _capacity_entries(joined: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.config import SECTIONS, SplitBounds
 from riskframe.functions import scalar as S
+from riskframe.plans.gates import unless
 from riskframe.plans.sizing import bounded, literal_table
 
 
@@ -120,12 +121,9 @@ def attach_splits(df: DataFrame, splits: DataFrame, key: str = "id") -> DataFram
 def partition_counts(df: DataFrame) -> DataFrame:
     """Rows per split, the purged rows, and the total they add up to."""
     known = F.coalesce(F.col("split").isin(*SECTIONS), F.lit(True))
-    checked = df.select(
-        F.when(known, section_of()).otherwise(
-            F.raise_error(F.concat(F.lit("unknown split "), F.col("split")))
-        ).alias("section")
-    )
-    return checked.groupBy("section").agg(F.count(F.lit(1)).alias("rows"))
+    section = F.when(known, section_of()).otherwise(F.concat(F.lit("unknown split "), F.col("split")))
+    counts = df.groupBy(section.alias("section"), known.alias("_known")).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.where(unless(~F.col("_known"), F.col("section"))).drop("_known")
 
 
 def cut_from_day(df: DataFrame, first: int, day: str = "day") -> DataFrame:

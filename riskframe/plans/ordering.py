@@ -1,9 +1,10 @@
 """Order statistics and running sums over data of any size.
 
-A plain ordered window over a whole table, or over one hot group, lands in one task. So every
-operator here first measures its input in one pass (row count and approximate quantile cuts of
+A plain ordered window over a whole table, or over one hot group, lands in one task. Single
+ranks are found by radix selection (`plans.selection`). Running sums need every row in order, so
+`prefix_sums` first measures its input in one pass (row count and approximate quantile cuts of
 the order column) and cuts it into buckets at some of those quantiles, one for every 50,000 rows
-or so. Counts per bucket are small enough to accumulate in one place, and exact work happens
+or so. Sums per bucket are small enough to accumulate in one place, and exact work happens
 inside a bucket only. There is no other way for small inputs: they have one bucket.
 
 Nulls sort first and NaN last in ascending order, as in Spark. Texts are bucketed by their first
@@ -12,7 +13,7 @@ bytes after what they all share.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 from math import ceil, isfinite
 from os.path import commonprefix
 from typing import NamedTuple
@@ -22,9 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType
 
 from riskframe.functions.lookup import bin_by_edges, null_safe_join
-from riskframe.plans.sizing import measured
-
-Targets = Callable[[DataFrame], DataFrame]
+from riskframe.plans.selection import Targets, values_at_ranks
 
 # Rows of a bucket, about; fewer buckets are made of less data.
 ROWS_PER_BUCKET = 50_000
@@ -137,115 +136,33 @@ def prefix_sums(
     ).drop("_b", *[f"_l_{v}" for v in values], *[f"_o_{v}" for v in values])
 
 
-def _bucket_offsets(marked: DataFrame, groups: Sequence[str], descending: bool) -> DataFrame:
-    whole = Window.partitionBy(*_scope(groups))
-    before = whole.orderBy(_direction("_b", descending)).rowsBetween(Window.unboundedPreceding, -1)
-    counts = marked.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.select(
-        *groups,
-        "_b",
-        "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("n"),
-    )
-
-
-def _resolve(marked: DataFrame, order: str, groups: Sequence[str], wanted: DataFrame, descending: bool) -> DataFrame:
-    keys = [*groups, "_b"]
-    buckets = wanted.select(*keys).distinct()
-    rows = null_safe_join(marked.select(*keys, order), buckets, keys, "left_semi")
-    inside = Window.partitionBy(*keys).orderBy(_direction(order, descending)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = (
-        rows.groupBy(*keys, order)
-        .agg(F.count(F.lit(1)).alias("tied"))
-        .withColumn("_upto", F.sum("tied").over(inside))
-    )
-    right = ranked.select(*keys, F.col(order).alias("value"), "tied", "_upto")
-    joined = null_safe_join(wanted, right, keys)
-    inner = F.col("rank") - F.col("_before")
-    return (
-        joined.where((inner < F.col("_upto")) & (inner >= F.col("_upto") - F.col("tied")))
-        .withColumn("before", F.col("_before") + F.col("_upto") - F.col("tied"))
-        .drop("_b", "_before", "_upto", "_n")
-    )
-
-
-def _with_hits(spans: DataFrame, targets: DataFrame, start: str, length: str) -> DataFrame:
-    """Each span of positions with the targets that fall in it.
-
-    Without groups there are only as many targets as parameters, so they travel as one array
-    from a scalar subquery and nothing is joined.
-    """
-    packed = targets.agg(F.collect_list(F.struct(*targets.columns)).alias("t")).scalar()
-    inside = F.filter(
-        "_t", lambda t: (t["rank"] >= F.col(start)) & (t["rank"] < F.col(start) + F.col(length))
-    )
-    return spans.withColumn("_t", packed).select(*spans.columns, F.inline(inside))
-
-
-def values_at_ranks(
-    df: DataFrame,
-    order: str,
-    targets: Targets | DataFrame,
-    groups: Sequence[str] = (),
-    descending: bool = False,
-    measured_by: Profile | None = None,
-) -> DataFrame:
-    """The value at each wanted 0-based rank of each group, exactly.
-
-    `targets` is a table `(groups…, rank, labels…)`, or a function that makes one out of
-    `(groups…, n)`. Out come `value`, `before` (rows strictly ahead of it) and `tied`.
-    Rows whose order is null have no rank. Only rows of buckets that hold a wanted rank are
-    regrouped by value.
-    """
-    taken = sorted(set(groups) & {"value", "before", "tied", "rank", "n"})
-    if taken:
-        raise ValueError(f"group columns clash with the result's own columns: {taken}")
-    present = df.where(F.col(order).isNotNull()).select(*groups, order)
-    seen = measured_by or profile(present, order)
-    marked = _with_bucket(present, order, seen)
-    offsets = measured(_bucket_offsets(marked, groups, descending))
-    if callable(targets):
-        totals = offsets.groupBy(*groups).agg(F.first("n").alias("n")).where("n is not null")
-        targets = targets(totals).drop("n")
-    inside = (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))
-    if groups:
-        wanted = null_safe_join(targets, offsets, list(groups)).where(inside)
-    else:
-        wanted = _with_hits(offsets, targets, "_before", "_n")
-    return _resolve(marked, order, groups, measured(wanted.drop("n")), descending)
-
-
 def quantile_targets(probs: Sequence[float]) -> Targets:
     """Two neighbouring ranks per probability, for linear interpolation."""
 
-    def build(totals: DataFrame) -> DataFrame:
-        h = F.col("prob") * (F.col("n") - 1)
-        low = F.floor(h)
-        return (
-            totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-            .withColumn("frac", h - low)
-            .withColumn("low", low)
-            .withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
-            .withColumn("rank", F.least(F.col("low") + F.col("step"), F.col("n") - 1).cast("long"))
-            .drop("low")
-        )
+    def build(totals: Mapping[str, Column]) -> Column:
+        last = totals["n"] - 1
+
+        def pair(prob: Column) -> Column:
+            low = F.floor(prob * last)
+            return F.transform(
+                F.array(F.lit(0), F.lit(1)),
+                lambda step: F.struct(
+                    prob.alias("prob"), (prob * last - low).alias("frac"), step.alias("step"),
+                    F.least(low + step, last).alias("rank"),
+                ),
+            )
+
+        return F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), pair))
 
     return build
 
 
 def quantiles(
-    df: DataFrame,
-    order: str,
-    probs: Sequence[float],
-    groups: Sequence[str] = (),
-    measured_by: Profile | None = None,
+    df: DataFrame, order: str, probs: Sequence[float], groups: Sequence[str] = ()
 ) -> DataFrame:
     """Exact linear-interpolated quantiles `(groups…, prob, value)`, one row per probability."""
     present = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).select(*groups, order)
-    found = values_at_ranks(present, order, quantile_targets(probs), groups, measured_by=measured_by)
+    found = values_at_ranks(present, order, quantile_targets(probs), groups)
     # float rows become double before the interpolation
     low = F.max(F.when(F.col("step") == 0, F.col("value").cast("double")))
     high = F.max(F.when(F.col("step") == 1, F.col("value").cast("double")))
@@ -254,21 +171,26 @@ def quantiles(
     )
 
 
-def discrete_quantiles(
-    df: DataFrame, order: str, bins: int, groups: Sequence[str] = (), measured_by: Profile | None = None
-) -> DataFrame:
+def discrete_targets(bins: int) -> Targets:
+    """The ranks of `discrete_quantiles`."""
+
+    def build(totals: Mapping[str, Column]) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(bins - 1)) if bins > 1 else F.array().cast("array<int>")
+
+        def place(k: Column) -> Column:
+            return F.call_function("div", k * totals["n"] + (bins - 1), F.lit(bins)) - 1
+
+        return F.transform(steps, lambda k: F.struct(k.alias("k"), place(k).alias("rank")))
+
+    return build
+
+
+def discrete_quantiles(df: DataFrame, order: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
     """Empirical quantiles `(groups…, k, value)`: the value at position `ceil(k·n / bins)`.
 
     Positions are integers throughout; a level such as 0.3 held as a float can land a row late.
     """
-
-    def build(totals: DataFrame) -> DataFrame:
-        k = F.explode(F.sequence(F.lit(1), F.lit(max(1, bins - 1))))
-        return totals.withColumn("k", k).where(F.col("k") < bins).withColumn(
-            "rank", F.expr(f"(k * n + {bins - 1}) div {bins} - 1").cast("long")
-        )
-
-    found = values_at_ranks(df, order, build, groups, measured_by=measured_by)
+    found = values_at_ranks(df, order, discrete_targets(bins), groups)
     return found.select(*groups, "k", F.col("value").cast("double").alias("value"))
 
 
@@ -283,58 +205,13 @@ def long_columns(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     return df.select(*keys, F.inline(cells))
 
 
-def _profiles(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    n = bucket_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.percentile_approx(_finite(F.col(c).cast("double")), probs, 4 * n).alias(f"e{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    return {c: _thinned(row[f"e{i}"], row["n"], n) for i, c in enumerate(columns)}
-
-
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float] | None = None, bins: int | None = None
 ) -> DataFrame:
-    """Quantiles of many columns in one job, `(column, prob | k, value)`.
-
-    Each column is bucketed at its own cuts before the columns become rows, so columns of
-    different scales stay balanced.
-    """
+    """Quantiles of many columns in one search, `(column, prob | k, value)`."""
     if (probs is None) == (bins is None):
         raise ValueError("give either probs or bins")
-    edges = _profiles(df, columns)
-    marked = df.select(*columns)
-    for i, c in enumerate(columns):
-        marked = bin_by_edges(marked, c, edges[c], "right", f"_b{i}")
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(c).cast("double").alias("value_in"),
-                F.col(f"_b{i}").alias("_b"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    rows = marked.select(F.inline(cells)).where(F.col("value_in").isNotNull() & ~F.isnan("value_in"))
-    offsets = measured(_bucket_offsets(rows, ["column"], False))
-    totals = offsets.groupBy("column").agg(F.first("n").alias("n"))
+    cells = long_columns(df, columns).withColumnRenamed("value", "_cell").where(~F.isnan("_cell"))
     if probs is not None:
-        targets = quantile_targets(probs)(totals).drop("n")
-    else:
-        k = F.explode(F.sequence(F.lit(1), F.lit(max(1, bins - 1))))
-        targets = totals.withColumn("k", k).where(F.col("k") < bins).withColumn(
-            "rank", F.expr(f"(k * n + {bins - 1}) div {bins} - 1").cast("long")
-        ).drop("n")
-    inside = (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))
-    wanted = measured(null_safe_join(targets, offsets, ["column"]).where(inside))
-    found = _resolve(rows, "value_in", ["column"], wanted, False)
-    if bins is not None:
-        return found.select("column", "k", "value")
-    low = F.max(F.when(F.col("step") == 0, F.col("value")))
-    high = F.max(F.when(F.col("step") == 1, F.col("value")))
-    return found.groupBy("column", "prob").agg((low + (high - low) * F.max("frac")).alias("value"))
+        return quantiles(cells, "_cell", probs, ["column"])
+    return discrete_quantiles(cells, "_cell", bins, ["column"])

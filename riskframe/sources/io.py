@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.config import GLOBAL, SPLITS
+from riskframe.plans.gates import gated
 
 # Columns whose type is declared by name rather than by the default rule.
 NAMED_TYPES: dict[str, T.DataType] = {
@@ -152,12 +153,12 @@ def conform(df: DataFrame, required: Sequence[str], non_null: Sequence[str], opt
     absent = [c for c in required if c not in df.columns]
     if absent:
         raise ValueError(f"required inputs are missing: {absent}")
-    checked = {
-        c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} arrived null"))).otherwise(F.col(c))
-        for c in non_null
-    }
     gaps = {f.name: F.lit(None).cast(f.dataType) for f in optional if f.name not in df.columns}
-    return df.withColumns({**checked, **gaps})
+    if df.isStreaming:
+        # a stream has no whole to count over: it ends at the row
+        told = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} arrived null"))).otherwise(F.col(c)) for c in non_null}
+        return df.withColumns({**told, **gaps})
+    return gated(df, {f"{c} arrived null": F.col(c).isNull() for c in non_null}).withColumns(gaps)
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.config import BLOCK, Costs
 from riskframe.operators.cost import ev_policy
 from riskframe.operators.drift import ReferenceBins, binned_cells
+from riskframe.plans.gates import unless
 
 
 def windowed_rates(sdf: DataFrame, width: str, slide: str | None = None, ts: str = "event_time", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,6 +42,7 @@ def windowed_bins(sdf: DataFrame, bins: ReferenceBins, width: str, ts: str = "ev
     return (
         cells.groupBy(F.window(ts, width).alias("w"), "column", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
+        .where(unless(F.col("bin").isNull(), F.concat("column", F.lit(" holds an unrouted value"))))
         .select(F.col("w.start").alias("window_start"), "column", "bin", "n")
     )
 

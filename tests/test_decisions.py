@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.config import Costs, sweep_scenarios
-from riskframe.operators import cost, ranking
+from riskframe.operators import bootstrap, cost, ranking
 
 COSTS = Costs()
 
@@ -187,11 +187,46 @@ def test_break_even_flips_the_action(spark):
     assert [r[0] for r in df.select(cost.allow_or_block("p", "amount", COSTS)).collect()] == ["allow", "block"]
 
 
-@pytest.mark.parametrize("action, label", [("hold", 0), ("allow", 2)])
+@pytest.mark.parametrize("action, label", [("hold", 0), ("allow", 2), (None, 0), ("allow", None)])
 def test_unknown_actions_and_labels_fail(spark, action, label):
-    df = spark.createDataFrame([(action, label, 1.0)], "a string, y int, amount double")
-    with pytest.raises(Exception, match="unknown action|labels must"):
-        df.select(cost.realised_cost("a", "y", "amount", COSTS)).collect()
+    df = spark.createDataFrame([(1, action, label, 1.0, 0.0)], "day int, fallback string, y int, amount double, review_share double")
+    assert df.select(cost.realised_cost("fallback", "y", "amount", COSTS)).first()[0] is None
+    with pytest.raises(Exception, match="labels must be 0 or 1 and actions known: 1 rows"):
+        cost.policy_summary(df, COSTS, "y").collect()
+
+
+def undecidable(spark, rows=400):
+    """Every fourth row has a null probability; those are outside the fold `b`."""
+    data = [(i, i % 5, "a" if i % 4 == 0 else "b", None if i % 4 == 0 else (i % 97) / 97, float(i % 50), int(i % 11 == 0)) for i in range(rows)]
+    return spark.createDataFrame(data, "id long, day int, fold string, p double, amount double, is_fraud int")
+
+
+POLICIES = {
+    "ev": lambda df: cost.ev_policy(df, COSTS, 0.1),
+    "naive": lambda df: cost.naive_policy(df),
+    "break_even": lambda df: cost.break_even_policy(df, COSTS),
+    "decide": lambda df: cost.decide(df.withColumn("p", F.coalesce("p", F.lit(0.5))).withColumn("amount", F.when(F.col("fold") == "b", F.col("amount"))), COSTS, "p"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(POLICIES))
+def test_refusals_meet_the_rows_in_question_only(spark, tmp_path, name):
+    path = str(tmp_path / "rows")
+    undecidable(spark).write.parquet(path)
+    every, policy = spark.read.parquet(path), POLICIES[name]
+    inside = policy(every.where("fold = 'b'"))
+    # filters over the decided rows are merged with the one below them, and must not reach other folds
+    later = {"ev": "gain > 0", "decide": "review_priority > 0"}.get(name, "fallback = 'allow'")
+    assert inside.where(later).count() > 0
+    assert inside.count() == every.where("fold = 'b'").count()
+    with pytest.raises(Exception, match="no decision can be made"):
+        policy(every).where(later).where("fold = 'b'").count()
+
+
+def test_missing_costs_are_not_resampled(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 1.0)], "day int, a double, r double")
+    with pytest.raises(Exception, match="values to resample are missing: 1 rows"):
+        bootstrap.paired_day_bootstrap(df, "a", "r", 10).collect()
 
 
 @pytest.mark.parametrize("p, amount", [(None, 1.0), (float("nan"), 1.0), (1.5, 1.0), (0.5, -1.0), (0.5, float("inf"))])

@@ -145,3 +145,51 @@ def test_nan_is_last_null_has_no_rank_and_texts_are_ordered(spark, bucket_rows):
     steps = df.where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     sums = {repr(r["x"]): r["cum_n"] for r in o.prefix_sums(steps, "x", ["n"]).collect()}
     assert sums["-inf"] < sums["0.5"] < sums["2.0"] < sums["inf"] < sums["nan"] == len(expected)
+
+
+def test_buckets_never_decrease_and_tell_signs_zero_infinity_and_nan_apart(spark):
+    from riskframe.plans.selection import number_bucket
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 2000), rng.lognormal(0, 80, 2000), -rng.lognormal(0, 80, 500), 2.0 ** np.arange(-1074, 1024, 7),
+                        [0.0, -0.0, 5e-324, -5e-324, 1.7976931348623157e308, np.inf, -np.inf, 1 - 2**-53, 1.0, 1 + 2**-52]])
+    x = np.sort(np.concatenate([x, np.nextafter(x[:500], 9e9)]))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([*x, float("nan")])], "i long, x double")
+    found = np.array([r["b"] for r in number_bucket(df, "x", "b").orderBy("i").collect()])
+    assert (np.diff(found) >= 0).all() and found[-1] > found[-2]
+    assert len(set(found)) > 2500
+    assert (found[:-1][x < 0] <= found[:-1][x == 0].min()).all() and len(set(found[:-1][x == 0])) == 1
+
+
+def test_sums_ahead_and_ineligible_rows(spark):
+    from riskframe.plans.selection import Selection
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 900), "x": np.round(rng.lognormal(0, 2, 900), 1), "w": rng.integers(0, 9, 900), "ok": rng.random(900) < 0.7})
+    pdf["g"] = pdf["g"].where(pdf["g"] > 0).astype("Int64")
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "g long, x double, w long, ok boolean")
+    chosen = Selection(df, "x", ["g"], descending=True, eligible=F.col("ok"), sums={"w": F.col("w")})
+    totals = {r["g"]: (r["n"], r["rows"], r["w"]) for r in chosen.group_totals().collect()}
+    targets = spark.createDataFrame([(g, r, f"{r}!") for g in (None, 1, 2) for r in (0, 17, 100, 9999)], "g long, rank long, name string")
+    got = chosen.values(targets).collect()
+    assert len(got) == 9
+    for g, part in pdf.groupby("g", dropna=False):
+        key = None if pd.isna(g) else int(g)
+        ranked = part[part.ok].sort_values("x", ascending=False)
+        assert totals[key] == (len(ranked), len(part), part.w.sum())
+        for r in (r for r in got if r["g"] == key):
+            v = ranked.x.iloc[r["rank"]]
+            assert (r["value"], r["before"], r["tied"], r["name"]) == (v, (ranked.x > v).sum(), (ranked.x == v).sum(), f"{r['rank']}!")
+            assert (r["w_before"], r["w_tied"]) == (ranked.w[ranked.x > v].sum(), ranked.w[ranked.x == v].sum())
+
+
+def test_ranks_take_two_scans_and_no_cache(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(5000).selectExpr("id % 3 AS g", "id * 0.37 AS x").write.parquet(path)
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    got = o.quantiles(spark.read.parquet(path), "x", [0.5], ["g"]).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 3 and len(jobs) <= 12
+    plan = o.quantiles(spark.read.parquet(path), "x", [0.5], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan
