@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -183,3 +184,40 @@ def test_rows_that_repeat_an_id_with_other_texts_stay(spark):
     rows = [(i, t, None, None, 0, "", 0, "", "") for i, t in [(1, one), (1, two), (1, one), (2, two), (None, one)]]
     kept = near_text.one_of_each(frame(spark, rows), near_text.near_texts(frame(spark, rows)))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, one), (1, two), (0, one)])
+
+
+@pytest.mark.parametrize("block, tile", [(40_000, 512), (60, 7), (25, 3)])
+def test_shared_tokens_are_counted_once_for_each_pair(spark, monkeypatch, block, tile):
+    """A hot group just below the similarity, whose texts meet in one place or in many blocks."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    monkeypatch.setattr(near_text, "TILE", tile)
+    rng = random.Random(15)
+    base = words_of(rng, 120)
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for at in rng.sample(range(120), rng.randrange(2, 8)):
+            own[at] = words_of(rng, 1)[0]
+        texts.append(" ".join(own))
+    texts += [" ".join(words_of(rng, 120)) for _ in range(20)]
+    near_components(spark, texts)
+
+
+@pytest.mark.parametrize("tile", [512, 4])
+def test_meetings_equal_all_pairs(monkeypatch, tile):
+    monkeypatch.setattr(near_text, "TILE", tile)
+    rng = np.random.default_rng(16)
+    for sides in (1, 2):
+        nodes = rng.choice(10**6, 25, replace=False)
+        tokens = {int(n): set(rng.integers(0, 30, 6).tolist()) for n in nodes}
+        about = {int(n): (int(n) % 4, int(rng.integers(8, 12)), int(n) % sides) for n in nodes}
+        rows = pd.DataFrame([(t, n, *about[n]) for n in tokens for t in tokens[n]], columns=["token", "node", "root", "size", "side"])
+        found = {(r.a, r.b): r.n for f in near_text.shared_pairs(rows.sample(frac=1, random_state=1), 0.8) for r in f.itertuples()}
+        wanted = {}
+        for x in tokens:
+            for y in tokens:
+                (rx, sx, ax), (ry, sy, ay) = about[x], about[y]
+                n = len(tokens[x] & tokens[y])
+                if x > y and n and rx != ry and min(sx, sy) >= 0.8 * max(sx, sy) and (sides == 1 or ax != ay):
+                    wanted[x, y] = n
+        assert found == wanted and wanted
