@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,25 @@ RUN = 8
 # declared containers, and inside an article.
 OPEN_SHARE, OPEN_PAGES = 0.3, 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 10
-# Bytes of HTML that one task indexes.
-TASK_BYTES = 4_000_000
+# Bytes of HTML that one task indexes, and pages of a part of a large host at least.
+TASK_BYTES, PART_PAGES = 4_000_000, 8
+
+
+def intervals(ids: np.ndarray, hosts: np.ndarray) -> np.ndarray:
+    """For every suffix the interval of common prefixes of `RUN` words or more it lies in, named by
+    its first suffix; one that shares so much with no other is an interval of its own."""
+    order, levels = suffix_array(ids, hosts, RUN)
+    out = np.arange(len(ids))
+    if len(order) < 2:
+        return out
+    n, one, two = len(ids), order[:-1], order[1:]
+    lcp = np.zeros(len(one), dtype=np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        same = levels[k][np.minimum(one + lcp, n)] == levels[k][np.minimum(two + lcp, n)]
+        lcp += np.where(same, 1 << k, 0)
+    starts = np.concatenate([[True], lcp < RUN])
+    out[order] = order[np.flatnonzero(starts)[np.cumsum(starts) - 1]]
+    return out
 
 
 def run_table(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> tuple[pd.DataFrame, list]:
@@ -28,9 +48,11 @@ def run_table(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> tu
     (page, zone, first, last) in the token stream.
 
     The token streams of all pages are laid one after another, blocks apart by separators that
-    occur once, and indexed by one suffix array; suffixes of different hosts never tie. Runs are
-    `RUN` words of a block, named by their rank, and whole blocks of fewer words outside declared
-    containers. `hash` names a run alike in all parts of a host.
+    occur once, and indexed by one suffix array; suffixes of different hosts never tie. Neighbours in
+    its order whose common prefix has `RUN` words or more lie in one interval: a repeated substring of
+    that length, and every longer one is a sequence of them, so their union is that of the maximal
+    repeats. Suffixes outside all intervals start nothing that repeats here. Whole blocks of fewer
+    words outside declared containers are runs as well. `hash` names a run alike in all parts of a host.
     """
     words: list[str] = []
     spans: list[tuple[int, int, int, int]] = []
@@ -48,14 +70,11 @@ def run_table(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> tu
     ids[last] = ids.max() + 1 + np.arange(len(last))
     block = np.repeat(np.arange(len(first)), last - first + 1)
     host_of = np.asarray(hosts)[page[block]]
-    _, levels = suffix_array(ids, host_of, RUN)
+    interval = intervals(ids, host_of)
     at = np.flatnonzero(np.arange(len(ids)) + RUN <= last[block])
     mixed = np.zeros(len(at), dtype=np.uint64)
     for k in range(RUN):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + of_word[at + k]
-    # ranks end early where no two longer runs tie: then every run is one of its own
-    depth = int(math.log2(RUN))
-    rank = levels[depth][at] if len(levels) > depth else at
     short = np.flatnonzero((last - first < RUN) & (zone < MAIN))
     whole = np.array([" ".join(words[first[i] : last[i]]) for i in short], dtype=object)
     named = pd.util.hash_array(whole, hash_key="short blocks 016") if len(short) else np.empty(0, dtype=np.uint64)
@@ -67,7 +86,7 @@ def run_table(hosts: np.ndarray, pages: list[list[tuple[int, list[str]]]]) -> tu
             "page": np.concatenate([page[block[at]], page[short]]),
             "host": np.concatenate([host_of[at], np.asarray(hosts)[page[short]]]),
             "outside": np.concatenate([zone[block[at]] < MAIN, np.ones(len(short), dtype=bool)]),
-            "run": np.concatenate([rank, len(ids) + code]),
+            "run": np.concatenate([interval[at], len(ids) + code]),
             "hash": np.concatenate([mixed, named]).view(np.int64),
         }
     )
@@ -136,11 +155,11 @@ def main_text(found: list[tuple[int, list[str]]], common: list[tuple[np.ndarray,
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages`; a null page has no text.
 
-    Pages meet by host: hosts are hashed to buckets of about 4 MB of HTML. Only a host that alone
-    has more is divided, by page. What is common on it is counted over all its parts: a run on a share of a host's
-    pages is on that share of some part's, so each part names its frequent runs, every part counts
-    the runs named by any, and the sums decide. The table of divided hosts has at most one row for
-    4 MB of pages.
+    A page is parsed once, and its blocks travel compressed. Pages meet by host: hosts are hashed to
+    buckets of about 4 MB of HTML. Only a host that alone has more is divided, by page, into parts of
+    eight pages at least. What is common on it is counted over all its parts: a run on a share of a
+    host's pages is on that share of some part's, so each part names its frequent runs, every part
+    counts the runs named by any, and the sums decide. The parts are laid out once for all of this.
 
     Passages that an article shares with other pages are its text and stay: inside a declared
     article only runs on nine of ten pages of the host are cut.
@@ -148,23 +167,22 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    buckets = 1 << max(0, math.ceil(total / TASK_BYTES) - 1).bit_length()
-    large = (
-        rows.groupBy("host")
-        .agg(F.ceil(F.sum(size) / TASK_BYTES).cast("int").alias("parts"), F.count("*").alias("pages"))
-        .where("parts > 1")
-    )
-    # hosts by number: host names stay out of the tables of runs
-    listed = [(i, *r) for i, r in enumerate(large.collect())]
-    large = rows.sparkSession.createDataFrame(listed, "site long, host string, parts int, pages long")
-    of_site = F.broadcast(large.drop("host"))
-    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts"))
-    divided = rows.join(F.broadcast(large), "host").withColumn("part", part)
-    whole = rows.join(F.broadcast(large), "host", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(buckets)))
+    parts = F.least(F.ceil(F.sum(size) / TASK_BYTES), F.ceil(F.count("*") / PART_PAGES)).cast("int")
+    hosts = cut(rows.groupBy("host").agg(parts.alias("parts"), F.count("*").alias("pages"), F.sum(size).alias("size")))
+    total, divided_bytes = hosts.agg(F.sum("size"), F.sum(F.when(F.col("parts") > 1, F.col("size")))).first()
+    buckets = 1 << max(0, math.ceil((total or 0) / TASK_BYTES) - 1).bit_length()
+    large = hosts.where("parts > 1").drop("size")
+
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        squeezed = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pd.Series([squeezed.compress(pickle.dumps(blocks(page), 5)) for page in batch], dtype=object)
 
     def parsed(frame: pd.DataFrame) -> list[list[tuple[int, list[str]]]]:
-        return [[(zone, text.split()) for zone, text in blocks(page)] for page in frame["html"]]
+        opened = zstandard.ZstdDecompressor()
+        found = (pickle.loads(opened.decompress(bytes(x))) for x in frame["blocks"])
+        return [[(zone, text.split()) for zone, text in own] for own in found]
 
     def counts(frame: pd.DataFrame) -> pd.DataFrame:
         runs = run_table(np.zeros(len(frame), dtype=np.int64), parsed(frame))[0]
@@ -195,26 +213,33 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     kinds = dict(rows.dtypes)
     result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    out = whole.select("page_id", "url", "html", "host", "bucket").groupBy("bucket").applyInPandas(indexed, result)
-    if not listed:
+    whole = rows.join(large.select("host"), "host", "left_anti")
+    whole = whole.select("page_id", "url", packed("html").alias("blocks"), "host", F.pmod(F.xxhash64("host"), F.lit(buckets)).alias("bucket"))
+    out = whole.groupBy("bucket").applyInPandas(indexed, result)
+    if not divided_bytes:
         return out
+    # hosts by number: their names stay out of the tables of runs
+    site = F.xxhash64("host").alias("site")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).alias("part")
+    dealt = rows.join(large, "host").select("page_id", "url", packed("html").alias("blocks"), site, part)
+    dealt = cut(dealt.repartition(max(1, math.ceil(divided_bytes / TASK_BYTES)), "site", "part"))
+    of_site = large.select(site, F.col("parts"), "pages")
 
     def to_parts(found: DataFrame) -> DataFrame:
         """Rows of a site for each of its parts."""
-        return found.join(of_site, "site").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return found.join(of_site, "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
 
-    dealt = divided.select("page_id", "url", "html", "site", "part")
     named = cut(dealt.groupBy("site", "part").applyInPandas(frequent, "site long, hash long").distinct())
     sums = (
         dealt.groupBy("site", "part")
-        .cogroup(to_parts(named).select("site", "hash", F.col("part").cast("long")).groupBy("site", "part"))
+        .cogroup(to_parts(named).select("site", "hash", "part").groupBy("site", "part"))
         .applyInPandas(recounted, "site long, hash long, n long, n_out long")
         .groupBy("site", "hash")
         .agg(F.sum("n").alias("n"), F.sum("n_out").alias("n_out"))
         .join(of_site, "site")
     )
-    known = cut(sums.where((F.col("n") >= OPEN_PAGES) & (F.col("n") >= OPEN_SHARE * F.col("pages"))).drop("parts"))
-    known = to_parts(known.drop("pages")).select("site", "hash", "n", "n_out", "pages", F.col("part").cast("long"))
+    known = cut(sums.where((F.col("n") >= OPEN_PAGES) & (F.col("n") >= OPEN_SHARE * F.col("pages"))).drop("parts", "pages"))
+    known = to_parts(known).select("site", "hash", "n", "n_out", "pages", "part")
     parts = dealt.groupBy("site", "part").cogroup(known.groupBy("site", "part")).applyInPandas(indexed_part, result)
     return out.unionByName(parts)
 

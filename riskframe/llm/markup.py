@@ -21,13 +21,34 @@ BLOCKS = HEADINGS | FURNITURE | frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CONTAINERS = frozenset("div section ul ol dl table article main aside header nav td body html".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
-    r"sidebar|side|widget|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|"
-    r"social|related|recommended|comments?|replies|disqus|popup|modal|overlay|pagination|toolbar)(?:$|[\s_-])",
+# A class or id names furniture if it is one of these words, ends in one ("site-footer"), or starts
+# with one and ends in a word for a part of a page ("share-buttons"); "side-effects" does not.
+_ALWAYS = (
+    r"ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|cookies?|"
+    r"consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|"
+    r"comments?|replies|disqus|popup|modal|overlay|pagination|toolbar"
+)
+_OUTSIDE = r"header|masthead|footer|banner|side|search"
+_PARTS = (
+    r"list|links?|items?|box|bar|buttons?|icons?|area|section|container|wrapper|wrap|inner|widget|block|panel|posts?|stories|slot|unit|"
+    r"form|left|right|top|bottom|toggle|overlay|banner|notice|thread|feed|menu|content"
+)
+
+
+def _furniture(words: str) -> re.Pattern:
+    return re.compile(rf"(?:[\w-]*[_-])?(?:{words})|(?:{words})(?:[_-](?:{_PARTS}))+", re.IGNORECASE)
+
+
+# Inside an article a header, footer or banner belongs to it.
+FURNITURE_NAMES = {True: _furniture(_ALWAYS), False: _furniture(f"{_ALWAYS}|{_OUTSIDE}")}
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+# Headings below which readers write.
+COMMENTS = re.compile(
+    r"(?:\d+\s+)?(?:reader |user |reader's )?(?:comments?|responses?|replies|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?:?|"
+    r"leave a (?:reply|comment)|join the discussion",
     re.IGNORECASE,
 )
-ARTICLE_NAMES = re.compile(r"(?:^|\s)(?:article-?body|article-?content|post-?(?:body|content)|entry-?content|story-?body)(?:$|\s)", re.IGNORECASE)
+ARTICLE_NAMES = re.compile(r"article-?body|article-?content|post-?(?:body|content)|entry-?content|story-?body", re.IGNORECASE)
 
 _RAW = "|".join(RAW)
 _TOKENS = re.compile(
@@ -35,24 +56,35 @@ _TOKENS = re.compile(
     r"<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Attribute names, lower case, with their values; of a repeated one the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
 
 
 def _zone(tag: str, attributes: str, zone: int) -> int:
     """Zone inside an element that opens in `zone`."""
     if zone == CHROME or tag in FURNITURE:
         return CHROME
-    found = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attributes)} if attributes else {}
-    names = " ".join((found.get("class", ""), found.get("id", "")))
+    found = attributes_of(attributes) if attributes else {}
+    names = [*found.get("class", "").split(), *found.get("id", "").split()]
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in FURNITURE_ROLES:
         return CHROME
-    if tag not in HEADINGS and tag not in ("html", "body") and FURNITURE_NAMES.search(names):
+    if HIDDEN_STYLE.search(found.get("style", "")):
         return CHROME
-    if tag == "header":
-        # an article's own header keeps its headings only (see `blocks`)
+    named = tag not in HEADINGS and tag not in ("html", "body", "article", "main")
+    if named and any(map(FURNITURE_NAMES[zone == ARTICLE].fullmatch, names)):
         return CHROME
-    if tag == "article" or found.get("itemprop", "").lower() == "articlebody" or ARTICLE_NAMES.search(names):
+    if tag == "header":
+        # an article's own header is its text, one of a page is not
+        return ARTICLE if zone == ARTICLE else CHROME
+    if tag == "article" or found.get("itemprop", "").lower() == "articlebody" or any(map(ARTICLE_NAMES.fullmatch, names)):
         return ARTICLE
     if tag == "main" or role == "main":
         return max(zone, MAIN)
@@ -63,27 +95,45 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     """(zone, text) of every block that has text, in page order.
 
     Character references are decoded; white space inside a block, line breaks included, becomes
-    one space. Unclosed and crossed elements end with what encloses them.
+    one space. Unclosed and crossed elements end with what encloses them. Text of furniture inside a
+    block is left out of it. Below a heading that announces comments, all is furniture up to the next
+    heading of its rank or the end of what holds it.
     """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    parts: list[str] = []
-    at, zone = 0, OPEN
+    parts: list[tuple[int, str]] = []
+    at, zone, muted, heading = 0, OPEN, None, None
 
     def flush() -> None:
-        if parts:
-            if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((zone, text))
-            parts.clear()
+        nonlocal muted, heading
+        if not parts:
+            return
+        kept = [p for p in parts if p[0] != CHROME and p[1]]
+        text = " ".join(html.unescape("".join(t for _, t in kept)).split())
+        own = max((z for z, _ in kept), default=CHROME) if text else CHROME
+        text = text or " ".join(html.unescape("".join(t for _, t in parts)).split())
+        parts.clear()
+        if not text:
+            return
+        if heading is not None:
+            rank, depth = heading
+            if muted is not None and rank <= muted[0]:
+                muted = None
+            if rank > 1 and COMMENTS.fullmatch(text):
+                muted = (rank, depth)
+        out.append((CHROME if muted is not None else own, text))
 
     def leave(depth: int) -> None:
-        nonlocal zone
+        nonlocal zone, muted, heading
         del stack[depth:]
         zone = stack[-1][1] if stack else OPEN
+        if muted is not None and len(stack) < muted[1]:
+            muted = None
+        heading = None
 
     page = page or ""
     for m in _TOKENS.finditer(page):
-        parts.append(page[at : m.start()])
+        parts.append((zone, page[at : m.start()]))
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
@@ -92,7 +142,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
         if tag == "br":
-            parts.append(" ")
+            parts.append((zone, " "))
             continue
         if tag in BLOCKS:
             flush()
@@ -117,13 +167,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     break
         if tag in VOID:
             continue
-        inner = _zone(tag, attributes, zone)
-        if inner == CHROME and tag in HEADINGS and stack and stack[-1][0] == "header":
-            # headings of an article's header belong to the article
-            outer = next((z for t, z in reversed(stack) if t != "header"), OPEN)
-            inner = outer if outer == ARTICLE else CHROME
-        stack.append((tag, inner))
-        zone = inner
-    parts.append(page[at:])
+        zone = _zone(tag, attributes, zone)
+        if tag in HEADINGS:
+            heading = (int(tag[1]), len(stack))
+        stack.append((tag, zone))
+    parts.append((zone, page[at:]))
     flush()
     return out

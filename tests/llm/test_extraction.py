@@ -1,6 +1,9 @@
 import html
+import random
 import re
+from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from riskframe.llm import extraction, markup
@@ -21,7 +24,7 @@ def text_of(spark, rows):
 
 def test_zones_and_blocks():
     assert [t for z, t in markup.blocks(PAGE) if z == markup.ARTICLE] == [
-        "The & Title", "One two three four", "Five six — seven", "a", "b", "c1", "c2", "tail",
+        "The & Title", "by x", "One two three four", "Five six — seven", "a", "b", "c1", "c2", "tail",
     ]
     assert [t for z, t in markup.blocks(PAGE) if z == markup.MAIN] == ["outside"]
 
@@ -119,3 +122,72 @@ def test_short_furniture_goes_where_no_article_is_declared(spark):
     ]
     got = text_of(spark, rows)
     assert {i: r["text"] for i, r in got.items()} == {i: f"only {i}\nbody of page {i} own{i}" for i in range(12)}
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<article style="overflow:hidden"><p>one</p></article>', ["one"]),
+        ('<article data-topic="hidden gems"><p>one</p></article>', ["one"]),
+        ('<article data-id="nav" data-class="menu" title="share"><p>one</p></article>', ["one"]),
+        ('<article><section id="side-effects"><p>s</p></section><div class="social-history">h</div><p class="header-note">n</p></article>', ["s", "h", "n"]),
+        ('<article id="nav-history" class="post menu"><p>z</p></article>', ["z"]),
+        ('<article><p>text <span class="share">unclosed words</p><p>more</p></article>', ["text", "more"]),
+        ("<article><header><p>Standfirst</p></header><p>b</p></article>", ["Standfirst", "b"]),
+        ("<article><div class='post-header'><h2>t</h2></div><div class='share-buttons'>s</div><p>b</p></article>", ["t", "b"]),
+        ("<article><p>body</p></article><section><h2>Comments</h2><article><p>bad</p></article></section>", ["body"]),
+        ("<article><p>b</p><h3>3 comments</h3><p>bad</p></article><article><p>ok</p></article>", ["b", "ok"]),
+        ("<article><h2>Comments</h2><p>bad</p><h2>Next part</h2><p>good</p></article>", ["Next part", "good"]),
+        ("<article><h2>Comments on the law</h2><p>good</p></article>", ["Comments on the law", "good"]),
+        ("<article hidden><p>x</p></article><article><p style='display: none'>x</p><p hidden=''>x</p><p>y</p></article>", ["y"]),
+    ],
+)
+def test_attributes_names_and_comments(page, expected):
+    assert [t for z, t in markup.blocks(page) if z == markup.ARTICLE] == expected
+
+
+@pytest.mark.parametrize("name, gone", [("site-footer", True), ("cookie-notice", True), ("ads", True), ("nav-links", True), ("main_nav", True),
+                                        ("advice", False), ("shareholder", False), ("side-effects", False), ("menuhin", False), ("commentary", False)])
+def test_whole_names_tell_furniture(name, gone):
+    assert markup.blocks(f"<div class='x {name}'>a</div>") == [(markup.CHROME if gone else markup.OPEN, "a")]
+
+
+def test_repeated_runs_equal_brute_force():
+    """Words covered by substrings of eight words or more that stand on enough pages of a host."""
+    rng = random.Random(5)
+    for trial in range(30):
+        shared = [[f"s{rng.randrange(12)}" for _ in range(rng.randrange(6, 14))] for _ in range(3)]
+        pages, hosts = [], []
+        for _ in range(rng.randrange(2, 10)):
+            page = []
+            for _ in range(rng.randrange(1, 4)):
+                own = [f"w{rng.randrange(4 + trial)}" for _ in range(rng.randrange(0, 10))]
+                block = own + (rng.choice(shared) if rng.random() < 0.7 else []) + own[:2]
+                if block:
+                    page.append((markup.OPEN, block))
+            pages.append(page)
+            hosts.append(rng.randrange(2))
+        hosts = np.array(hosts)
+        where, whole = defaultdict(set), defaultdict(set)
+        for p, page in enumerate(pages):
+            for _, own in page:
+                whole[hosts[p], tuple(own)].add(p)
+                for i in range(len(own) - 7):
+                    where[hosts[p], tuple(own[i : i + 8])].add(p)
+        marks = extraction.boilerplate(hosts, pages)
+        for p, page in enumerate(pages):
+            often = lambda found: len(found) >= 3 and len(found) >= 0.3 * (hosts == hosts[p]).sum()  # noqa: B023, E731
+            for (_, own), (mark, _) in zip(page, marks[p], strict=True):
+                expected = [len(own) < 8 and often(whole[hosts[p], tuple(own)])] * len(own)
+                for i in range(len(own) - 7):
+                    if often(where[hosts[p], tuple(own[i : i + 8])]):
+                        expected[i : i + 8] = [True] * 8
+                assert list(mark) == expected
+
+
+def test_parts_are_laid_out_once(spark, monkeypatch):
+    monkeypatch.setattr(extraction, "TASK_BYTES", 1500)
+    rows = [(i, f"http://hot.example/{i}", f"<div>{NOTICE}</div><p>body of page {i} own{i}</p>", "", "", 1) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, part int")
+    plan = extraction.extract(pages)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(site#\d+L, part#\d+L, \d+\)[^\n]*\n[^\n]*Scan ExistingRDD\[page_id", plan)
