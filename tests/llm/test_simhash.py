@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -211,7 +212,10 @@ def test_meetings_equal_all_pairs(monkeypatch, tile):
         nodes = rng.choice(10**6, 25, replace=False)
         tokens = {int(n): set(rng.integers(0, 30, 6).tolist()) for n in nodes}
         about = {int(n): (int(n) % 4, int(rng.integers(8, 12)), int(n) % sides) for n in nodes}
-        rows = pd.DataFrame([(t, n, *about[n]) for n in tokens for t in tokens[n]], columns=["token", "node", "root", "size", "side"])
+        rows = pd.DataFrame(
+            [(t, n, *about[n], len(tokens[n]) + n % 3) for n in tokens for t in tokens[n]],
+            columns=["token", "node", "root", "size", "side", "tokens"],
+        )
         found = {(r.a, r.b): r.n for f in near_text.shared_pairs(rows.sample(frac=1, random_state=1), 0.8) for r in f.itertuples()}
         wanted = {}
         for x in tokens:
@@ -219,5 +223,8 @@ def test_meetings_equal_all_pairs(monkeypatch, tile):
                 (rx, sx, ax), (ry, sy, ay) = about[x], about[y]
                 n = len(tokens[x] & tokens[y])
                 if x > y and n and rx != ry and min(sx, sy) >= 0.8 * max(sx, sy) and (sides == 1 or ax != ay):
-                    wanted[x, y] = n
+                    prefix = [s - math.ceil(0.8 * s) + 1 for s in (sx, sy)]
+                    least = math.ceil(0.8 / 1.8 * (sx + sy) - 1e-9) - max(sx - prefix[0], sy - prefix[1])
+                    if n + min(x % 3, y % 3) >= least:
+                        wanted[x, y] = n
         assert found == wanted and wanted
