@@ -8,7 +8,10 @@ from riskframe.catalog.inputs import split_txn
 from riskframe.catalog.metric_queries import CAPACITY, COSTS, POLICIES, ROW_COST, decision_rows, ev_sql, summary_sql
 from riskframe.catalog.registry import TXN, query
 from riskframe.operators import bootstrap, calibration, cost, features, learning, ranking
+from riskframe.operators.horizon import Fitted, build_horizon, transform
 from riskframe.operators.splits import assign_folds
+from riskframe.session import materialise, scratch_path
+from riskframe.sources.artifacts import Served, check_scores, load_served, save_served
 
 NUMERIC = ["amount", "hour", "weekday"]
 
@@ -80,10 +83,35 @@ def isotonic_scores(spark, d):
     return calibration.apply_isotonic(rows, "score", calibration.fit_isotonic(rows), "probability")
 
 
-@query("isotonic_fit", "score:f probability:f")
+# Monotone fits, one per held-out fold (0 holds nothing out): the largest lower bound over starts of
+# the smallest mean over ends.
+MONOTONE = NEWTON + f""",
+fs AS (SELECT id, is_fraud, s, day - 20 AS fold FROM ({SCORED_SQL})),
+fk AS (SELECT held, s, sum(is_fraud) AS p, count(*) AS n FROM fs JOIN range(0, 6) r(held) ON fold <> held GROUP BY 1, 2),
+fu AS (SELECT held, s, sum(p) OVER w AS cp, sum(n) OVER w AS cn, p, n FROM fk WINDOW w AS (PARTITION BY held ORDER BY s)),
+fm AS (SELECT a.held, a.s AS lo, b.s AS hi, (b.cp - a.cp + a.p) / (b.cn - a.cn + a.n) AS mean FROM fu a JOIN fu b ON a.held = b.held AND b.s >= a.s),
+fw AS (SELECT fk.held, fk.s, fm.lo, min(fm.mean) AS worst FROM fk JOIN fm ON fm.held = fk.held AND fm.lo <= fk.s AND fm.hi >= fk.s GROUP BY ALL),
+fit AS (SELECT held, s, max(worst) AS value FROM fw GROUP BY 1, 2),
+around AS (
+  SELECT id, held, fs.s, max(f.s) FILTER (f.s <= fs.s) AS below, min(f.s) FILTER (f.s >= fs.s) AS above
+  FROM fs JOIN fit f ON held = fold GROUP BY ALL),
+out_of_fold AS (
+  SELECT a.id, a.held, CASE WHEN l.s IS NULL THEN h.value WHEN h.s IS NULL OR h.s = l.s THEN l.value
+                            ELSE l.value + (a.s - l.s) / (h.s - l.s) * (h.value - l.value) END AS isotonic
+  FROM around a LEFT JOIN fit l ON l.held = a.held AND l.s = below LEFT JOIN fit h ON h.held = a.held AND h.s = above)
+"""
+
+
+@query(
+    "isotonic_fit",
+    "score:f probability:f",
+    """SELECT s AS score, value AS probability FROM (
+         SELECT *, lag(value) OVER (ORDER BY s) AS a, lead(value) OVER (ORDER BY s) AS b FROM fit WHERE held = 0)
+       WHERE a IS DISTINCT FROM value OR b IS DISTINCT FROM value""",
+    MONOTONE,
+)
 def isotonic_fit(spark, d):
-    xs, ys = calibration.fit_isotonic(scored(spark, d))
-    return spark.createDataFrame(list(zip(xs, ys)), "score double, probability double")
+    return calibration.isotonic_table(calibration.fit_isotonic(scored(spark, d)))
 
 
 @query(
@@ -99,7 +127,13 @@ def calibrator_apply(spark, d):
     return isotonic.apply(platt.apply(scored(spark, d), "score", "platt"), "score", "isotonic")
 
 
-@query("calibration_cross_fit", "id:i fold:i platt:f isotonic:f")
+@query(
+    "calibration_cross_fit",
+    "id:i fold:i platt:f isotonic:f",
+    """SELECT id, fold - 1 AS fold, 1 / (1 + exp(-(a * z + b))) AS platt, isotonic
+       FROM sc JOIN nt ON nt.held = fold JOIN out_of_fold USING (id)""",
+    MONOTONE,
+)
 def calibration_cross_fit(spark, d):
     folded = assign_folds(scored(spark, d), 5)
     both = calibration.cross_fit(calibration.cross_fit(folded, "platt"), "isotonic")
@@ -258,7 +292,7 @@ def probe_contributions(spark, d):
 @query("tree_challenger", "split:s n:i pr_auc:f roc_auc:f")
 def tree_challenger(spark, d):
     rows = _learnable(spark, d).where("split is not null")
-    model = learning.fit_tree(rows, NUMERIC, max_iter=5)
+    model = learning.fit_tree(rows, NUMERIC)
     return ranking.ranking_metrics(learning.score_tree(rows, model, NUMERIC, ["split", "is_fraud"]), groups=["split"])
 
 
@@ -266,14 +300,14 @@ def tree_challenger(spark, d):
 def experiment_arms(spark, d):
     rows = _learnable(spark, d).where("split is not null")
     arms = learning.leave_family_out(NUMERIC, {"time": ["hour", "weekday"], "amount": ["amount"]})
-    return learning.run_arms(rows, arms, max_iter=3)
+    return learning.run_arms(rows, arms)
 
 
 @query("noise_floor", "seed:i width:i pr_auc:f delta:f")
 def noise_floor(spark, d):
     rows = _learnable(spark, d)
     small = learning.ProbeConfig(["amount", "hour"])
-    return learning.noise_floor(rows.where("split = 'train'"), rows.where("split = 'val_fit'"), small, [0, 1], 1)
+    return learning.noise_floor(rows.where("split = 'train'"), rows.where("split = 'val_fit'"), small, range(20), 1)
 
 
 @query("family_probe", "family:s pr_auc:f roc_auc:f")
@@ -285,15 +319,98 @@ def family_probe(spark, d):
     )
 
 
-@query("neutralised_arm", "arm:s rows:i mean_score:f")
+@query(
+    "neutralised_arm",
+    "arm:s rows:i pr_auc:f usd_per_1000:f reviews_per_day:f block_rate:f delta_pr_auc:f delta_usd:f low:f high:f",
+)
 def neutralised_arm(spark, d):
     rows = features.velocity(_learnable(spark, d))
     columns = ["amount", "hour", *features.velocity_columns()]
     probe = learning.fit_probe(rows.where("split = 'train'"), learning.ProbeConfig(columns))
 
     def scorer(df):
-        return learning.score_probe(df, probe, ["id"])
+        return learning.score_probe(df, probe, ["id", "day", "is_fraud", "amount"])
+
+    held = rows.where("split = 'val_cal'")
+    intact, neutral = (materialise(df, "arm") for df in learning.neutralised_scores(held, scorer))
+    arms = {"with_history": intact, "neutralised": neutral}
+    return learning.compare_arms(arms, "with_history", COSTS, CAPACITY, folds=5, resamples=RESAMPLES, day_bound=5)
+
+
+# Two scorings that SQL can repeat: the score, and the score without its smallest amounts.
+ARM_ROWS = {"intact": "score", "flattened": "CASE WHEN amount < 20 THEN 0.3 ELSE score END"}
+
 
-    intact, neutral = learning.neutralised_scores(rows.where("split = 'val_cal'"), scorer)
-    stacked = intact.withColumn("arm", F.lit("with_history")).unionByName(neutral.withColumn("arm", F.lit("neutralised")))
-    return stacked.groupBy("arm").agg(F.count(F.lit(1)).alias("rows"), F.avg("score").alias("mean_score"))
+def _arm_sql() -> str:
+    ctes = []
+    for name, score in ARM_ROWS.items():
+        ctes.append(f"""{name}_s AS (SELECT id, is_fraud AS y, day - 20 AS fold, 0.05 + 0.6 * ({score}) + 0.3 * is_fraud AS s FROM st WHERE split = 'val_cal'),
+{name}_z AS (SELECT *, ln(s / (1 - s)) AS z FROM {name}_s),
+{name}_n AS (
+  WITH RECURSIVE step(i, held, a, b) AS (
+    SELECT 0, held, 0.0::DOUBLE, (SELECT ln(avg(y) / (1 - avg(y))) FROM {name}_z WHERE fold <> held) FROM range(1, 6) r(held)
+    UNION ALL
+    SELECT i + 1, held, a - (gz * h - g * hz) / (h * hzz - hz * hz), b - (g * hzz - gz * hz) / (h * hzz - hz * hz) FROM (
+      SELECT i, held, a, b, sum(p - y) AS g, sum((p - y) * z) AS gz, sum(p * (1 - p)) AS h, sum(p * (1 - p) * z) AS hz,
+             sum(p * (1 - p) * z * z) AS hzz
+      FROM (SELECT step.*, y, z, 1 / (1 + exp(-(a * z + b))) AS p FROM step JOIN {name}_z ON fold <> held WHERE i < 12)
+      GROUP BY i, held, a, b))
+  SELECT held, a, b FROM step WHERE i = 12),
+{name}_p AS (SELECT st.*, 1 / (1 + exp(-(a * z + b))) AS p, s FROM st JOIN {name}_z USING (id) JOIN {name}_n ON held = fold),
+{ev_sql("_" + name, "p", name + "_p").strip()},
+{name}_k AS (SELECT *, sum(is_fraud) OVER w AS tp, count(*) OVER w AS n FROM {name}_p WINDOW w AS (ORDER BY s DESC)),
+{name}_m AS (SELECT '{name}' AS arm, sum(is_fraud * tp / n) / sum(is_fraud) AS pr_auc FROM {name}_k),
+{name}_d AS (SELECT day - 20 AS k, count(*) AS n, sum({ROW}) AS c FROM ev_{name} GROUP BY day)""")
+    return TXN + "," + ",\n".join(ctes) + f""",
+{DRAWS},
+paired AS (SELECT r, sum((a.c - b.c) * times[a.k]) / sum(a.n * times[a.k]) * 1000 AS v FROM draws CROSS JOIN flattened_d a JOIN intact_d b USING (k) GROUP BY r),
+told AS (SELECT * FROM ({summary_sql("ev_intact", "intact")} UNION ALL {summary_sql("ev_flattened", "flattened")}) JOIN
+         (SELECT * FROM intact_m UNION ALL SELECT * FROM flattened_m) ON arm = policy)"""
+
+
+@query(
+    "arm_comparison",
+    "arm:s rows:i pr_auc:f usd_per_1000:f reviews_per_day:f block_rate:f delta_pr_auc:f delta_usd:f low:f high:f",
+    f"""SELECT arm, rows, pr_auc, usd_per_1000, reviews_per_day, block_rate,
+               pr_auc - (SELECT pr_auc FROM told WHERE arm = 'intact') AS delta_pr_auc,
+               usd_per_1000 - (SELECT usd_per_1000 FROM told WHERE arm = 'intact') AS delta_usd, low, high
+        FROM told LEFT JOIN (SELECT 'flattened' AS arm, {ENDS} FROM paired) USING (arm)""",
+    _arm_sql(),
+)
+def arm_comparison(spark, d):
+    rows = split_txn(spark, d).where("split = 'val_cal'")
+    flat = F.when(F.col("amount") < 20, 0.3).otherwise(F.col("score"))
+    arms = {
+        name: rows.withColumn("score", 0.05 + 0.6 * s + 0.3 * F.col("is_fraud")).select("id", "day", "is_fraud", "amount", "score")
+        for name, s in (("intact", F.col("score")), ("flattened", flat))
+    }
+    return learning.compare_arms(arms, "intact", COSTS, CAPACITY, folds=5, resamples=RESAMPLES, day_bound=5)
+
+
+@query("horizon_scores", "id:i uncalibrated:f calibrated:f")
+def horizon_scores(spark, d):
+    """A model fitted on train, saved, read back, proved on three test days, and used on those after them."""
+    rows = _learnable(spark, d)
+    train = rows.where("split = 'train'")
+    fitted = Fitted(
+        features.fit_frequencies(train, ["product"]), features.fit_amount_stats(train, ["product"], 10.0),
+        features.fit_categories(train, ["product"], 50), ["product"], ["product"], ["product"],
+    )
+    columns = ["id", "amount", "hour", "amt_whole_dollar", "freq_product", "amt_z_product", "product"]
+    raw = ["id", "dt", "amount", "product"]
+    numeric = ["amount", "hour", "amt_whole_dollar", "freq_product", "amt_z_product"]
+    config = learning.ProbeConfig(numeric, categorical=["product"])
+    matrix = transform(train.select(*raw), fitted).join(train.select("id", "is_fraud"), "id")
+    probe = learning.fit_probe(matrix, config)
+    scored_train = learning.score_probe(matrix, probe, ["id", "is_fraud"])
+    served = Served(fitted, probe, calibration.Isotonic.fit(scored_train))
+    path = scratch_path(spark, "served")
+    save_served(served, path)
+    test = rows.where("day between 26 and 28").select(*raw)
+    reference = materialise(transform(test, fitted, columns), "reference")
+    on_record = materialise(served.score(reference, ["id"]), "on-record")
+    loaded = load_served(spark, path)
+    later = rows.where("day > 28").select(*raw)
+    return build_horizon(
+        later, test, reference, loaded.fitted, columns, lambda m: loaded.score(m, ["id"]), on_record, check_scores
+    )

@@ -222,6 +222,27 @@ def metric_cells(spark, d):
     return ranking.cells(split_txn(spark, d).withColumn("has_identity", F.col("addr") < 40), "has_identity")
 
 
+@query(
+    "metric_cells_recall",
+    "side:s stratum:s capacity:f reviewed:i caught:i positives:i recall:f recall_ceiling:f",
+    """WITH x AS (SELECT split AS side, addr < 40 AS ident, id, day, score, is_fraud FROM st WHERE split IN ('train', 'val_fit', 'val_cal')
+                  UNION ALL SELECT 'validation', addr < 40, id, day, score, is_fraud FROM st WHERE split IN ('val_fit', 'val_cal')),
+            y AS (SELECT side, 'all' AS stratum, id, day, score, is_fraud FROM x
+                  UNION ALL SELECT side, CASE WHEN ident THEN 'identity' ELSE 'no_identity' END, id, day, score, is_fraud FROM x),
+            r AS (SELECT *, row_number() OVER (PARTITION BY side, stratum, day ORDER BY score DESC, id) AS place,
+                         count(*) OVER (PARTITION BY side, stratum, day) AS n FROM y),
+            q AS (SELECT side, stratum, capacity, day, any_value(floor(n * capacity)) AS quota, sum(is_fraud) AS p,
+                         sum(is_fraud) FILTER (place <= floor(n * capacity)) AS got
+                  FROM r CROSS JOIN (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.2::DOUBLE)) c(capacity) GROUP BY ALL)
+       SELECT side, stratum, capacity, sum(quota) AS reviewed, coalesce(sum(got), 0) AS caught, sum(p) AS positives,
+              coalesce(sum(got), 0) / sum(p) AS recall, sum(least(quota, p)) / sum(p) AS recall_ceiling FROM q GROUP BY 1, 2, 3""",
+)
+def metric_cells_recall(spark, d):
+    rows = split_txn(spark, d).withColumn("has_identity", F.col("addr") < 40)
+    found = ranking.cells(rows, "has_identity", capacities=[0.01, 0.05, 0.2])
+    return found.select("side", "stratum", F.inline("recall_at_capacity"))
+
+
 @query(
     "mix_decomposition",
     "train_pr_auc:f validation_pr_auc:f reweighted_pr_auc:f compositional:f remainder:f",

@@ -327,8 +327,8 @@ def flag_agreement(spark, d):
 @query(
     "smoothed_volume",
     "day:i rows_smooth:f",
-    "SELECT day, rows_smooth FROM daily WHERE rows_smooth IS NOT NULL",
+    "SELECT day, rows_smooth FROM daily",
     DAILY,
 )
 def smoothed_volume(spark, d):
-    return profile.daily_profile(txn(spark, d)).where("rows_smooth is not null").select("day", "rows_smooth")
+    return profile.daily_profile(txn(spark, d)).select("day", "rows_smooth")

@@ -108,13 +108,14 @@ def stream_late_rows(spark, d):
     folder, out, checkpoint = (scratch_path(spark, f"late-{x}") for x in ("in", "out", "ckpt"))
     days = F.floor(F.col("dt") / 86_400)
     dropped = 0
-    for arriving in (days > 10, days <= 10):
-        rows.where(arriving).write.mode("append").parquet(folder)
-        sdf = scoring.event_time(sources.file_stream(spark, folder, rows.schema))
-        with sources.state_partitions(spark):
-            started = sources.start_files(scoring.dedup(sdf, "id", "event_time", "1 hour").select("id"), out, checkpoint)
-        started.awaitTermination()
-        dropped += scoring.late_rows(started)
+    with scoring.LateRows(spark) as late:
+        for arriving in (days > 10, days <= 10):
+            rows.where(arriving).write.mode("append").parquet(folder)
+            sdf = scoring.event_time(sources.file_stream(spark, folder, rows.schema))
+            with sources.state_partitions(spark):
+                started = sources.start_files(scoring.dedup(sdf, "id", "event_time", "1 hour").select("id"), out, checkpoint)
+            started.awaitTermination()
+            dropped += late.total(started)
     return spark.createDataFrame([(dropped,)], "dropped long")
 
 

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from riskframe.functions.scalar import expit, logit
 from riskframe.operators.cost import ev_policy, policy_cost, policy_summary
 from riskframe.operators.ranking import calibration_metrics
 from riskframe.operators.splits import assign_folds
-from riskframe.plans.sizing import measured
+from riskframe.plans.monotone import apply_blocks, breakpoints, monotone_blocks
 from riskframe.session import materialise
 
 # Fixed value: distance scores keep from 0 and 1 before the log-odds are taken.
@@ -151,26 +149,27 @@ def _score_steps(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) ->
     )
 
 
-def fit_isotonic(df: DataFrame, score: str = "score", y: str = "is_fraud") -> tuple[list[float], list[float]]:
-    """Breakpoints of the monotone fit, on rows collapsed to distinct scores first."""
-    return _isotonic(_score_steps(df, score, y))
+def _usable_steps(df: DataFrame, score: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Steps of scores that are numbers; zeros are one score."""
+    usable = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    plain = usable.withColumn(score, F.when(F.col(score) == 0, F.lit(0.0)).otherwise(F.col(score).cast("double")))
+    return _score_steps(plain, score, y, keys)
 
 
-def _isotonic(steps: DataFrame) -> tuple[list[float], list[float]]:
-    means = steps.select("x", (F.col("p") / F.col("w")).alias("_y"), F.col("w").alias("_w"))
-    vectors = VectorAssembler(inputCols=["x"], outputCol="_v").transform(means)
-    model = IsotonicRegression(featuresCol="_v", labelCol="_y", weightCol="_w").fit(vectors)
-    xs, ys = list(model.boundaries.toArray()), [min(1.0, max(0.0, v)) for v in model.predictions.toArray()]
-    kept_x, kept_y = [], []
-    for x, v in zip(xs, ys):
-        if kept_x and x == kept_x[-1]:
-            continue
-        kept_x.append(float(x))
-        kept_y.append(float(v))
-    return kept_x, kept_y
+def fit_isotonic(df: DataFrame, score: str = "score", y: str = "is_fraud") -> DataFrame:
+    """Blocks of the monotone fit `(lo, hi, p, w)`, on rows collapsed to distinct scores first."""
+    return monotone_blocks(_usable_steps(df, score, y))
 
 
-def apply_isotonic(df: DataFrame, score: str, table: tuple[Sequence[float], Sequence[float]], out: str) -> DataFrame:
+def isotonic_table(blocks: DataFrame) -> DataFrame:
+    """The fit as breakpoints `(score, probability)`."""
+    return breakpoints(blocks).select(F.col("x").alias("score"), F.col("value").alias("probability"))
+
+
+def apply_isotonic(df: DataFrame, score: str, table: tuple[Sequence[float], Sequence[float]] | DataFrame, out: str) -> DataFrame:
+    """Linear between breakpoints; `table` holds a few of them, or is a fitted table of blocks."""
+    if isinstance(table, DataFrame):
+        return apply_blocks(df, score, table, out)
     return interpolate(df, score, table[0], table[1], out)
 
 
@@ -192,14 +191,13 @@ class Platt:
 
 @dataclass(frozen=True)
 class Isotonic:
-    """Monotone curve, linear between its breakpoints."""
+    """Monotone curve, linear between its breakpoints: a few of them, or a fitted table of blocks."""
 
-    breakpoints: tuple[tuple[float, ...], tuple[float, ...]]
+    breakpoints: tuple[tuple[float, ...], tuple[float, ...]] | DataFrame
 
     @classmethod
     def fit(cls, df: DataFrame, score: str = "score", y: str = "is_fraud", clip: float = SCORE_CLIP) -> Isotonic:
-        xs, ys = fit_isotonic(df, score, y)
-        return cls((tuple(xs), tuple(ys)))
+        return cls(fit_isotonic(df, score, y))
 
     def apply(self, df: DataFrame, score: str, out: str) -> DataFrame:
         return apply_isotonic(df, score, self.breakpoints, out)
@@ -223,14 +221,19 @@ def cross_fit(
         return df.withColumn(out, apply_platt(score, a, b, clip))
     if method != "isotonic":
         raise ValueError(f"unknown calibration method {method!r}; expected one of {METHODS}")
-    # one pass collapses the rows of every fold; each fit then adds up the other folds' steps
-    steps = measured(_score_steps(df, score, y, ["fold"]))
-    scored, chosen = df, F.lit(None).cast("double")
-    for k in folds:
-        others = steps.where(F.col("fold") != k).groupBy("x").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
-        scored = apply_isotonic(scored, score, _isotonic(others), f"_p{k}")
-        chosen = F.when(F.col("fold") == k, F.col(f"_p{k}")).otherwise(chosen)
-    return scored.withColumn(out, chosen).drop(*[f"_p{k}" for k in folds])
+    # one pass collapses the rows of every fold; a score's steps are those of all folds but one
+    own = F.map_from_entries(F.collect_list(F.struct("fold", F.struct("p", "w"))))
+    steps = _usable_steps(df, score, y, ["fold"])
+    by_score = steps.groupBy("x").agg(F.sum("p").alias("p"), F.sum("w").alias("w"), own.alias("own"))
+    held = F.explode(F.array(*[F.lit(k) for k in folds])).alias("held")
+    mine = F.try_element_at("own", F.col("held"))
+    others = by_score.select("x", "p", "w", "own", held).select(
+        F.col("held").cast(dict(df.dtypes)["fold"]).alias("fold"),
+        "x",
+        (F.col("p") - F.coalesce(mine["p"], F.lit(0.0))).alias("p"),
+        (F.col("w") - F.coalesce(mine["w"], F.lit(0.0))).alias("w"),
+    )
+    return apply_blocks(df, score, monotone_blocks(others.where("w > 0"), ["fold"]), out, ["fold"])
 
 
 def _per_fold(values: Mapping[int, float]) -> Column:

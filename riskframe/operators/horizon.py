@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -54,9 +54,20 @@ def transform(df: DataFrame, fitted: Fitted, columns: Sequence[str] | None = Non
 
 
 def build_horizon(
-    later: DataFrame, labelled: DataFrame, reference: DataFrame, fitted: Fitted, columns: Sequence[str]
+    later: DataFrame, labelled: DataFrame, reference: DataFrame, fitted: Fitted, columns: Sequence[str],
+    score: Callable[[DataFrame], DataFrame] | None = None, persisted: DataFrame | None = None,
+    check: Callable[[DataFrame, DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Unlabelled rows through the same transform, once it has been proved to reproduce the
-    training-time matrix on labelled rows."""
-    check_matrix(transform(labelled, fitted, columns), reference.select(*columns))
-    return transform(later, fitted, columns)
+    """Unlabelled rows through the same transform, once it has been proved on labelled rows.
+
+    The proof is the training-time matrix, reproduced exactly; with `score`, which turns a matrix into
+    scores, also the `persisted` scores, compared by `check`. Then the later rows are scored.
+    """
+    matrix = transform(labelled, fitted, columns)
+    check_matrix(matrix, reference.select(*columns))
+    if score is None:
+        return transform(later, fitted, columns)
+    if persisted is None or check is None:
+        raise ValueError("scores on record are needed to prove a model by")
+    check(score(matrix), persisted)
+    return score(transform(later, fitted, columns))

@@ -9,13 +9,27 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.lookup import null_safe_join
 from riskframe.plans.gates import gated
-from riskframe.sources.contract import duplicate_keys
 
 
-def _refuse_duplicates(df: DataFrame, key: Sequence[str], side: str) -> None:
-    found = duplicate_keys(df, key).limit(1).collect()
-    if found:
-        raise ValueError(f"the {side} side repeats key {found[0].asDict()}")
+def _check_keys(left: DataFrame, right: DataFrame, key: str, matched: bool = False) -> None:
+    """Refuse a side that repeats a key and, if `matched`, a right key without a left row.
+
+    One job: keys of both sides are counted together, combined before the shuffle. Null keys join
+    with nothing; they count as one key that may not repeat.
+    """
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    counts = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    shown = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    stray = (F.col("r") > 0) & ((F.col("l") == 0) | F.col(key).isNull())
+    told = {"the left side repeats key": F.col("l") > 1, "the right side repeats key": F.col("r") > 1}
+    if matched:
+        told["no row to join to for"] = stray
+    row = counts.agg(*[F.min(F.when(c, shown)).alias(f"k{i}") for i, c in enumerate(told.values())]).first()
+    for found, name in zip(row, told, strict=True):
+        if found is not None:
+            raise ValueError(f"{name} {key}={found}")
 
 
 def left_join_flag(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
@@ -26,17 +40,12 @@ def left_join_flag(left: DataFrame, right: DataFrame, key: str, flag: str) -> Da
 
 def checked_left_join_flag(left: DataFrame, right: DataFrame, key: str, flag: str) -> DataFrame:
     """`left_join_flag` after proving both sides unique and every right row matched."""
-    _refuse_duplicates(left, [key], "left")
-    _refuse_duplicates(right, [key], "right")
-    stray = right.join(left, key, "left_anti").limit(1).collect()
-    if stray:
-        raise ValueError(f"{key}={stray[0][key]} has no row to join to")
+    _check_keys(left, right, key, matched=True)
     return left_join_flag(left, right, key, flag)
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    _refuse_duplicates(left, [key], "left")
-    _refuse_duplicates(right, [key], "right")
+    _check_keys(left, right, key)
     return left.join(right, key, how)
 
 

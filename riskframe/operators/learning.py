@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.config import Costs
+from riskframe.operators.bootstrap import paired_day_bootstrap
+from riskframe.operators.calibration import cost_arm
 from riskframe.operators.features import apply_categories, fit_categories, neutralise
 from riskframe.operators.ranking import ranking_metrics
 from riskframe.plans.sizing import measured
+from riskframe.session import materialise
+
+T = TypeVar("T")
 
 
 @dataclass(frozen=True)
@@ -99,7 +109,11 @@ def fit_probe(train: DataFrame, config: ProbeConfig) -> Probe:
         ),
     ]
     typed_label = prepared.withColumn(config.label, F.col(config.label).cast("double"))
-    return Probe(config, vocabulary, Pipeline(stages=stages).fit(typed_label))
+    model = Pipeline(stages=stages).fit(typed_label)
+    # the training summary holds the session, which cannot travel to tasks once rows were observed in it
+    fitted = model.stages[-1]._java_obj
+    fitted.setSummary(train.sparkSession._jvm.scala.Option.apply(None))
+    return Probe(config, vocabulary, model)
 
 
 def score_probe(df: DataFrame, probe: Probe, keep: Sequence[str], out: str = "score") -> DataFrame:
@@ -187,28 +201,54 @@ def random_width_arms(features: Sequence[str], width: int, draws: int, seed: int
     return arms
 
 
+def concurrently(tasks: Sequence[Callable[[], T]], spark: SparkSession, parallel: int = 4) -> list[T]:
+    """Results of driver tasks that each start Spark jobs, some at a time, in order.
+
+    Every thread has its own fair pool, so that small fits fill the executors a large one leaves;
+    without a fair scheduler the pools are ignored and jobs queue.
+    """
+
+    def pooled(at: int, task: Callable[[], T]) -> T:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{at % parallel}")
+        try:
+            return task()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=parallel) as threads:
+        started = [threads.submit(inheritable_thread_target(spark)(partial(pooled, i, t))) for i, t in enumerate(tasks)]
+        return [s.result() for s in started]
+
+
 def run_arms(
-    df: DataFrame, arms: Sequence[Arm], label: str = "is_fraud", split: str = "val_fit", max_iter: int = 10, depth: int = 3
+    df: DataFrame, arms: Sequence[Arm], label: str = "is_fraud", split: str = "val_fit", max_iter: int = 10, depth: int = 3,
+    parallel: int = 4,
 ) -> DataFrame:
-    """One tree per arm on a persisted matrix; `(arm, seed, features, pr_auc, roc_auc)`.
+    """One tree per arm on one cached matrix; `(arm, seed, features, pr_auc, roc_auc)`.
 
-    The loop is over configurations, never over data; each fit is a Spark job.
+    The loop is over configurations, never over data; fits run side by side. The matrix is released
+    when the metrics, a row an arm, are written.
     """
     matrix = df.persist()
-    scored = None
-    for arm in arms:
-        rows = matrix if arm.rows is None else matrix.where(arm.rows | (F.col("split") != "train"))
-        model = fit_tree(rows, arm.features, label, max_iter, depth, arm.seed)
-        part = score_tree(matrix.where(F.col("split") == split), model, arm.features, [label]).select(
-            F.lit(arm.name).alias("arm"),
-            F.lit(arm.seed).alias("seed"),
-            F.lit(len(arm.features)).alias("features"),
-            label,
-            "score",
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    metrics = ranking_metrics(scored, label, "score", ["arm", "seed", "features"])
-    return metrics.select("arm", "seed", "features", "pr_auc", "roc_auc")
+    try:
+        matrix.count()
+
+        def scored(arm: Arm) -> DataFrame:
+            rows = matrix if arm.rows is None else matrix.where(arm.rows | (F.col("split") != "train"))
+            model = fit_tree(rows, arm.features, label, max_iter, depth, arm.seed)
+            return score_tree(matrix.where(F.col("split") == split), model, arm.features, [label]).select(
+                F.lit(arm.name).alias("arm"),
+                F.lit(arm.seed).alias("seed"),
+                F.lit(len(arm.features)).alias("features"),
+                label,
+                "score",
+            )
+
+        parts = concurrently([partial(scored, arm) for arm in arms], df.sparkSession, parallel)
+        metrics = ranking_metrics(reduce(DataFrame.unionByName, parts), label, "score", ["arm", "seed", "features"])
+        return materialise(metrics.select("arm", "seed", "features", "pr_auc", "roc_auc"), "arms")
+    finally:
+        matrix.unpersist()
 
 
 def with_noise(df: DataFrame, width: int, seed: int) -> tuple[DataFrame, list[str]]:
@@ -234,19 +274,24 @@ def probe_metric(train: DataFrame, held: DataFrame, config: ProbeConfig) -> Data
 
 def noise_floor(train: DataFrame, held: DataFrame, config: ProbeConfig, seeds: Sequence[int], width: int) -> DataFrame:
     """Metric change when columns of noise are added, per seed."""
-    base = probe_metric(train, held, config).select(F.lit(None).cast("int").alias("seed"), "pr_auc")
-    parts = base
-    for seed in seeds:
-        noisy_train, names = with_noise(train, width, seed)
-        noisy_held, _ = with_noise(held, width, seed)
-        wider = ProbeConfig(
-            [*config.numeric, *names], config.deltas, config.categorical, config.min_rows, config.max_iter,
-            config.balanced, config.label,
-        )
-        part = probe_metric(noisy_train, noisy_held, wider).select(F.lit(seed).alias("seed"), "pr_auc")
-        parts = parts.unionByName(part)
-    table = measured(parts)
-    reference = table.where("seed is null").select("pr_auc").scalar()
+    spark = train.sparkSession
+    both = [train.persist(), held.persist()]
+
+    def measured_at(seed: int | None) -> DataFrame:
+        if seed is None:
+            return materialise(probe_metric(*both, config).select(F.lit(None).cast("int").alias("seed"), "pr_auc"), "noise")
+        noisy = [with_noise(df, width, seed) for df in both]
+        wider = replace(config, numeric=[*config.numeric, *noisy[0][1]])
+        found = probe_metric(noisy[0][0], noisy[1][0], wider)
+        return materialise(found.select(F.lit(seed).alias("seed"), "pr_auc"), "noise")
+
+    try:
+        parts = concurrently([partial(measured_at, s) for s in (None, *seeds)], spark)
+    finally:
+        for df in both:
+            df.unpersist()
+    table = reduce(DataFrame.unionByName, parts)
+    reference = parts[0].select("pr_auc").scalar()
     return table.where("seed is not null").select(
         "seed", F.lit(width).alias("width"), "pr_auc", (F.col("pr_auc") - reference).alias("delta")
     )
@@ -268,3 +313,46 @@ def neutralised_scores(
 ) -> tuple[DataFrame, DataFrame]:
     """The same rows scored with their history and with first-sighting defaults."""
     return scorer(df), scorer(neutralise(df, key))
+
+
+def compare_arms(
+    arms: Mapping[str, DataFrame], reference: str, costs: Costs, capacity: float, method: str = "platt", folds: int = 4,
+    score: str = "score", y: str = "is_fraud", amount: str = "amount", resamples: int = 2000, interval: float = 0.95,
+    seed: int = 0, day_bound: int | None = None,
+) -> DataFrame:
+    """Scorings of the same rows side by side: `(arm, rows, pr_auc, usd_per_1000, reviews_per_day,
+    block_rate, delta_pr_auc, delta_usd, low, high)`.
+
+    The PR-AUC is that of the raw scores; the cost comes from probabilities calibrated out of fold.
+    Deltas are against the `reference` arm, with the interval of the paired day bootstrap of their
+    costs. Arms that do not cover the same ids end the job. Each arm is a table of id, day, label,
+    amount and score.
+    """
+    decided, summaries = {}, []
+    for name, rows in arms.items():
+        costed, summary = cost_arm(rows, costs, capacity, method, folds, score, y, amount, day_bound)
+        decided[name] = materialise(costed.select("id", "day", "cost"), "arm")
+        ranked = ranking_metrics(rows, y, score).select("pr_auc")
+        told = summary.select("rows", "usd_per_1000", "reviews_per_day", "block_rate").withColumn("pr_auc", ranked.scalar())
+        summaries.append(told.select(F.lit(name).alias("arm"), "*"))
+    table = materialise(reduce(DataFrame.unionByName, summaries), "summaries")
+    base = table.where(F.col("arm") == reference)
+    spans = []
+    for name in arms:
+        if name == reference:
+            continue
+        pair = decided[name].withColumnRenamed("cost", "a").join(
+            decided[reference].select("id", F.col("day").alias("_day"), F.col("cost").alias("r")), "id", "full_outer"
+        )
+        # an id of one arm only leaves a null, which the bootstrap refuses
+        pair = pair.withColumn("day", F.coalesce("day", "_day"))
+        span = paired_day_bootstrap(pair, "a", "r", resamples, interval, seed)
+        spans.append(span.select(F.lit(name).alias("arm"), "low", "high"))
+    joined = table.join(reduce(DataFrame.unionByName, spans), "arm", "left") if spans else table.withColumns(
+        {c: F.lit(None).cast("double") for c in ("low", "high")}
+    )
+    return joined.select(
+        "arm", "rows", "pr_auc", "usd_per_1000", "reviews_per_day", "block_rate",
+        (F.col("pr_auc") - base.select("pr_auc").scalar()).alias("delta_pr_auc"),
+        (F.col("usd_per_1000") - base.select("usd_per_1000").scalar()).alias("delta_usd"), "low", "high",
+    )

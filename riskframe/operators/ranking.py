@@ -322,10 +322,14 @@ def decompose(train: DataFrame, validation: DataFrame, stratum: str, label: str
     )
 
 
-def cells(df: DataFrame, stratum: str, label: str = "is_fraud", score: str = "score") -> DataFrame:
+def cells(
+    df: DataFrame, stratum: str, label: str = "is_fraud", score: str = "score", capacities: Sequence[float] = (),
+    day: str = "day", tiebreak: str = "id",
+) -> DataFrame:
     """Metrics of every split and the pooled validation, for all rows and for each stratum.
 
-    A row is copied to each cell it belongs to (at most four), then all cells are one job.
+    A row is copied to each cell it belongs to (at most four), then all cells are one job. With
+    `capacities`, recall is taken at each within the cell: at the top of the cell's own daily rows.
     """
     sides = F.array_compact(
         F.array(F.col("split"), F.when(F.col("split").isin("val_fit", "val_cal"), F.lit("validation")))
@@ -336,6 +340,8 @@ def cells(df: DataFrame, stratum: str, label: str = "is_fraud", score: str = "sc
         .withColumn("side", F.explode(sides))
         .withColumn("stratum", F.explode(F.array(F.lit("all"), named)))
     )
+    if capacities:
+        return evaluate(spread, capacities, ["side", "stratum"], label, score, day, tiebreak)
     return ranking_metrics(spread, label, score, ["side", "stratum"])
 
 

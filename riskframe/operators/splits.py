@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from riskframe.config import SECTIONS, SplitBounds
 from riskframe.functions import scalar as S
 from riskframe.plans.gates import unless
 from riskframe.plans.sizing import bounded, literal_table
+from riskframe.session import materialise
 
 
 def add_time_columns(df: DataFrame, seconds: str = "dt") -> DataFrame:
@@ -106,16 +107,20 @@ def check_summary(summary: DataFrame) -> DataFrame:
 
 
 def attach_splits(df: DataFrame, splits: DataFrame, key: str = "id") -> DataFrame:
-    """Inner one-to-one join on the key; any change of row count is refused."""
-    joined = df.join(splits, key)
-    counts = (
-        df.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("left"))
-        .union(joined.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("joined")))
-    )
-    n = {r["side"]: r["n"] for r in counts.collect()}
-    if n["left"] != n["joined"]:
-        raise ValueError(f"attaching splits changed {n['left']} rows into {n['joined']}")
-    return joined
+    """Inner one-to-one join on the key; any change of row count is refused.
+
+    The join runs once: its rows are written to the shared folder and counted on the way, those of
+    `df` as they go in and the joined ones as they come out.
+    """
+    left, out = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("n")
+    written = materialise(df.observe(left, rows).join(splits, key).observe(out, rows), "attached")
+    # the planner may skip a side whose other side is empty
+    before, after = left.get.get("n"), out.get.get("n", 0)
+    before = df.count() if before is None or not after else before
+    if before != after:
+        raise ValueError(f"attaching splits changed {before} rows into {after}")
+    return written
 
 
 def partition_counts(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import csv
 import json
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,18 +100,19 @@ def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, p
 def write_matrices(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """One directory per split; rows outside every split are dropped and accounted for.
 
-    The rebalance lets adaptive execution cut a large split into even files.
+    The rebalance lets adaptive execution cut a large split into even files. The source is read
+    once: rows are counted as they pass on their way to the files.
 
     Returns `(split, rows)` with the dropped rows under a null split.
     """
-    (
-        df.where(F.col("split").isNotNull())
-        .hint("rebalance", F.col("split"))
-        .write.mode(mode)
-        .partitionBy("split")
-        .parquet(path)
+    known = F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))
+    seen = Observation()
+    counted = df.observe(
+        seen, F.count_if(~known).alias("dropped"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
     )
-    return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    counted.where(known).hint("rebalance", F.col("split")).write.mode(mode).partitionBy("split").parquet(path)
+    rows = [(None if s == "dropped" else s, n) for s, n in seen.get.items() if n]
+    return df.sparkSession.createDataFrame(rows, "split string, rows long")
 
 
 def load_matrices(spark: SparkSession, path: str, columns: Sequence[str] | None = None, splits: Sequence[str] = SPLITS) -> DataFrame:
@@ -125,10 +126,18 @@ def load_matrices(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 def write_predictions(df: DataFrame, path: str, splits: Sequence[str], mode: str = "error") -> None:
     """Score vector of the requested splits; an empty result is refused."""
+    seen = Observation()
     kept = df.where(F.col("split").isin(*splits)).select("id", "split", "day", "is_fraud", "score")
-    if kept.isEmpty():
+    kept.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    if not seen.get.get("n"):
+        _remove(df.sparkSession, path)
         raise ValueError(f"no rows in {list(splits)}: nothing to write")
-    kept.write.mode(mode).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this process has just written, wherever it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_report(metrics: DataFrame, path: str, as_csv: bool = False, mode: str = "error") -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from riskframe.config import Costs
 from riskframe.operators.calibration import Isotonic, Platt
@@ -41,13 +43,48 @@ def watermarked(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
     return sdf.withWatermark(ts, delay)
 
 
-def late_rows(query) -> int:
-    """Rows the stateful steps of a finished query dropped as late."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0))
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Rows that stateful steps dropped as late, added up batch by batch.
+
+    A query keeps its last progress reports only; a listener hears of every batch. Usable as a
+    context: `with LateRows(spark) as late: ...; late.total(query)`.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._dropped, self._ended = spark, {}, {}
+        self._lock = threading.Condition()
+
+    def __enter__(self) -> LateRows:
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        with self._lock:
+            run = str(event.progress.runId)
+            self._dropped[run] = self._dropped.get(run, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        with self._lock:
+            self._ended[str(event.runId)] = True
+            self._lock.notify_all()
+
+    def total(self, query, wait: float = 60.0) -> int:
+        """Late rows of a query that has ended, once its last event has arrived."""
+        run = str(query.runId)
+        with self._lock:
+            if not self._lock.wait_for(lambda: run in self._ended, wait):
+                raise TimeoutError(f"the end of query {run} was not heard of in {wait:g} s")
+            return self._dropped.get(run, 0)
 
 
 def dedup(sdf: DataFrame, id_: str, ts: str, delay: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import bootstrap, calibration
 from riskframe.operators.splits import assign_folds
+from riskframe.plans import monotone
 from tests.test_decisions import ap_auc
 
 
@@ -161,3 +162,66 @@ def test_metric_bootstrap_equals_resampled_rows(spark, bucket_rows):
         np.testing.assert_allclose(
             got.loc[w, ["pr_auc_low", "roc_auc_low", "pr_auc_high", "roc_auc_high"]].to_numpy(dtype=float), want.ravel(), rtol=1e-9
         )
+
+
+def pooled(x, p, w):
+    """Pool adjacent violators, one by one."""
+    blocks = []
+    for a, s, t in sorted(zip(x, p, w)):
+        blocks.append([a, a, s, t])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+            b = blocks.pop()
+            blocks[-1] = [blocks[-1][0], b[1], blocks[-1][2] + b[2], blocks[-1][3] + b[3]]
+    return [tuple(map(float, b)) for b in blocks]
+
+
+@pytest.mark.parametrize("shape", ["noise", "rising", "falling", "late", "one"])
+@pytest.mark.parametrize("rows", [100_000, 40])
+def test_monotone_blocks_equal_pooling_one_by_one(spark, monkeypatch, shape, rows):
+    monkeypatch.setattr(monotone, "ROWS_PER_RANGE", rows)
+    rng = np.random.default_rng(9)
+    n = 1 if shape == "one" else 700
+    x = rng.permutation(n) / 7.0
+    w = rng.integers(1, 5, n).astype(float)
+    rate = {"noise": 0.3 + 0.4 * x / x.max() if n > 1 else x, "rising": x / 101, "falling": 1 - x / 101, "one": x + 0.5,
+            "late": np.where(x > np.quantile(x, 0.9), 0.0, x / 101)}[shape]
+    p = np.minimum(w, np.round(rate * w * (3 if shape == "noise" else 1) * rng.random(n), 3)) if shape == "noise" else rate * w
+    steps = [(g, float(a), float(b), float(c)) for g in (1, 2) for a, b, c in zip(x, p, w)]
+    got = monotone.monotone_blocks(spark.createDataFrame(steps, "fold int, x double, p double, w double"), ["fold"]).collect()
+    for g in (1, 2):
+        own = sorted((r["lo"], r["hi"], r["p"], r["w"]) for r in got if r["fold"] == g)
+        np.testing.assert_allclose(own, pooled(x, p, w), rtol=1e-9)
+
+
+@pytest.mark.parametrize("rows", [100_000, 30])
+def test_blocks_are_looked_up_like_interpolation(spark, monkeypatch, rows):
+    monkeypatch.setattr(monotone, "ROWS_PER_RANGE", rows)
+    blocks = [(1, float(10 * i), float(10 * i + i % 3), i / 50, 1.0) for i in range(60)] + [(2, 5.0, 6.0, 0.25, 1.0)]
+    table = spark.createDataFrame(blocks, "fold int, lo double, hi double, p double, w double")
+    scores = [(i, 1 + i % 3, None if i % 50 == 3 else float("nan") if i % 50 == 4 else (i * 37 % 1500) - 400.5 if i % 7 else float(i)) for i in range(600)]
+    df = spark.createDataFrame(scores, "id long, fold int, s double")
+    got = {r["id"]: r["out"] for r in monotone.apply_blocks(df, "s", table, "out", ["fold"]).collect()}
+    assert len(got) == 600
+    knots = sorted({(x, b[3]) for b in blocks if b[0] == 1 for x in b[1:3]})
+    for i, fold, s in scores:
+        if s is None:
+            assert got[i] is None
+        elif s != s:
+            assert got[i] != got[i]
+        elif fold == 1:
+            assert got[i] == pytest.approx(np.interp(s, [k for k, _ in knots], [v for _, v in knots]), abs=1e-12)
+        elif fold == 2:
+            assert got[i] == 0.25
+        else:
+            assert got[i] is None or got[i] != got[i]
+
+
+def test_fits_of_many_scores_leave_the_plan_small(spark, monkeypatch):
+    monkeypatch.setattr(monotone, "ROWS_PER_RANGE", 20_000)
+    rows = spark.range(60_000).selectExpr("id", "id / 60000 AS score", "CAST(xxhash64(id) % 1000 < id / 60 AS INT) AS is_fraud")
+    fit = calibration.fit_isotonic(rows)
+    done = calibration.apply_isotonic(rows, "score", fit, "p")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+    curve = done.orderBy("score").select("p").toPandas()["p"].to_numpy()
+    assert len(curve) == 60_000 and (np.diff(curve) >= -1e-12).all() and curve[-1] - curve[0] > 0.5

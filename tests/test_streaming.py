@@ -80,9 +80,16 @@ def test_late_rows_are_dropped_and_counted(spark, events):
     rows = scoring.watermarked(scoring.event_time(stream(spark, path)), "event_time", "1 hour")
     daily = rows.groupBy(F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("n")).select("window.start", "n")
     out = scratch_path(spark, "late")
-    query = sources.start_files(daily, out, scratch_path(spark, "late-ckpt"))
-    query.awaitTermination()
-    assert scoring.late_rows(query) > 0
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    # the query itself remembers one batch only
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        with scoring.LateRows(spark) as late:
+            query = sources.start_files(daily, out, scratch_path(spark, "late-ckpt"))
+            query.awaitTermination()
+            assert late.total(query) == 3
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
     assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == len(events)
 
 
