@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Links of one partition while components are found.
+EDGES = 100_000
+
 # Fixed value: a word is a run of anything but space, tab, line feed to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,18 +93,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the lineage grows with the number of rounds. Self links are allowed; nulls are not.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
         if large:
             both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            least = edges.groupBy("a").agg(F.min("b").alias("m"))
+            least = edges.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
             joined = edges.join(least, "a")
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
                 least.select("a", F.col("m").alias("b"))
             )
-        return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        ends = out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return ends.coalesce(parts).distinct().coalesce(parts)
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -109,7 +113,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(edges)
     for _ in range(rounds if before[0] else 0):
-        edges = cut(star(star(edges, True), False))
+        # links never grow: as many partitions as they need, whatever the session's number is
+        parts = before[0] // EDGES + 1
+        edges = cut(star(star(edges.coalesce(parts), True, parts), False, parts))
         now = mark(edges)
         if now == before:
             break
