@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import cut, table
 from riskframe.llm.markup import ARTICLE, MAIN, OPEN, blocks
 from riskframe.llm.repetition import covered, suffix_array
+from riskframe.plans.sizing import bounded
 
 # Words of a run that counts as repeated: a power of two, so a rank of the suffix array names it.
 RUN = 8
@@ -24,6 +25,8 @@ OPEN_SHARE, OPEN_PAGES = 0.3, 3
 ARTICLE_SHARE, ARTICLE_PAGES = 0.9, 10
 # Bytes of HTML that one task indexes, and pages of a part of a large host at least.
 TASK_BYTES, PART_PAGES = 4_000_000, 8
+# Rows of named runs that go to all tasks at once (8 MB); more are dealt to the parts.
+SHARED_ROWS = 200_000
 
 
 def intervals(ids: np.ndarray, hosts: np.ndarray) -> np.ndarray:
@@ -169,9 +172,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
     parts = F.least(F.ceil(F.sum(size) / TASK_BYTES), F.ceil(F.count("*") / PART_PAGES)).cast("int")
     hosts = cut(rows.groupBy("host").agg(parts.alias("parts"), F.count("*").alias("pages"), F.sum(size).alias("size")))
-    total, divided_bytes = hosts.agg(F.sum("size"), F.sum(F.when(F.col("parts") > 1, F.col("size")))).first()
+    divided = F.col("parts") > 1
+    total, divided_bytes, n_large = hosts.agg(F.sum("size"), F.sum(F.when(divided, F.col("size"))), F.count_if(divided)).first()
     buckets = 1 << max(0, math.ceil((total or 0) / TASK_BYTES) - 1).bit_length()
-    large = hosts.where("parts > 1").drop("size")
+    large = bounded(hosts.where(divided).drop("size"), n_large)
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -227,20 +231,45 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def to_parts(found: DataFrame) -> DataFrame:
         """Rows of a site for each of its parts."""
-        return found.join(of_site, "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+        parted = found.join(of_site.select("site", "parts"), "site")
+        return parted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
 
-    named = cut(dealt.groupBy("site", "part").applyInPandas(frequent, "site long, hash long").distinct())
+    def by_part(work):
+        """A partition of `dealt` holds whole parts: each is worked on where it lies."""
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [batch for batch in batches if len(batch)]
+            if held:
+                for _, one in pd.concat(held, ignore_index=True).groupby(["site", "part"], sort=False):
+                    yield work(one.reset_index(drop=True))
+
+        return of
+
+    def beside(found: DataFrame, work, schema: str) -> DataFrame:
+        """`work(part, rows of its site)` for every part: a table of checked size goes to the parts, a
+        larger one is dealt to them."""
+        found = cut(found)
+        if found.count() > SHARED_ROWS:
+            dealt_out = to_parts(found).select(*found.columns, "part").groupBy("site", "part")
+            return dealt.groupBy("site", "part").cogroup(dealt_out).applyInPandas(work, schema)
+        rows_of = dict(list(found.toPandas().groupby("site")))
+        shared = pages.sparkSession.sparkContext.broadcast((rows_of, pd.DataFrame({c: np.empty(0, dtype=np.int64) for c in found.columns})))
+
+        def alone(one: pd.DataFrame) -> pd.DataFrame:
+            by_site, none = shared.value
+            return work(one, by_site.get(one["site"].iloc[0], none))
+
+        return dealt.mapInPandas(by_part(alone), schema)
+
+    named = dealt.mapInPandas(by_part(frequent), "site long, hash long").distinct()
     sums = (
-        dealt.groupBy("site", "part")
-        .cogroup(to_parts(named).select("site", "hash", "part").groupBy("site", "part"))
-        .applyInPandas(recounted, "site long, hash long, n long, n_out long")
+        beside(named, recounted, "site long, hash long, n long, n_out long")
         .groupBy("site", "hash")
         .agg(F.sum("n").alias("n"), F.sum("n_out").alias("n_out"))
-        .join(of_site, "site")
+        .join(of_site.drop("parts"), "site")
     )
-    known = cut(sums.where((F.col("n") >= OPEN_PAGES) & (F.col("n") >= OPEN_SHARE * F.col("pages"))).drop("parts", "pages"))
-    known = to_parts(known).select("site", "hash", "n", "n_out", "pages", "part")
-    parts = dealt.groupBy("site", "part").cogroup(known.groupBy("site", "part")).applyInPandas(indexed_part, result)
+    known = sums.where((F.col("n") >= OPEN_PAGES) & (F.col("n") >= OPEN_SHARE * F.col("pages")))
+    parts = beside(known, indexed_part, result)
     return out.unionByName(parts)
 
 

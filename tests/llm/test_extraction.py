@@ -185,9 +185,21 @@ def test_repeated_runs_equal_brute_force():
                 assert list(mark) == expected
 
 
-def test_parts_are_laid_out_once(spark, monkeypatch):
+@pytest.mark.parametrize("shared", [200_000, 0])
+def test_named_runs_reach_all_parts_either_way(spark, monkeypatch, shared):
+    monkeypatch.setattr(extraction, "TASK_BYTES", 1500)
+    monkeypatch.setattr(extraction, "SHARED_ROWS", shared)
+    rows = [
+        (i, f"http://{'hot' if i < 60 else 'calm'}.example/{i}", f"<div>{NOTICE}</div><p>body of page {i} own{i}</p>", "", "", 1)
+        for i in range(70)
+    ]
+    assert {i: r["text"] for i, r in text_of(spark, rows).items()} == {i: f"body of page {i} own{i}" for i in range(70)}
+
+
+def test_parts_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(extraction, "TASK_BYTES", 1500)
     rows = [(i, f"http://hot.example/{i}", f"<div>{NOTICE}</div><p>body of page {i} own{i}</p>", "", "", 1) for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string, part int")
     plan = extraction.extract(pages)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"Exchange hashpartitioning\(site#\d+L, part#\d+L, \d+\)[^\n]*\n[^\n]*Scan ExistingRDD\[page_id", plan)
+    # the one exchange left is that of the undivided hosts
+    assert plan.count("Exchange hashpartitioning") == 1 and "MapInPandas" in plan
