@@ -143,7 +143,7 @@ def test_arms_overlap_and_release_their_matrix(spark):
 
 
 def test_arms_of_other_rows_are_not_compared(spark):
-    rows = [(i, 1 + i % 4, int(i % 5 == 0), 10.0, 0.1 + 0.2 * (i % 5 == 0) + i % 7 / 50) for i in range(80)]
+    rows = [(i, 1 + i % 4, int(i % 5 == 0), 10.0, 0.1 + 0.2 * (i % 5 == 0) + i % 7 / 50 + (i % 11 == 0) / 4) for i in range(80)]
     one = spark.createDataFrame(rows, "id long, day int, is_fraud int, amount double, score double")
     from riskframe.config import Costs
 
