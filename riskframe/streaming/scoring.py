@@ -46,8 +46,9 @@ def watermarked(sdf: DataFrame, ts: str, delay: str) -> DataFrame:
 class LateRows(StreamingQueryListener):
     """Rows that stateful steps dropped as late, added up batch by batch.
 
-    A query keeps its last progress reports only; a listener hears of every batch. Usable as a
-    context: `with LateRows(spark) as late: ...; late.total(query)`.
+    A query keeps its last progress reports only; a listener hears of every batch. A deduplication
+    counts rows, an aggregate what is left of them after each task has combined its own. Usable as
+    a context: `with LateRows(spark) as late: ...; late.total(query)`.
     """
 
     def __init__(self, spark: SparkSession) -> None:

@@ -87,6 +87,11 @@ def test_late_rows_are_dropped_and_counted(spark, events):
         with scoring.LateRows(spark) as late:
             query = sources.start_files(daily, out, scratch_path(spark, "late-ckpt"))
             query.awaitTermination()
+            # an aggregate combines rows of a window before it drops them
+            assert late.total(query) == 1
+            single = scoring.dedup(scoring.event_time(stream(spark, path)), "id", "event_time", "1 hour").select("id")
+            query = sources.start_files(single, scratch_path(spark, "late-id"), scratch_path(spark, "late-id-ckpt"))
+            query.awaitTermination()
             assert late.total(query) == 3
     finally:
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
