@@ -28,12 +28,18 @@ def windowed_rates(sdf: DataFrame, width: str, slide: str | None = None, ts: str
 
 
 def session_counts(sdf: DataFrame, gap: str, key: str = "card", ts: str = "event_time") -> DataFrame:
-    """Rows of each burst of activity of an entity."""
+    """Rows of each burst of activity of an entity: a row `gap` or more after the last one starts a
+    new session, which ends `gap` after its own last row."""
+    # session windows that touch are merged: the gap is short of its end by the smallest step of time
     return (
-        sdf.groupBy(F.session_window(ts, gap).alias("w"), key)
+        sdf.groupBy(F.session_window(ts, f"{gap} -1 microseconds").alias("w"), key)
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"))
-        .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "rows", "amount")
-    )
+        .select(
+            F.col("w.start").alias("session_start"),
+            (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("session_end"),
+            key, "rows", "amount",
+        )
+    )
 
 
 def windowed_bins(sdf: DataFrame, bins: ReferenceBins, width: str, ts: str = "event_time") -> DataFrame:

@@ -136,3 +136,11 @@ def test_labels_mature_or_come_out_empty(spark, events):
     assert len(got) == len(events)
     # labels later than the window never attach
     assert set(got.id[got.label.notna()]) == set(events.id[events.id % 4 == 0])
+
+
+def test_a_gap_of_the_full_length_starts_a_new_session(spark):
+    rows = pd.DataFrame({"dt": [0, 21_599, 43_199, 50_000, CLOSING], "card": [1, 1, 1, 1, -1], "amount": [1.0, 2.0, 4.0, 8.0, 0.0]})
+    sdf = scoring.event_time(stream(spark, land(spark, [rows])))
+    out = sources.drain(rates.session_counts(scoring.watermarked(sdf, "event_time", "1 hour"), "6 hours"), "full-gap")
+    got = out.select(F.unix_seconds("session_start"), F.unix_seconds("session_end"), "rows", "amount").collect()
+    assert sorted(map(tuple, got)) == [(0, 43_199, 2, 3.0), (43_199, 71_600, 2, 12.0)]
