@@ -265,9 +265,13 @@ def class_weight(spark, d):
 
 
 def _learnable(spark, d):
-    """A label that the features can predict, so that fits are not noise."""
+    """A label that the features can predict, so that fits are not noise.
+
+    Written once: a fit reads its rows a dozen times, and times and splits cost more to derive than to read.
+    """
     y = ((F.col("amount") > 60) & (F.col("hour") < 12)).cast("int")
-    return split_txn(spark, d).withColumns({"is_fraud": y, "d1": F.when(F.col("addr") > 30, F.col("addr"))})
+    rows = split_txn(spark, d).withColumns({"is_fraud": y, "d1": F.when(F.col("addr") > 30, F.col("addr"))})
+    return materialise(rows.drop("addr", "score"), "learnable")
 
 
 PROBE = learning.ProbeConfig(["amount", "hour"], ["d1"], ["product"])
@@ -277,7 +281,8 @@ PROBE = learning.ProbeConfig(["amount", "hour"], ["d1"], ["product"])
 def linear_probe(spark, d):
     rows = _learnable(spark, d).where("split is not null")
     probe = learning.fit_probe(rows.where("split = 'train'"), PROBE)
-    return ranking.ranking_metrics(learning.score_probe(rows, probe, ["split", "is_fraud"]), groups=["split"])
+    scores = materialise(learning.score_probe(rows, probe, ["split", "is_fraud"]), "scores")
+    return ranking.ranking_metrics(scores, groups=["split"])
 
 
 @query("probe_contributions", "id:i margin:f total:f")

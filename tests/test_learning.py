@@ -3,7 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.catalog import QUERIES
 from riskframe.operators import learning, ranking
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +153,23 @@ def test_arms_of_other_rows_are_not_compared(spark):
         learning.compare_arms({"a": one, "b": one.where("id <> 3")}, "a", Costs(), 0.1, resamples=20, folds=4).collect()
     got = {r["arm"]: r for r in learning.compare_arms({"a": one, "b": one}, "a", Costs(), 0.1, resamples=20, folds=4).collect()}
     assert got["b"]["delta_usd"] == 0 and got["b"]["low"] == got["b"]["high"] == 0 and got["a"]["low"] is None
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["linear_probe", "noise_floor"])
+def test_fits_read_rows_that_are_derived_once(spark, monkeypatch, name):
+    """A fit reads its rows many times: they come from files, not from the raw events."""
+    read = []
+
+    def fit(train, config):
+        read.extend(train.inputFiles())
+        raise Stop
+
+    monkeypatch.setattr(learning, "fit_probe", fit)
+    monkeypatch.setattr(learning, "noise_floor", lambda train, held, *rest: fit(train, None))
+    with pytest.raises(Stop):
+        QUERIES[name](spark, SMALL).collect()
+    assert read and not any("events.parquet" in f for f in read)
