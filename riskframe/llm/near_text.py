@@ -1,8 +1,8 @@
-"""Near-duplicate documents: prefix filtering of shingle sets, exact Jaccard check.
+"""Near-duplicate documents: prints by Golay keys, prefix filtering of the rest, exact Jaccard check.
 
-The pipeline's form of operator 5. A 64-bit print within two bits finds texts that are almost
-equal; here texts link from a Jaccard similarity of 0.8 of their five-word shingles on, and every
-such pair of texts ends in one component.
+The pipeline's form of operator 5. Its 64-bit prints within two bits find texts that are almost
+equal; texts link from a Jaccard similarity of 0.8 of their five-word shingles on, and prefix
+filtering finds the pairs whose prints are further apart: every such pair ends in one component.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm import simhash
 from riskframe.llm.common import attach, components, cut, runs
-from riskframe.llm.simhash import shingle_hashes
+from riskframe.llm.simhash import majority, shingle_hashes
 
 # Smallest hashes of a text by which it first meets others (min-wise sampling).
 STARS = 8
 # Rows of one side of a meeting, about, and nodes whose shared tokens are counted at once.
 BLOCK, TILE = 40_000, 512
+# Tokens times nodes that are told at once, about, and texts whose shingles are held at once: both
+# bound a task's memory.
+CELLS, HELD = 2_000_000, 500
 # Texts, about, that show which shingles are common, how many of them must hold one, and the most
 # shingles told apart. They set the order of shingles only, not which pairs are found.
 SAMPLE_TEXTS, COMMON, COMMON_SHINGLES = 4_000, 3, 20_000
@@ -43,12 +47,16 @@ def prefix_length(size: np.ndarray, similarity: float) -> np.ndarray:
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
-def prefix(own: np.ndarray, common: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set: rare ones by hash, then those in `common` (ascending) by `times`."""
-    rank = np.zeros(len(own), dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        rank = np.where(common[at] == own, times[at], 0)
+def ranks(own: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """`times` of the shingles that are in `common` (ascending), 0 of the others."""
+    if not len(common):
+        return np.zeros(len(own), dtype=np.int64)
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    return np.where(common[at] == own, times[at], 0)
+
+
+def prefix(own: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: rare ones by hash, then common ones by `rank`."""
     return own[np.lexsort([own, rank])][: prefix_length(np.array(len(own)), similarity)]
 
 
@@ -79,13 +87,14 @@ def shared_pairs(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame
         return out
 
     both = side.min() != side.max()
+    tile = max(1, min(TILE, CELLS // (int(token.max()) + 1)))
     left = np.flatnonzero(side == side.min()) if both else np.arange(len(nodes))
     right = np.flatnonzero(side == side.max()) if both else left
-    for x in range(0, len(left), TILE):
-        some = left[x : x + TILE]
+    for x in range(0, len(left), tile):
+        some = left[x : x + tile]
         mine = held(some)
-        for y in range(0 if both else x, len(right), TILE):
-            other = right[y : y + TILE]
+        for y in range(0 if both else x, len(right), tile):
+            other = right[y : y + tile]
             found = mine @ (mine if not both and x == y else held(other)).T
             i, j = np.nonzero(found)
             one, two = some[i], other[j]
@@ -128,6 +137,14 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
     return hashes[order], found[order, 1]
 
 
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) for `prints` (node, fp): each text with the first of its class in operator 5, whose
+    prints are linked by Golay keys from two differing bits down."""
+    found = simhash.classes(prints.select(F.col("node").alias("doc_id"), "fp"))
+    met = attach(prints, cut(found), "fp", "n")
+    return met.select(F.col("node").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+
+
 def near_texts(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
@@ -136,7 +153,8 @@ def near_texts(
     `digest` tells the row's text and `first` the text that the component keeps with that id.
 
     Distinct texts only are compared; a null text equals the empty one. First every text is
-    compared with one text for each of its smallest hashes, which joins large groups by few pairs.
+    compared with the first one of its class of prints (operator 5, here of `shingle` words), and
+    with one text for each of its smallest hashes, which joins large groups by few pairs.
     Then texts of different components that share enough tokens of their prefixes are compared:
     no pair at `similarity` is missed. Tokens whose texts have the same smallest root are counted
     together, so a pair comes out about once and not for each token it shares; where many texts meet,
@@ -153,18 +171,22 @@ def near_texts(
     )
     common, times = common_shingles(texts, shingle)
 
-    @F.pandas_udf("size long, rare double, low array<long>, prefix array<long>")
+    @F.pandas_udf("size long, rare double, fp long, low array<long>, prefix array<long>")
     def listed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = [shingle_set(t, shingle) for t in batch]
-            yield pd.DataFrame(
-                {
-                    "size": [len(x) for x in own],
-                    "rare": [1 - np.isin(x, common).mean() for x in own],
-                    "low": [x[:STARS].view(np.int64) for x in own],
-                    "prefix": [prefix(x, common, times, similarity).view(np.int64) for x in own],
-                }
-            )
+            for start in range(0, len(batch), HELD):
+                hashes = [shingle_hashes(t, shingle) for t in batch.iloc[start : start + HELD]]
+                own = [np.unique(x) if len(x) else np.zeros(1, dtype=np.uint64) for x in hashes]
+                rank = [ranks(x, common, times) for x in own]
+                yield pd.DataFrame(
+                    {
+                        "size": [len(x) for x in own],
+                        "rare": [(x == 0).mean() for x in rank],
+                        "fp": majority(hashes).view(np.int64),
+                        "low": [x[:STARS].view(np.int64) for x in own],
+                        "prefix": [prefix(x, r, similarity).view(np.int64) for x, r in zip(own, rank, strict=True)],
+                    }
+                )
 
     nodes = cut(
         texts.select("doc_id", "key", "node", listed("text").alias("own"))
@@ -195,8 +217,10 @@ def near_texts(
     midst = F.min(F.struct("rare", "node"))["node"].alias("b")
     centers = cut(low.groupBy("token").agg(midst, F.count("*").alias("n")).where("n > 1"))
     stars = attach(low.drop("rare"), centers, "token", "n").where("node <> b")
-    links = checked(cut(stars.select(F.col("node").alias("a"), "b").distinct()))
+    alike = print_pairs(nodes.select("node", "own.fp"))
+    links = checked(cut(stars.select(F.col("node").alias("a"), "b").unionByName(alike).distinct()))
     joined = components(links)
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             times = batch["prefix"].map(len).to_numpy()

@@ -204,6 +204,29 @@ def test_shared_tokens_are_counted_once_for_each_pair(spark, monkeypatch, block,
     near_components(spark, texts)
 
 
+def test_near_texts_go_through_the_prints(spark, monkeypatch):
+    """Pairs that only the prints within two bits give, without minima and with rare prefixes left out."""
+    rng = random.Random(17)
+    base = [words_of(rng, 1500) for _ in range(8)]
+    texts = [" ".join(w) for words in base for w in (words, [*words[:700], "other", *words[701:]])]
+    prints = simhash.majority([near_text.shingle_hashes(t, 5) for t in texts])
+    near = {i for i in range(0, 16, 2) if int(prints[i] ^ prints[i + 1]).bit_count() <= 2}
+    assert near
+    pairs = near_text.print_pairs(spark.createDataFrame([(i, int(x)) for i, x in enumerate(prints.view(np.int64))], "node long, fp long"))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i + 1, i) for i in near}
+    monkeypatch.setattr(near_text, "STARS", 0)
+    monkeypatch.setattr(near_text, "shared_pairs", lambda rows, similarity: iter(()))
+    rows = [(i, t, None, None, 0, "", 0, "", "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_texts(frame(spark, rows)).collect()}
+    assert {i for i in range(0, 16, 2) if got[i + 1] == i} == near and sum(got[i] == i for i in got) == 16 - len(near)
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 30])
+def test_small_tiles_give_the_same_pairs(monkeypatch, cells):
+    monkeypatch.setattr(near_text, "CELLS", cells)
+    test_meetings_equal_all_pairs(monkeypatch, 512)
+
+
 @pytest.mark.parametrize("tile", [512, 4])
 def test_meetings_equal_all_pairs(monkeypatch, tile):
     monkeypatch.setattr(near_text, "TILE", tile)
