@@ -397,17 +397,19 @@ def horizon_scores(spark, d):
     """A model fitted on train, saved, read back, proved on three test days, and used on those after them."""
     rows = _learnable(spark, d)
     train = rows.where("split = 'train'")
-    fitted = Fitted(
+    tables = (
         features.fit_frequencies(train, ["product"]), features.fit_amount_stats(train, ["product"], 10.0),
-        features.fit_categories(train, ["product"], 50), ["product"], ["product"], ["product"],
+        features.fit_categories(train, ["product"], 50),
     )
+    fitted = Fitted(*[materialise(t, "fitted") for t in tables], ["product"], ["product"], ["product"])
     columns = ["id", "amount", "hour", "amt_whole_dollar", "freq_product", "amt_z_product", "product"]
     raw = ["id", "dt", "amount", "product"]
     numeric = ["amount", "hour", "amt_whole_dollar", "freq_product", "amt_z_product"]
     config = learning.ProbeConfig(numeric, categorical=["product"])
     matrix = transform(train.select(*raw), fitted).join(train.select("id", "is_fraud"), "id")
+    matrix = materialise(matrix.select(*columns, "is_fraud"), "matrix")
     probe = learning.fit_probe(matrix, config)
-    scored_train = learning.score_probe(matrix, probe, ["id", "is_fraud"])
+    scored_train = materialise(learning.score_probe(matrix, probe, ["id", "is_fraud"]), "scores")
     served = Served(fitted, probe, calibration.Isotonic.fit(scored_train))
     path = scratch_path(spark, "served")
     save_served(served, path)
