@@ -329,8 +329,10 @@ def family_probe(spark, d):
     "arm:s rows:i pr_auc:f usd_per_1000:f reviews_per_day:f block_rate:f delta_pr_auc:f delta_usd:f low:f high:f",
 )
 def neutralised_arm(spark, d):
-    rows = features.velocity(_learnable(spark, d))
     columns = ["amount", "hour", *features.velocity_columns()]
+    # history is swept over every row, once; the fit and the arms read what they need of it
+    swept = features.velocity(_learnable(spark, d)).where("split in ('train', 'val_cal')")
+    rows = materialise(swept.select("id", "day", "split", "is_fraud", *columns), "history")
     probe = learning.fit_probe(rows.where("split = 'train'"), learning.ProbeConfig(columns))
 
     def scorer(df):

@@ -159,7 +159,7 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["linear_probe", "noise_floor", "horizon_scores"])
+@pytest.mark.parametrize("name", ["linear_probe", "neutralised_arm", "noise_floor", "horizon_scores"])
 def test_fits_read_rows_that_are_derived_once(spark, monkeypatch, name):
     """A fit reads its rows many times: they come from files, not from the raw events."""
     read = []
