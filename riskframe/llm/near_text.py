@@ -203,7 +203,9 @@ def near_texts(
         wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         # equal texts have several rows: the one of smallest doc_id stands for them
         first = nodes.select("key", "node", "doc_id").join(wanted, "node")
-        used = cut(texts.join(first, ["key", "node", "doc_id"]).groupBy("node").agg(F.min("text").alias("text")))
+        keys = ["key", "node", "doc_id"]
+        # grouped as they are joined: texts are not shuffled again
+        used = cut(texts.join(first, keys).groupBy(*keys).agg(F.min("text").alias("text")).select("node", "text"))
         return cut(
             found.join(used.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
             .join(used.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
