@@ -36,6 +36,8 @@ class ProbeConfig:
     max_iter: int = 100
     balanced: bool = False
     label: str = "is_fraud"
+    # numbers that are never missing: no median is looked for
+    complete: Sequence[str] = field(default=())
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ def with_class_weight(df: DataFrame, ratio: float, label: str = "is_fraud", out:
 
 def _prepared(df: DataFrame, config: ProbeConfig, vocabulary: DataFrame | None) -> DataFrame:
     """Doubles for numbers, a missing indicator per delta, vocabulary codes for categories."""
-    numbers = {c: F.col(c).cast("double") for c in [*config.numeric, *config.deltas]}
+    numbers = {c: F.col(c).cast("double") for c in [*config.numeric, *config.deltas, *config.complete]}
     flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in config.deltas}
     out = df.withColumns({**flags, **numbers}) if numbers else df
     if config.categorical:
@@ -87,9 +89,10 @@ def fit_probe(train: DataFrame, config: ProbeConfig) -> Probe:
     stages: list = []
     parts: list[str] = []
     if numbers:
+        stages.append(Imputer(inputCols=numbers, outputCols=filled, strategy="median"))
+    if filled or config.complete:
         stages += [
-            Imputer(inputCols=numbers, outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=filled, outputCol="_numbers"),
+            VectorAssembler(inputCols=[*filled, *config.complete], outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]
         parts.append("_scaled")
@@ -273,27 +276,40 @@ def probe_metric(train: DataFrame, held: DataFrame, config: ProbeConfig) -> Data
 
 
 def noise_floor(train: DataFrame, held: DataFrame, config: ProbeConfig, seeds: Sequence[int], width: int) -> DataFrame:
-    """Metric change when columns of noise are added, per seed."""
-    spark = train.sparkSession
-    both = [train.persist(), held.persist()]
-
-    def measured_at(seed: int | None) -> DataFrame:
-        if seed is None:
-            return materialise(probe_metric(*both, config).select(F.lit(None).cast("int").alias("seed"), "pr_auc"), "noise")
-        noisy = [with_noise(df, width, seed) for df in both]
-        wider = replace(config, numeric=[*config.numeric, *noisy[0][1]])
-        found = probe_metric(noisy[0][0], noisy[1][0], wider)
-        return materialise(found.select(F.lit(seed).alias("seed"), "pr_auc"), "noise")
+    """Metric change when columns of noise are added, per seed.
 
+    Medians are taken once for all fits. Fits run side by side; their scores are written once, and
+    one job ranks those of all seeds.
+    """
+    both = [train, held]
+    if config.numeric:
+        known = [f"{c}_known" for c in config.numeric]
+        both = [df.withColumns({c: F.col(c).cast("double") for c in config.numeric}) for df in both]
+        medians = Imputer(inputCols=list(config.numeric), outputCols=known, strategy="median").fit(both[0])
+        both = [medians.transform(df) for df in both]
+        config = replace(config, numeric=(), complete=[*config.complete, *known])
+    both = [df.persist() for df in both]
+
+    def scored(at: int, seed: int | None) -> DataFrame:
+        rows, wider = both, config
+        if seed is not None:
+            noisy = [with_noise(df, width, seed) for df in both]
+            rows, wider = [df for df, _ in noisy], replace(config, complete=[*config.complete, *noisy[0][1]])
+        scores = score_probe(rows[1], fit_probe(rows[0], wider), [config.label])
+        return materialise(scores.select(F.lit(at).alias("_fit"), config.label, "score"), "noise")
+
+    fits = (None, *seeds)
     try:
-        parts = concurrently([partial(measured_at, s) for s in (None, *seeds)], spark)
+        parts = concurrently([partial(scored, i, s) for i, s in enumerate(fits)], train.sparkSession)
     finally:
         for df in both:
             df.unpersist()
-    table = reduce(DataFrame.unionByName, parts)
-    reference = parts[0].select("pr_auc").scalar()
-    return table.where("seed is not null").select(
-        "seed", F.lit(width).alias("width"), "pr_auc", (F.col("pr_auc") - reference).alias("delta")
+    metrics = ranking_metrics(reduce(DataFrame.unionByName, parts), config.label, "score", ["_fit"])
+    table = materialise(metrics.select("_fit", "pr_auc"), "noise")
+    reference = table.where("_fit = 0").select("pr_auc").scalar()
+    seed = F.element_at(F.array(*[F.lit(s).cast("int") for s in fits]), F.col("_fit") + 1)
+    return table.where("_fit > 0").select(
+        seed.alias("seed"), F.lit(width).alias("width"), "pr_auc", (F.col("pr_auc") - reference).alias("delta")
     )
 
 
@@ -302,7 +318,7 @@ def family_probe(train: DataFrame, held: DataFrame, base: ProbeConfig, families:
     out = probe_metric(train, held, base).select(F.lit("base").alias("family"), "pr_auc", "roc_auc")
     for name, members in families.items():
         wider = ProbeConfig(
-            [*base.numeric, *members], base.deltas, base.categorical, base.min_rows, base.max_iter, base.balanced, base.label
+            [*base.numeric, *members], base.deltas, base.categorical, base.min_rows, base.max_iter, base.balanced, base.label, base.complete
         )
         out = out.unionByName(probe_metric(train, held, wider).select(F.lit(name).alias("family"), "pr_auc", "roc_auc"))
     return out
