@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,25 +20,27 @@ from riskframe.llm.pieces import BYTE, MARK, MODEL, Chunks, Vocabulary, load
 INDEX_CHARS = 800_000
 KNOWN_CHUNKS = 400_000
 LONG_CHUNK = 96
+# Ids decoded at once.
+DECODED_IDS = 65_536
 
+# No pair, and the bits of a position below the order of a pair.
+NONE = np.iinfo(np.int64).max
+PLACE = 32
 
-def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
-    """All positions of `codes` in the order of the next `depth` characters."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while length < depth:
-        after = np.zeros_like(rank)
-        after[:-length] = rank[length:] + 1
-        rank = np.unique(rank * (len(codes) + 2) + after, return_inverse=True)[1].astype(np.int64)
-        length *= 2
-    return np.argsort(rank, kind="stable")
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one run after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-def _three(text: np.ndarray, at: int | slice) -> np.ndarray:
-    """Three characters of every row from `at` (an index, or all) as one integer, first highest."""
-    if isinstance(at, slice):
-        return text[:, :-2] << 42 | text[:, 1:-1] << 21 | text[:, 2:]
-    return text[:, at] << 42 | text[:, at + 1] << 21 | text[:, at + 2]
+
+def _packed(codes: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """`count` neighbouring codes of the last axis as one integer, first highest; zeros follow the end."""
+    size = codes.shape[-1]
+    padded = np.concatenate([codes, np.zeros((*codes.shape[:-1], count), dtype=np.int64)], axis=-1)
+    out = np.zeros(codes.shape, dtype=np.int64)
+    for k in range(count):
+        out = out << bits | padded[..., k : k + size]
+    return out
 
 
 class Matcher:
@@ -45,57 +48,93 @@ class Matcher:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.longest = vocabulary.longest
-        names = list(vocabulary.normal)
+        # a text as the model sees it has no spaces, which stand for marks here
+        names = [p for p in vocabulary.normal if " " not in p]
         self.ids = np.array([vocabulary.normal[p] for p in names], dtype=np.int64)
         self.lengths = np.array([len(p) for p in names], dtype=np.int64)
-        text = np.zeros((len(names), self.longest + 2), dtype=np.int64)
+        chars = sorted(set("".join(names)))
+        # characters of no piece are 0
+        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.code[ord(" ")] = self.code[ord(MARK)]
+        self.text = np.zeros((len(names), self.longest), dtype=np.int32)
         for i, p in enumerate(names):
-            text[i, : len(p)] = list(map(ord, p))
-        # three characters in one integer, so that a comparison takes few steps
-        self.words = [_three(text, k) for k in range(0, self.longest, 3)]
-        self.shifts = [21 * np.maximum(0, k + 3 - self.lengths) for k in range(0, self.longest, 3)]
+            self.text[i, : len(p)] = self.code[list(map(ord, p))]
 
     def edges(self, codes: np.ndarray) -> np.ndarray:
         """ids[position, length]: the piece + 1 that lies there, 0 if none.
 
-        Binary search finds, for all pieces at once, the first suffix not below the piece and the
-        first above all that start with it; the suffixes between are its occurrences. Edges are
-        laid out by position and length, which sorts them.
+        Suffixes are sorted by words of as many characters as fit an integer, then by pairs of
+        ranks, until the longest piece is covered. Binary search finds, for all pieces at once, the
+        first suffix not below the piece and the first above all that start with it; the suffixes
+        between are its occurrences. Edges are laid out by position and length, which sorts them.
         """
         n = len(codes)
-        order = sorted_suffixes(codes, self.longest)
-        padded = np.append(codes, np.zeros(self.longest + 5, dtype=codes.dtype))
-        packed = _three(padded[None, :], slice(None))[0]
-
-        def bound(above: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(self.ids), dtype=np.int64), np.full(len(self.ids), n, dtype=np.int64)
-            while (open_ := np.flatnonzero(lo < hi)).size:
-                mid = (lo[open_] + hi[open_]) // 2
-                at = order[mid]
-                sign = np.zeros(len(open_), dtype=np.int64)
-                for k, (word, shift) in enumerate(zip(self.words, self.shifts, strict=True)):
-                    left = np.flatnonzero((sign == 0) & (3 * k < self.lengths[open_])) if k else slice(None)
-                    own = open_[left]
-                    if not own.size:
-                        break
-                    by = shift[own]
-                    sign[left] = np.sign((packed[at[left] + 3 * k] >> by) - (word[own] >> by))
-                below = sign < 0 if not above else sign <= 0
-                lo[open_[below]] = mid[below] + 1
-                hi[open_[~below]] = mid[~below]
-            return lo
-
-        first, last = bound(False), bound(True)
-        count = last - first
-        piece = np.repeat(np.arange(len(self.ids)), count)
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        dense = self.code[codes]
+        seen = np.bincount(dense, minlength=int(self.code.max()) + 1) > 0
+        seen[0] = True
+        # few characters are in one text, so that a word holds many
+        narrow = np.cumsum(seen) - 1
+        bits = max(1, int(narrow[-1]).bit_length())
+        count = min(62 // bits, self.longest)
+        there = np.flatnonzero(seen[self.text].all(axis=1))
+        length, pieces = self.lengths[there], narrow[self.text[there]]
+        suffix, depth = _packed(narrow[dense], count, bits), count
+        levels = []
+        while depth < self.longest:
+            words, rank = np.unique(suffix, return_inverse=True)
+            levels.append(words)
+            suffix = rank * (n + 2)
+            suffix[:-depth] += rank[depth:] + 1
+            depth *= 2
+        order = np.argsort(suffix)
+        levels.append(suffix[order])
+
+        def bounds(level: int, part: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the words of a level that start with the first `size` codes of a part lie."""
+            if not level:
+                low = _packed(part[:, :count], count, bits)[:, 0]
+                high = low + (np.int64(1) << bits * (count - size))
+            else:
+                half = count << level - 1
+                first, last = bounds(level - 1, part[:, :half], np.minimum(size, half))
+                low, high = first * (n + 2), last * (n + 2)
+                more = np.flatnonzero(size > half)
+                if more.size:
+                    one, none = bounds(level - 1, part[more, half:], size[more] - half)
+                    begun = last[more] > first[more]
+                    high[more] = low[more] + np.where(begun, none + 1, 0)
+                    low[more] += np.where(begun, one + 1, 0)
+            return np.searchsorted(levels[level], low), np.searchsorted(levels[level], high)
+
+        first, last = bounds(len(levels) - 1, pieces, length)
+        found = last - first
+        at = order[_spread(first, found)]
         table_ = np.zeros((n + 1, self.longest + 1), dtype=np.int32)
-        table_[order[first[piece] + offset], self.lengths[piece]] = self.ids[piece] + 1
+        table_[at, np.repeat(length, found)] = np.repeat(self.ids[there] + 1, found)
         return table_
 
 
+@dataclass(frozen=True)
+class Ids:
+    """Ids of some texts, one after the other; the i-th text has those from bounds[i] to bounds[i + 1]."""
+
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.bounds[i] : self.bounds[i + 1]]
+
+    def arrow(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.bounds, pa.int32()), pa.array(self.flat, pa.int32()))
+
+
 class Encoder(dict):
-    """Chunk to the ids of its pieces, packed as 32-bit integers; unseen chunks are encoded together.
+    """Chunk to its number, by which the ids of its pieces lie in `flat`; unseen chunks are encoded
+    together.
 
     The model merges the adjacent pair whose piece has the best score, leftmost first, until no
     pair is a piece. Relaxation over the edges does the same: symbols are edges, a pair may merge
@@ -103,82 +142,118 @@ class Encoder(dict):
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.matcher = vocabulary, Matcher(vocabulary)
+        self.matcher = Matcher(vocabulary)
+        self.byte_ids = np.array(vocabulary.byte_ids, dtype=np.int32)
         scores = np.array(vocabulary.scores)
         self.order = np.append(0, np.unique(-scores, return_inverse=True)[1]).astype(np.int64)
-        self.worst = int(self.order.max()) + 1
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        wanted = set(chunks)
-        if len(self) + len(wanted) > KNOWN_CHUNKS:
-            self.clear()
-        fresh = sorted(c for c in wanted if c not in self)
-        part, size = [], 0
-        for chunk in fresh:
+        self.fresh: list[str] = []
+        self.flat, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.fresh.append(chunk)
+        return number
+
+    def encode(self, texts: Iterable[list[str]]) -> Ids:
+        """Ids of the texts that these chunks make up."""
+        if len(self) > KNOWN_CHUNKS:
+            self._forget()
+        numbers = [np.fromiter(map(self.__getitem__, own), np.int32, len(own)) for own in texts]
+        self._learn()
+        lengths = [len(x) for x in numbers]
+        number = np.concatenate([np.zeros(0, np.int32), *numbers])
+        self.uses += np.bincount(number, minlength=len(self))
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[number], self.sizes[number]
+        bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(lengths, dtype=np.int64))]
+        return Ids(self.flat[_spread(starts, sizes)], bounds)
+
+    def _forget(self) -> None:
+        """Half of the chunks that may be known stay: those met most often, as most are met once."""
+        kept = np.sort(np.argpartition(-self.uses, KNOWN_CHUNKS // 2)[: KNOWN_CHUNKS // 2])
+        stays = np.zeros(len(self), dtype=bool)
+        stays[kept] = True
+        chunks = [c for c, stay in zip(self, stays.tolist(), strict=True) if stay]
+        self.clear()
+        self.update(zip(chunks, range(len(chunks)), strict=True))
+        self.flat = self.flat[np.repeat(stays, self.sizes)]
+        self.sizes, self.uses = self.sizes[kept], self.uses[kept] // 2
+
+    def _learn(self) -> None:
+        found, part, size = [], [], 0
+        for chunk in self.fresh:
             part.append(chunk)
             size += len(chunk) + 1
             if size >= INDEX_CHARS:
-                self._relax(part)
+                found.append(self._relax(part))
                 part, size = [], 0
         if part:
-            self._relax(part)
+            found.append(self._relax(part))
+        self.fresh = []
+        if found:
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+            self.uses = np.append(self.uses, np.zeros(len(self) - len(self.uses), dtype=np.int64))
+
+    def _relax(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after the other, and how many each has.
 
-    def _relax(self, chunks: list[str]) -> None:
+        A pair is held where its first symbol starts, as its order and place; a merge changes two.
+        """
         # a zero between chunks is in no piece
-        joined = "\0".join(chunks) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        codes = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
         # a text's own NUL must not end a chunk
-        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         starts = np.cumsum(sizes + 1) - sizes - 1
         edges = self.matcher.edges(codes)
-        width = edges.shape[1]
-        short = np.flatnonzero(sizes <= LONG_CHUNK)
-        of = np.repeat(short, sizes[short])
-        before = np.cumsum(sizes[short]) - sizes[short]
-        at = np.arange(len(of)) + np.repeat(starts[short] - before, sizes[short])
-        end = at + 1
-        settled: list[tuple[np.ndarray, ...]] = []
-        while len(at):
-            span = np.append(end[1:] - at[:-1], width)
-            pair = np.append(of[1:] == of[:-1], False) & (span < width)
-            merged = np.zeros(len(at), dtype=np.int64)
-            merged[pair] = edges[at[pair], span[pair]]
-            key = np.where(merged > 0, self.order[merged], self.worst) * (len(at) + 1) + np.arange(len(at))
-            head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            best = np.minimum.reduceat(key, head)
-            done = best >= self.worst * (len(at) + 1)
-            left = (best % (len(at) + 1))[~done]
-            end[left] = end[left + 1]
-            keep = np.ones(len(at), dtype=bool)
-            keep[left + 1] = False
-            still = np.repeat(done, np.diff(np.append(head, len(at))))
-            settled.append((of[still], at[still], end[still]))
-            keep &= ~still
-            at, of, end = at[keep], of[keep], end[keep]
-        for c in np.flatnonzero(sizes > LONG_CHUNK):
-            a, e = self._relax_long(int(starts[c]), int(sizes[c]), edges)
-            settled.append((np.full(len(a), c), a, e))
-        of, at, end = (np.concatenate(x) for x in zip(*settled, strict=True)) if settled else (starts[:0],) * 3
-        order = np.lexsort([at, of])
-        of, at, end = of[order], at[order], end[order]
-        found = edges[at, end - at]
-        ids, packed = found.tolist(), (found - 1).astype(np.int32).tobytes()
-        bounds = np.searchsorted(of, np.arange(len(chunks) + 1)).tolist()
-        places = at.tolist()
-        for c, chunk in enumerate(chunks):
-            own = ids[bounds[c] : bounds[c + 1]]
-            if 0 in own:
-                base = int(starts[c])
-                known = (
-                    (i - 1,) if i else self._bytes(chunk[p - base])
-                    for i, p in zip(own, places[bounds[c] : bounds[c + 1]], strict=True)
-                )
-                self[chunk] = np.fromiter(chain.from_iterable(known), dtype=np.int32).tobytes()
-            else:
-                self[chunk] = packed[4 * bounds[c] : 4 * bounds[c + 1]]
-
-    def _bytes(self, char: str) -> tuple[int, ...]:
-        return tuple(self.vocabulary.byte_ids[b] for b in char.encode("utf-8", "surrogatepass"))
+        n, width = len(codes), edges.shape[1]
+        end, before = np.arange(1, n + 2), np.arange(-1, n)
+        symbol = np.ones(n, dtype=bool)
+        symbol[starts + sizes] = False
+
+        def pairs(at: np.ndarray) -> np.ndarray:
+            span = end[end[at]] - at
+            piece = edges[at, np.where(span < width, span, 0)]
+            return np.where(piece > 0, self.order[piece] << PLACE | at, NONE)
+
+        pair = pairs(np.arange(n))
+        long = np.flatnonzero(sizes > LONG_CHUNK)
+        for c in long:
+            first, size = int(starts[c]), int(sizes[c])
+            kept, ends = self._relax_long(first, size, edges)
+            pair[first : first + size], symbol[first : first + size] = NONE, False
+            symbol[kept], end[kept] = True, ends
+        start, size, head = starts, sizes + 1, starts
+        while len(start):
+            best = np.minimum.reduceat(pair, head)
+            going = best < NONE
+            if not going.all():
+                pair = pair[np.repeat(going, size)]
+                start, size, best = start[going], size[going], best[going]
+                head = np.cumsum(size) - size
+            at = best & (1 << PLACE) - 1
+            gone = end[at]
+            after = end[gone]
+            end[at], before[after], symbol[gone] = after, at, False
+            # where a place of the text lies among the pairs that are left
+            moved = head - start
+            pair[gone + moved] = NONE
+            pair[at + moved] = pairs(at)
+            left = before[at]
+            own = left >= start
+            pair[(left + moved)[own]] = pairs(left[own])
+        at = np.flatnonzero(symbol)
+        found = edges[at, end[at] - at]
+        # characters that are no piece become bytes
+        unknown = found == 0
+        chars = codes[at[unknown]]
+        chars = np.where(chars == ord(" "), ord(MARK), chars).astype("<u4")
+        octets = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        many = np.ones(len(at), dtype=np.int64)
+        many[unknown] += sum((chars >= least).astype(np.int64) for least in (0x80, 0x800, 0x10000))
+        ids = np.repeat(found - 1, many)
+        ids[np.repeat(unknown, many)] = self.byte_ids[np.frombuffer(octets, dtype=np.uint8)]
+        total = np.append(0, np.cumsum(many))
+        return ids, np.diff(total[np.searchsorted(at, np.append(starts, n))])
 
     def _relax_long(self, start: int, size: int, edges: np.ndarray) -> tuple[list[int], list[int]]:
         """One long chunk, by a heap of pairs, in time that grows little faster than its length."""
@@ -216,38 +291,60 @@ class Decoder:
             bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode()
             for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
         ]
+        self.sizes = np.array([len(b) for b in self.table], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.octets = np.frombuffer(b"".join(self.table), dtype=np.uint8)
 
     def __call__(self, ids: list[int]) -> str:
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    def texts(self, ids: Ids) -> pa.Array:
+        """The texts of many lists of ids, as by a call of each."""
+        parts = [ids.flat[i : i + DECODED_IDS] for i in range(0, len(ids.flat), DECODED_IDS)]
+        octets = [self.octets[_spread(self.starts[p], self.sizes[p])] for p in parts]
+        octets = np.concatenate([np.zeros(0, np.uint8), *octets])
+        bounds = np.append(0, np.cumsum(self.sizes[ids.flat]))[ids.bounds]
+        some = bounds[:-1][np.diff(bounds) > 0]
+        try:
+            octets.tobytes().decode()
+            whole = not ((octets[some] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:
+            return pa.array([self(ids[i].tolist()) for i in range(len(ids))], pa.string())
+        # one space is put before a text when it is encoded
+        extra = some[octets[some] == ord(" ")]
+        bounds -= np.searchsorted(extra, bounds)
+        octets = np.delete(octets, extra)
+        return pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(octets))
+
 
 def encode(text: Column, vocabulary: Vocabulary) -> Column:
     """Ids of a whole text; none for null and empty texts."""
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in _encoded(batches, vocabulary):
-            yield pd.Series(ids)
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in _encoded((batch.to_pylist() for batch in batches), vocabulary):
+            yield ids.arrow()
 
     return of(text)
 
 
-def _encoded(batches: Iterator[pd.Series], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
+def _encoded(batches: Iterator[Iterable[str | None]], vocabulary: Vocabulary) -> Iterator[Ids]:
     """Ids of the texts in order, of some texts at a time: their chunks are indexed together, and
     no more than they need is held."""
-    chunks, encoder = Chunks(vocabulary), Encoder(vocabulary)
+    chunks, encoder = Chunks(vocabulary, " "), Encoder(vocabulary)
     for batch in batches:
-        at = 0
-        while at < len(batch):
-            cut, size = [], 0
-            while at < len(batch) and size < 6 * INDEX_CHARS:
-                text = batch.iat[at]
-                cut.append(chunks(text))
-                size += len(text or "")
-                at += 1
-            encoder.learn(chain.from_iterable(cut))
-            yield [np.frombuffer(b"".join(map(encoder.__getitem__, own)), dtype=np.int32) for own in cut]
+        cut, size = [], 0
+        for text in batch:
+            cut.append(text)
+            size += len(text or "")
+            if size >= 6 * INDEX_CHARS:
+                yield encoder.encode(map(chunks, cut))
+                cut, size = [], 0
+        if cut:
+            yield encoder.encode(map(chunks, cut))
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -269,11 +366,11 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> D
     A text that holds the mark U+2581 itself comes back with spaces, as from the tokenizer.
     """
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(vocabulary)
-        for ids in _encoded(batches, vocabulary):
-            yield pd.DataFrame({"ids": ids, "decoded": [decoder(one.tolist()) for one in ids]})
+        for ids in _encoded((batch.to_pylist() for batch in batches), vocabulary):
+            yield pa.StructArray.from_arrays([ids.arrow(), decoder.texts(ids)], names=["ids", "decoded"])
 
     held = docs.withColumn("__both", both(F.col(text)))
     decoded = F.col("__both.decoded")

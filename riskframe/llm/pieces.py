@@ -60,11 +60,13 @@ def load(path: str = MODEL) -> Vocabulary:
 
 class Chunks:
     """Cuts a text, as the model sees it, where no piece can lie across: before a run of marks,
-    and about characters that are in no piece."""
+    and about characters that are in no piece. Chunks show a mark as `mark`, a space if short
+    strings matter."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, mark: str = MARK) -> None:
+        self.mark, self.other = mark, " " if mark == MARK else MARK
         stop = re.escape(vocabulary.breaks)
-        self._cut = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + (f"|[{stop}]" if stop else ""))
+        self._cut = re.compile(f"{mark}*+[^{mark}{stop}]++|{mark}++" + (f"|[{stop}]" if stop else ""))
 
     def __call__(self, text: str | None) -> list[str]:
-        return self._cut.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self._cut.findall(self.mark + text.replace(self.other, self.mark)) if text else []

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -43,6 +45,62 @@ def test_forgetting_chunks_and_small_indexes_change_nothing(monkeypatch):
         assert ids[0].tolist() == MODEL.encode(t)
 
 
+def test_chunks_met_often_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(encoding, "KNOWN_CHUNKS", 50)
+    monkeypatch.setattr(encoding, "INDEX_CHARS", 40)
+    relaxed, relax = Counter(), encoding.Encoder._relax
+
+    def counted(self, chunks):
+        relaxed.update(c.strip(" ▁") for c in chunks)
+        return relax(self, chunks)
+
+    monkeypatch.setattr(encoding.Encoder, "_relax", counted)
+    own = [f"the word{i} of the name{i} and the" for i in range(400)]
+    import pandas as pd
+
+    got = [ids[k].tolist() for ids in encoding._encoded(iter([pd.Series(own)]), VOCABULARY) for k in range(len(ids))]
+    assert got == [MODEL.encode(t) for t in own]
+    assert relaxed["the"] == relaxed["of"] == relaxed["and"] == 1
+
+
+def test_edges_are_all_occurrences():
+    rng, matcher = random.Random(3), encoding.Matcher(VOCABULARY)
+    every = sorted(set("".join(VOCABULARY.normal)) - {"▁"}) + list("\0\n😀①\ud800")
+    few, names = "ab the in er", list(VOCABULARY.normal)
+    for chars, size in ((few, 300), (every, 4000), (every, 9000), ("\0", 3), ("a", 1), (few, 20)):
+        text = "".join(rng.choice(chars) for _ in range(size))
+        text += "".join(rng.choice(names) for _ in range(size // 9)).replace("▁", " ")
+        got = matcher.edges(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
+        shown, width = text.replace(" ", "▁"), got.shape[1]
+        want = np.zeros_like(got)
+        for at in range(len(text)):
+            for n in range(1, min(width, len(text) - at + 1)):
+                want[at, n] = VOCABULARY.normal.get(shown[at : at + n], -1) + 1
+        assert (got == want).all()
+
+
+def test_ids_of_many_alphabets():
+    rng = random.Random(4)
+    every = sorted(set("".join(VOCABULARY.normal))) + list("\0\n😀①")
+    own = ["".join(rng.choice(every) for _ in range(rng.randrange(1, 200))) for _ in range(200)]
+    own += ["".join(rng.choice(list(VOCABULARY.normal)) for _ in range(60)).replace("▁", " ") for _ in range(200)]
+    got = [ids[k].tolist() for ids in encoding._encoded(iter([own]), VOCABULARY) for k in range(len(ids))]
+    assert got == [MODEL.encode(t) for t in own]
+
+
+def test_texts_decode_together_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(encoding, "DECODED_IDS", 7)
+    rng, decoder = random.Random(6), encoding.Decoder(VOCABULARY)
+    valid = [MODEL.encode(t) for t in ("A text\n of é漢①", "", " two  spaces", "①", "")]
+    octets = [VOCABULARY.byte_ids[b] for b in "é①".encode()]
+    torn = [*valid, [rng.randrange(len(VOCABULARY.pieces)) for _ in range(30)], octets[:4], octets[1:2]]
+    split = [octets[:1], octets[1:2]]
+    for lists in (valid, torn, split, []):
+        flat = np.array([i for one in lists for i in one], dtype=np.int32)
+        bounds = np.cumsum([0, *map(len, lists)])
+        assert decoder.texts(encoding.Ids(flat, bounds)).to_pylist() == [decoder(one) for one in lists]
+
+
 def test_decode(spark):
     ids = spark.createDataFrame([(MODEL.encode("A text\n of é漢①"),), ([],), (None,)], "ids array<int>")
     got = [r[0] for r in ids.select(encoding.decode(ids["ids"], VOCABULARY)).collect()]
