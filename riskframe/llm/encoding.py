@@ -17,7 +17,7 @@ from riskframe.llm.pieces import BYTE, MARK, MODEL, Chunks, Vocabulary, load
 
 # Characters indexed at once, chunks a task keeps the encoding of, and the longest chunk that is
 # relaxed in step with others.
-INDEX_CHARS = 800_000
+INDEX_CHARS = 400_000
 KNOWN_CHUNKS = 400_000
 LONG_CHUNK = 96
 # Ids decoded at once.
@@ -87,6 +87,7 @@ class Matcher:
             suffix = rank * (n + 2)
             suffix[:-depth] += rank[depth:] + 1
             depth *= 2
+            del rank
         order = np.argsort(suffix)
         levels.append(suffix[order])
 
@@ -108,10 +109,12 @@ class Matcher:
             return np.searchsorted(levels[level], low), np.searchsorted(levels[level], high)
 
         first, last = bounds(len(levels) - 1, pieces, length)
-        found = last - first
-        at = order[_spread(first, found)]
         table_ = np.zeros((n + 1, self.longest + 1), dtype=np.int32)
-        table_[at, np.repeat(length, found)] = np.repeat(self.ids[there] + 1, found)
+        # one length at a time: less is held at once
+        for k in range(1, self.longest + 1):
+            own = np.flatnonzero((length == k) & (last > first))
+            found = last[own] - first[own]
+            table_[order[_spread(first[own], found)], k] = np.repeat(self.ids[there[own]] + 1, found)
         return table_
 
 
@@ -206,7 +209,7 @@ class Encoder(dict):
         starts = np.cumsum(sizes + 1) - sizes - 1
         edges = self.matcher.edges(codes)
         n, width = len(codes), edges.shape[1]
-        end, before = np.arange(1, n + 2), np.arange(-1, n)
+        end, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         symbol = np.ones(n, dtype=bool)
         symbol[starts + sizes] = False
 
